@@ -50,7 +50,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         groups = split.groupBy("gid", "n_bytes", "digit").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1")
         # Ids of groups are fixed by writing them: a lost executor can't renumber them.
         groups = written(groups.withColumn("next_gid", F.monotonically_increasing_id()), "radix-groups")
-        met = split.join(groups, ["gid", "n_bytes", "digit"], "left")
+        # The groups grow with the documents, so they are merged in and not broadcast, at any size.
+        met = split.join(groups.hint("merge"), ["gid", "n_bytes", "digit"], "left")
         ended = F.col("group_size").isNull() | (F.col("n_bytes") <= used)
         level = written(
             met.select(
