@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -16,6 +17,7 @@ CACHE_WORDS = 400_000
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long, lot long"
 
 
+@functools.cache
 def word_ids(tokenizer_path: str):
     """A function from a text's bytes to its ids as little-endian 32-bit integers.
 
