@@ -126,3 +126,27 @@ def window_hashes(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     total = np.zeros(len(h) + 1, U64)
     np.cumsum(h * _power("up", len(h)), out=total[1:])
     return mix((total[width:] - total[:n]) * _power("down", len(h))[:n])
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of `bits` bits, a power of two from 2^15, that has the bit h mod bits of every h in the one column.
+
+    It is built by Spark's bitmap aggregates and gathered as blocks of 4 KB, so its size is that of the bitmap.
+    """
+    at = (F.pmod(F.col(hashes.columns[0]), F.lit(bits)) + 1).alias("at")
+    blocks = hashes.select(at).groupBy(F.expr("bitmap_bucket_number(at)").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bitmap"))
+    out = np.zeros(bits // 8, np.uint8)
+    for block, bitmap in blocks.collect():
+        out[(block - 1) * 4096 : block * 4096] = np.frombuffer(bitmap, np.uint8)
+    return out
+
+
+def filter_bits(rows: int, per_row: int = 16, most: int = 1 << 27) -> int:
+    """Bits for a filter over so many rows: a power of two from 2^16 to most."""
+    return max(1 << 16, min(most, 1 << max(1, rows * per_row - 1).bit_length()))
+
+
+def in_filter(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each unsigned hash is set."""
+    at = (h & U64(8 * len(bitmap) - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, packing, pii, sharding, toxicity
+from . import ann, bpe, exact_dedup, html_text, jaccard, packing, pii, sharding, substring_dedup, toxicity
 
 TOKENIZERS = os.environ.get("PNEUMA_TOKENIZERS", "/opt/tokenizers")
 #: The pattern that splits text before the merges of the byte-level vocabularies.
@@ -23,6 +23,15 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_nearest_neighbours(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
 
@@ -41,6 +50,10 @@ def op6_byte_bpe(spark, sf_dir):
     )
 
 
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.components(table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -59,7 +72,34 @@ def op10_pii(spark, sf_dir):
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+        windows as (select doc_id, i, list_aggregate(w[i:i + 34], 'string_agg', ' ') as s
+                    from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d)),
+        repeated as (select doc_id, i from windows where s in (select s from windows group by s having count(*) > 1)),
+        words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d),
+        covered as (select distinct doc_id, i + j as k from repeated, range(0, 35) t(j)),
+        marked as (select words.*, covered.k is not null as gone from words left join covered using (doc_id, k)),
+        kept as (select doc_id, count(*) as n_words, sum(gone::int)::bigint as n_removed,
+                        coalesce(string_agg(word, ' ' order by k) filter (where not gone), '') as t
+                 from marked group by doc_id)
+        select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from d left join kept using (doc_id)""",
+    "op7_ngram_jaccard_join": f"""
+        with recursive d as (select doc_id, {_WORDS.format(_LOWER.format("text"))} as w from documents),
+        shingles as (
+            select distinct doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)
+            union all select doc_id, list_aggregate(w, 'string_agg', ' ') from d where len(w) between 1 and 4),
+        n as (select doc_id, count(*) as n from shingles group by doc_id),
+        links as (
+            select x.a, x.b from (select p.doc_id as a, q.doc_id as b, count(*) as i from shingles p join shingles q on p.s = q.s and p.doc_id <> q.doc_id group by 1, 2) x
+            join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 75 * (na.n + nb.n - i)),
+        reach as (select doc_id as v, doc_id as u from d union select r.v, l.b from reach r join links l on l.a = r.u)
+        select d.doc_id, coalesce(n, 0) as n_shingles, (select min(u) from reach where v = d.doc_id) as component_id
+        from d left join n on n.doc_id = d.doc_id""",
     "op5_exact_dedup": f"""
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(t) as text_sha256
