@@ -7,8 +7,9 @@ Each result is written and read again as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pneuma.llm import packing, toxicity
+from pneuma.llm import exact_dedup, jaccard, packing, pii, toxicity
 from pneuma.llm.common import written
 from pneuma.llm.queries import TOKENIZERS, table
 
@@ -18,13 +19,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.kept(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts the one of the largest id stays."""
+    stays = exact_dedup.dedup(docs).where("kept").select("doc_id")
+    return docs.join(stays.distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document of the least id stays."""
+    stays = jaccard.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return docs.join(stays.distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind in angle brackets; n_chars follows."""
+    return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document, tokenised and packed into sequences."""
     return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
 
 
-STAGES = [("toxicity", drop_toxic), ("packing", pack)]
-#: Learning and packing have no SQL form; the stages are tested one by one against brute force.
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("personal_data", redact), ("packing", pack)]
+#: Learning, deobfuscation and packing have no SQL form; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
