@@ -14,8 +14,10 @@ from .common import U64, bit_filter, bytes_column, dropped, filter_bits, in_filt
 #: One text in ORDER_SAMPLE is read for the order of shingles, and the most frequent ones kept. The order is a matter of
 #: speed alone: any order gives the same result.
 ORDER_SAMPLE, MOST_FREQUENT = 32, 1_000_000
-#: Pairs in one numpy step of list_pairs().
-STEP_PAIRS = 1 << 20
+#: Pairs in one numpy step of list_pairs(); rows of text in one output batch.
+STEP_PAIRS, STEP_ROWS = 1 << 20, 1_000
+#: Lists longer than this are settled in groups, by blocks of this many sets.
+LONG_LIST, GROUP_BLOCK = 48, 1_500
 
 
 def _row_sets(column: pa.Array, width: int):
@@ -43,18 +45,16 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
 def _headers(width):
     def run(batches):
         for batch in batches:
-            sets = list(_row_sets(batch.column("text"), width))
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sid(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "sid"]
-            )
+            told = [(len(s), _sid(s) if len(s) else None) for s in _row_sets(batch.column("text"), width)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([n for n, _ in told], pa.int64()), pa.array([x for _, x in told], pa.int64())], ["doc_id", "n_shingles", "sid"])
 
     return run
 
 
 def _all_shingles(width):
     def run(batches):
-        for batch in batches:
-            yield pa.record_batch([_longs(list(_row_sets(batch.column("text"), width)))], ["token"])
+        for part in (b.slice(lo, STEP_ROWS) for b in batches for lo in range(0, len(b), STEP_ROWS)):
+            yield pa.record_batch([_longs(list(_row_sets(part.column("text"), width)))], ["token"])
 
     return run
 
@@ -74,9 +74,9 @@ def _prefixes(width, percent, frequent):
 
     def run(batches):
         rare_last = np.asarray(frequent.value)
-        for batch in batches:
+        for part in (b.slice(lo, STEP_ROWS) for b in batches for lo in range(0, len(b), STEP_ROWS)):
             tokens, sids, sizes = [], [], []
-            for s in _row_sets(batch.column("text"), width):
+            for s in _row_sets(part.column("text"), width):
                 n = len(s)
                 if n:
                     at = np.minimum(np.searchsorted(rare_last, s), max(len(rare_last) - 1, 0))
@@ -200,21 +200,90 @@ def list_pairs(token, sid, label, n, pos, percent):
 
 
 def _cross(percent):
+    """Of a partition by token: pairs from lists of LONG_LIST sets at most; of longer lists with two labels or more, each
+    set (as b) with the list's commonest label (as a), and -1 for shared."""
+
     def run(batches):
         token, sid, at, label = _table(batches, ["token", "sid", "at", "label"])
-        for x in list_pairs(token, sid, label, at >> 32, at & 0xFFFFFFFF, percent):
+        order = np.lexsort((label, token))
+        token, sid, at, label = token[order], sid[order], at[order], label[order]
+        begin, length = _runs(token)
+        long = np.repeat(length > LONG_LIST, length)
+        for b, n in zip(begin[length > LONG_LIST], length[length > LONG_LIST], strict=True):
+            kinds, count = np.unique(label[b : b + n], return_counts=True)
+            if len(kinds) == 1:
+                long[b : b + n] = False  # one label: list_pairs() skips it whole
+            else:
+                label_of = kinds[np.argmax(count)]
+                token[b : b + n] = label_of
+        if long.any():
+            group, own = token[long], sid[long]
+            o = np.lexsort((own, group))
+            new = np.concatenate([[True], (group[o][1:] != group[o][:-1]) | (own[o][1:] != own[o][:-1])])
+            g, x = group[o][new], own[o][new]
+            yield _pair_batch((g, x, np.zeros(len(g)), np.zeros(len(g)), np.full(len(g), -1)))
+        rest = ~long
+        for x in list_pairs(token[rest], sid[rest], label[rest], at[rest] >> 32, at[rest] & 0xFFFFFFFF, percent):
             if x is not None:
                 yield _pair_batch(x)
 
     return run
 
 
+def _cell(percent):
+    """Links that join unlike labels, within a block of a group or between two."""
+
+    def run(table):
+        sid, label, side = table["sid"].to_numpy(), table["label"].to_numpy(), table["side"].to_numpy()
+        sets = [x.values.to_numpy() for x in table["shingles"]]
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        often = count[column] > 1
+        row, column = row[often], place[column[often]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left = np.flatnonzero(side == side.min())
+        right = np.flatnonzero(side == side.max())
+        of_left, of_right = np.full(len(sets), -1), np.full(len(sets), -1)
+        of_left[left], of_right[right] = np.arange(len(left)), np.arange(len(right))
+        common = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            a, b = np.searchsorted(column, [lo, lo + 2048])
+            r, c = row[a:b], column[a:b] - lo
+            x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+            x[of_left[r][of_left[r] >= 0], c[of_left[r] >= 0]] = 1
+            y[of_right[r][of_right[r] >= 0], c[of_right[r] >= 0]] = 1
+            common += x @ y.T
+        total = size[left][:, None] + size[right][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * total) & (label[left][:, None] != label[right][None, :]))
+        parent: dict[int, int] = {}
+
+        def top(v):
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+
+        a, b = [], []
+        for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            u, v = top(label[x]), top(label[y])
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                a.append(sid[x]), b.append(sid[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _chosen_sets(width, bitmap):
+    """The sets whose digest is in the filter; so some others too."""
+
     def run(batches):
         bits = np.asarray(bitmap.value)
-        for batch in batches:
+        for part in (b.slice(lo, STEP_ROWS) for b in batches for lo in range(0, len(b), STEP_ROWS)):
             sids, sets = [], []
-            for s in _row_sets(batch.column("text"), width):
+            for s in _row_sets(part.column("text"), width):
                 sid = _sid(s)
                 if len(s) and in_filter(bits, np.array([sid], np.int64).view(U64))[0]:
                     sids.append(sid), sets.append(s)
@@ -224,17 +293,44 @@ def _chosen_sets(width, bitmap):
     return run
 
 
+def _sets_of(rows: DataFrame, ids: DataFrame, n: int, width: int) -> DataFrame:
+    """(sid, shingles) of at least the sets named in the one column of ids, about n, once each; written."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(bit_filter(ids, filter_bits(n)))
+    sets = rows.select("text").mapInArrow(_chosen_sets(width, bitmap), "sid long, shingles array<long>").dropDuplicates(["sid"])
+    return written(sets, "jaccard-sets")
+
+
+def _grouped_links(rows: DataFrame, members: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of groups (a: the group, b: a set) links a, b that join all sets of a group which links join. The result is written.
+
+    A group is cut into blocks of about GROUP_BLOCK sets; every two blocks meet in a task of their own, which returns
+    no more links than it has sets.
+    """
+    members = written(members.select(F.col("a").alias("group"), F.col("b").alias("sid")).distinct(), "jaccard-members")
+    n = members.count()
+    if not n:
+        return members.select(F.col("group").alias("a"), F.col("sid").alias("b"))
+    sets = _sets_of(rows, members.select("sid").distinct(), n, width)
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    dealt = (
+        members.join(blocks, "group").withColumn("own", own).select("group", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("group", "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
+        .join(labels.withColumnRenamed("v", "sid"), "sid", "left").join(sets, "sid")
+        .select("group", "i", "j", "sid", "side", F.coalesce("label", "sid").alias("label"), "shingles")
+    )
+    links = written(dealt.groupBy("group", "i", "j").applyInArrow(_cell(percent), "a long, b long"), "jaccard-links")
+    dropped(sets), dropped(members)
+    return links
+
+
 def _linked(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs a, b those whose sets are linked, by their exact intersection. The result is written."""
     pairs = written(pairs.select("a", "b"), "jaccard-pairs")
     n = pairs.count()
     if not n:
         return pairs
-    sc = rows.sparkSession.sparkContext
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    bitmap = sc.broadcast(bit_filter(ids, filter_bits(n)))
-    sets = rows.select("text").mapInArrow(_chosen_sets(width, bitmap), "sid long, shingles array<long>").dropDuplicates(["sid"])
-    sets = written(sets, "jaccard-sets")
+    sets = _sets_of(rows, pairs.select("a").union(pairs.select("b")).distinct(), n, width)
     a = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
@@ -275,6 +371,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     3. In each list the most central set is held against the others; what is linked to it gets its label.
     4. Of each list only sets with unlike labels still meet; their exact number of shared prefix tokens, sizes and
        positions bound the intersection, and pairs that may reach the threshold are settled by their whole sets.
+       The sets of long lists meet in groups instead, in blocks, from which only joining links come back.
     No pair of sets with unlike labels that can be linked is left out, so the classes are exact.
 
     Null, empty or blank texts have 0 shingles and are a class of their own, under their own id. Null ids are passed
@@ -302,9 +399,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     labels = connected(links)
 
     labelled = lists.join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("token", "sid", "at", F.coalesce("label", "sid").alias("label"))
-    pairs = labelled.repartition("token").mapInArrow(_cross(percent), _PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    crossed = written(labelled.repartition("token").mapInArrow(_cross(percent), _PAIRS), "jaccard-crossed")
+    grouped = _grouped_links(rows, crossed.where("shared = -1"), labels, width, percent)
+    pairs = crossed.where("shared > 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    # A pair that also shares a token of a longer list meets in a group, so here it doesn't matter that it counts for less.
     more = _linked(rows, pairs.where(may(pairs)), width, percent)
-    labels = written(connected(links.union(more)), "jaccard-classes")
+    labels = written(connected(links.union(grouped).union(more)), "jaccard-classes")
 
     # The least id of each class, over its distinct sets.
     least = headers.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
