@@ -27,7 +27,7 @@ def post_from_change(df: DataFrame) -> DataFrame:
 
 def fill_percent(df: DataFrame, best: str = "pre_best", pct: str = "pre_pct") -> DataFrame:
     """%Pred where missing or off by 6 or more."""
-    expected = F.col(best) / F.nullif("pred", F.lit(0.0)) * 100 if False else F.col(best) / F.when(F.col("pred") != 0, F.col("pred")) * 100
+    expected = F.col(best) / F.when(F.col("pred") != 0, F.col("pred")) * 100
     off = F.col(pct).isNull() | (F.abs(F.col(pct) - expected) >= 6)
     return df.withColumn(pct, F.when(expected.isNotNull() & off, expected).otherwise(F.col(pct)))
 

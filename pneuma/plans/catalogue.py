@@ -1,4 +1,389 @@
-"""Queries of the clinical operators and their SQL, by name."""
+"""Queries of the clinical operators over views of the driver's tables, with the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clinical, text
+from ..operators import batch, boxes, classify, layout, metrics, repair
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+# Metric of each line number (fixed values), and the grid that stands in for measured cells.
+_METRIC = "case l_linenumber when 1 then 'FVC' when 2 then 'FEV1' when 3 then 'FEV1/FVC' when 4 then 'VC' when 5 then 'PEF' when 6 then 'FET' else 'MVV' end"
+_CELLS = f"""
+    select l_orderkey as case_no, {_METRIC} as metric, l_linenumber as pos,
+        min(case when l_partkey % 11 = 0 then null else round(l_discount * 100) - 5 end) as pre_z,
+        min(round(l_tax * 100) - 4) as post_z,
+        min(case when l_partkey % 7 = 0 then null else l_quantity - 25 end) as pct_chg,
+        min(case when l_suppkey % 9 = 0 then null else l_quantity / 10 end) as pre_best, max(l_quantity / 10) as post_best,
+        min(l_extendedprice / 20000) as pred, min(l_extendedprice / 20000) * case when l_orderkey % 7 = 0 then 8.0 else 0.8 end as lln,
+        min(case when l_suppkey % 5 = 0 then null else l_quantity * 4 end) as pre_pct
+    from lineitem group by l_orderkey, l_linenumber"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each case and metric."""
+    q = F.col("l_quantity")
+    unless = lambda c, n, v: F.min(F.when(F.col(c) % n != 0, v))
+    pred = F.min(F.col("l_extendedprice") / 20000)
+    names = {1: "FVC", 2: "FEV1", 3: "FEV1/FVC", 4: "VC", 5: "PEF", 6: "FET"}
+    metric = F.coalesce(*[F.when(F.col("pos") == k, v) for k, v in names.items()], F.lit("MVV"))
+    return (
+        _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("pos")).agg(
+            unless("l_partkey", 11, F.round(F.col("l_discount") * 100) - 5).alias("pre_z"), F.min(F.round(F.col("l_tax") * 100) - 4).alias("post_z"),
+            unless("l_partkey", 7, q - 25).alias("pct_chg"), unless("l_suppkey", 9, q / 10).alias("pre_best"), F.max(q / 10).alias("post_best"),
+            pred.alias("pred"), unless("l_suppkey", 5, q * 4).alias("pre_pct"),
+        )
+        .withColumn("lln", F.col("pred") * F.when(F.col("case_no") % 7 == 0, 8.0).otherwise(0.8)).withColumn("metric", metric)
+    )
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+_BMI = "select o_orderkey as case_no, c_acctbal / 250 as bmi from orders join customer on o_custkey = c_custkey where o_orderkey % 5 <> 0"
+
+
+def _pattern_sql(p: str) -> str:
+    f, e, r = f"{p}_fvc", f"{p}_fev1", f"{p}_ratio"
+    return f"""case when not (fvc_row and fev1_row and ratio_row) then 'Unknown'
+        when {r} >= -1.64::double and {f} >= -1.64::double and {e} < -1.64::double then 'Isolated' when {r} < -1.64::double and {f} >= -1.64::double then 'Obstructive'
+        when {r} >= -1.64::double and {f} < -1.64::double then 'Restrictive' when {r} < -1.64::double and {f} < -1.64::double then 'Mixed' else 'Normal' end"""
+
+
+def _severity_sql(p: str) -> str:
+    return f"case {p}_pattern when 'Unknown' then 'unknown' when 'N/A' then 'n/a' when 'Normal' then 'normal' else case when {p}_fev1 >= -2.5::double then 'mild' when {p}_fev1 >= -4::double then 'moderate' else 'severe' end end"
+
+
+_ADVICE = "perform lung volumes & diffusion capacity if clinically indicated."
+_HEAVY = "case when bmi >= 30 then ' The restrictive picture may be contributed by raised BMI (BMI ' || trunc(bmi)::int::varchar || ').' else '' end"
+
+
+def _report_sql(p: str) -> str:
+    lim = lambda how, lead: f"{p}_severity || ' ventilatory limitation which appears to be {how} in pattern.' || chr(10) || 'Suggest to correlate clinically for possibility of {lead}restrictive lung disease and {_ADVICE}' || {_HEAVY}"
+    return f"""case {p}_pattern when 'Unknown' then 'Insufficient data to classify {p}-bronchodilator spirometry.' when 'N/A' then ''
+        when 'Isolated' then {p}_severity || ' ventilatory limitation (isolated reduced FEV1).' when 'Obstructive' then {p}_severity || ' airflow obstruction.'
+        when 'Restrictive' then {lim('restrictive', '')} when 'Mixed' then {lim('both obstructive and restrictive', 'concomitant ')} else {p}_severity || ' limits' end"""
+
+
+_WIDE = f"""select case_no, {', '.join(f"max({c}) filter (where metric = '{m}') as {p}_{n}" for n, m in classify.METRICS.items() for c, p in (("pre_z", "pre"), ("post_z", "post"), ("pct_chg", "chg")))},
+    {', '.join(f"bool_or(metric = '{m}') as {n}_row" for n, m in classify.METRICS.items())} from ({_CELLS}) group by case_no"""
+_CLASSIFIED = f"""
+    with wide as ({_WIDE}), bmi as ({_BMI}),
+    a as (select wide.*, bmi, (fvc_row or fev1_row or ratio_row) as any_row, {_pattern_sql('pre')} as pre_pattern,
+          case when not (fvc_row or fev1_row or ratio_row) then 'N/A' else {_pattern_sql('post')} end as post_pattern from wide left join bmi using (case_no)),
+    b as (select *, {_severity_sql('pre')} as pre_severity, {_severity_sql('post')} as post_severity from a),
+    c as (select *, {_report_sql('pre')} as pre_report, {_report_sql('post')} as post_report from b)
+    select case_no, bmi as bmi_used, pre_pattern, pre_severity, post_pattern, post_severity,
+        case when not any_row then 'Spirometry demonstrates ' || pre_report
+             when pre_pattern = post_pattern and pre_severity = post_severity then 'Both pre- and post- bronchodilator spirometry demonstrate ' || pre_report
+             else 'Pre- bronchodilator spirometry demonstrates ' || pre_report || chr(10) || 'Post- bronchodilator spirometry demonstrates ' || post_report end as report_combined,
+        (case when coalesce(greatest(chg_fvc, chg_fev1, chg_ratio) > 10, false) then 'There is Significant' else 'There is no significant' end) || ' bronchodilator response to 400mcg of inhaled Salbutamol.' as bronchodilator_response,
+        case when pre_pattern = 'Unknown' then 1 else 0 end as n_warnings from c"""
+
+
+@query(_CLASSIFIED)
+def classify_cases(spark, sf_dir):
+    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    bmi = orders.join(customer, orders.o_custkey == customer.c_custkey).where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("case_no"), (F.col("c_acctbal") / 250).alias("bmi"))
+    return classify.classify(classify.pivot_cases(_cells(spark, sf_dir)), bmi)
+
+
+@query(f"select case_no, {', '.join(f'{p}_{n}' for n in classify.METRICS for p in ('pre', 'post', 'chg'))}, {', '.join(f'{n}_row' for n in classify.METRICS)} from ({_WIDE})")
+def pivot_cases(spark, sf_dir):
+    return classify.pivot_cases(_cells(spark, sf_dir))
+
+
+_ORDER = "case_no, metric, pre_best, post_best, pred, lln, pre_pct, pre_z, post_z, pct_chg"
+_RESTRICTED = "('MVV','Grade FVC N','Grade FEV1 N','FET','FIVC','BEV','FEV1/VC')"
+_REPAIRED = f"""
+    with a as (select case_no, metric, case when metric <> 'MVV' then pre_best end as pre_best, case when metric <> 'MVV' then post_best end as post_best,
+        {', '.join(f"case when metric not in {_RESTRICTED} then {c} end as {c}" for c in ('pred', 'lln', 'pre_pct', 'pre_z', 'post_z', 'pct_chg'))} from ({_CELLS})),
+    b as (select * replace (case when pred > 0 and lln > pred * 1.1::double then case when lln / 10 <= pred * 1.1::double then lln / 10 when lln / 100 <= pred * 1.1::double then lln / 100 when lln / 1000 <= pred * 1.1::double then lln / 1000 else lln end else lln end as lln) from a),
+    c as (select * replace (case when pre_best <> 0 and pct_chg is not null and (post_best is null or post_best / pre_best < 0.3 or post_best / pre_best > 2) then pre_best * (1 + pct_chg / 100) else post_best end as post_best) from b),
+    d as (select * replace (case when pred <> 0 and pre_best is not null and (pre_pct is null or abs(pre_pct - pre_best / pred * 100) >= 6) then pre_best / pred * 100 else pre_pct end as pre_pct) from c),
+    e as (select * replace (case when pred <> 0 and pre_pct is not null and (pre_best is null or pre_best / pred > 2 or pre_best / pred < 0.3) then pred * pre_pct / 100 else pre_best end as pre_best) from d),
+    f as (select * replace (case when pre_best <> 0 and post_best is not null and (pct_chg is null or abs(pct_chg - (post_best - pre_best) / pre_best * 100) >= 1.2) then (post_best - pre_best) / pre_best * 100 else pct_chg end as pct_chg) from e),
+    g as (select * replace (case when abs(pre_best - pred) >= greatest(0.02, 0.01 * greatest(1.0, abs(pred))) and (pre_best - pred < 0 and pre_z > 0 or pre_best - pred > 0 and pre_z < 0) then -pre_z else pre_z end as pre_z) from f)
+    select case_no, metric, {', '.join(f'{c} + 0::double as {c}' for c in ('pre_best', 'post_best', 'pred', 'lln', 'pre_pct', 'pre_z', 'post_z', 'pct_chg'))} from g"""
+
+
+@query(_REPAIRED)
+def repair_rows(spark, sf_dir):
+    done = repair.repair(_cells(spark, sf_dir))
+    return done.select("case_no", "metric", *[(F.col(c) + 0.0).alias(c) for c in ("pre_best", "post_best", "pred", "lln", "pre_pct", "pre_z", "post_z", "pct_chg")])
+
+
+@query(f"""select case_no, {', '.join(f"round_even(min(case when metric = 'FEV1' then nullif({c}, 0) end) / min(case when metric = 'FVC' then nullif({c}, 0) end) * 100, 0)::int as ratio_{c}" for c in ('pre_best', 'post_best'))} from ({_CELLS}) group by case_no""")
+def derived_ratios(spark, sf_dir):
+    return repair.derived_ratios(_cells(spark, sf_dir))
+
+
+@query(f"""select case_no, metric, round(greatest(-10, least(10, case when pre_best >= lln then (pre_best - pred) / nullif(pred - lln, 0) * 1.64 else -1.64 - (lln - pre_best) / nullif(pred - lln, 0) * 1.64 end)), 6) as z
+    from ({_CELLS}) where pre_best is not null and pred <> lln""")
+def z_targets(spark, sf_dir):
+    return _cells(spark, sf_dir).where("pre_best is not null and pred <> lln").select("case_no", "metric", F.round(clinical.z_target(F.col("pre_best"), F.col("pred"), F.col("lln")), 6).alias("z"))
+
+
+# Tokens: the events of a user; their place is the second since the user's first one.
+_TOKENS = "select user_id as case_no, event_id as pos, epoch(ts)::double - min(epoch(ts)::double) over (partition by user_id) as cy, value as x, event_type as text from events"
+
+
+def _tokens(spark, sf_dir):
+    from pyspark.sql import Window
+
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("case_no"), F.col("event_id").alias("pos"), (at - F.min(at).over(Window.partitionBy("user_id"))).alias("cy"), F.col("value").alias("x"), F.col("event_type").alias("text"))
+
+
+@query(f"""with g as (select *, case when cy - lag(cy) over (partition by case_no order by cy, pos) > 1800 then 1 else 0 end as o from ({_TOKENS})),
+    l as (select *, sum(o) over (partition by case_no order by cy, pos rows unbounded preceding) as line from g)
+    select case_no, line::bigint as line, count(*) as n, string_agg(text, ' ' order by pos) as cell from l group by case_no, line""")
+def lines_of_tokens(spark, sf_dir):
+    lines = layout.group_lines(_tokens(spark, sf_dir), 1800.0)
+    return layout.assemble(lines, ["case_no", "line"]).join(lines.groupBy("case_no", "line").agg(F.count("*").alias("n")), ["case_no", "line"]).select("case_no", F.col("line").cast("long").alias("line"), "n", "cell")
+
+
+_CENTRES = "select o_custkey as case_no, o_orderkey as idx, epoch(o_orderdate)::double / 86400 as centre from orders"
+
+
+def _centres(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_no"), F.col("o_orderkey").alias("idx"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6 / 86400).alias("centre"))
+
+
+_WINDOWS = f"""select case_no, idx, coalesce((lag(centre) over w + centre) / 2, 0) as lo, coalesce((centre + lead(centre) over w) / 2, 100000) as hi from ({_CENTRES}) window w as (partition by case_no order by idx)"""
+
+
+@query(_WINDOWS)
+def windows_of_centres(spark, sf_dir):
+    return layout.windows_from_centres(_centres(spark, sf_dir), 0.0, 100000.0)
+
+
+_SHIPPED = "select o_custkey as case_no, l_orderkey * 10 + l_linenumber as pos, epoch(l_shipdate)::double / 86400 as cy from (select l_orderkey, l_linenumber, min(l_shipdate) as l_shipdate from lineitem group by all) join orders on l_orderkey = o_orderkey"
+
+
+@query(f"select t.case_no, t.pos, min(w.idx) as idx from ({_SHIPPED}) t join ({_WINDOWS}) w on t.case_no = w.case_no and t.cy between w.lo and w.hi group by t.case_no, t.pos")
+def tokens_in_windows(spark, sf_dir):
+    items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("at"))
+    tokens = items.join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_no"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.unix_micros(F.col("at").cast("timestamp")) / 1e6 / 86400).alias("cy"))
+    return layout.assign(tokens, layout.windows_from_centres(_centres(spark, sf_dir), 0.0, 100000.0)).select("case_no", "pos", "idx")
+
+
+_ANCHORS = "select l_orderkey as case_no, l_linenumber as idx, min(l_extendedprice) as y from lineitem group by all"
+
+
+def _anchors(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("idx")).agg(F.min("l_extendedprice").alias("y"))
+
+
+@query(f"select case_no, round(regr_slope(y, idx), 4) as slope, round(regr_intercept(y, idx), 4) as intercept, count(*) as n from ({_ANCHORS}) group by case_no having count(*) >= 6")
+def fitted_rows(spark, sf_dir):
+    return layout.fit_line(_anchors(spark, sf_dir)).select("case_no", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@query(f"""with d as (select case_no, (y - lag(y) over w) / (idx - lag(idx) over w) as d from ({_ANCHORS}) window w as (partition by case_no order by idx)),
+    s as (select case_no, list_sort(list(d)) as ds from d where d is not null group by case_no)
+    select case_no, round(ds[(len(ds) // 2)::bigint + 1], 6) as spacing from s""")
+def row_spacing(spark, sf_dir):
+    return layout.spacing(_anchors(spark, sf_dir)).select("case_no", F.round("spacing", 6).alias("spacing"))
+
+
+@query("with s as (select user_id as case_no, list_sort(list(value)) as xs from events where value is not null group by user_id) select case_no, xs[round_even(0.05 * (len(xs) - 1), 0)::bigint + 1] as value from s")
+def left_edge(spark, sf_dir):
+    return layout.index_percentile(_table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("case_no"), "value"), "value", 0.05)
+
+
+@query("select user_id as case_no, event_type, event_id as pos, value from (select *, row_number() over (partition by user_id, event_type order by value desc nulls last, event_id) as r from events) where r = 1")
+def best_headers(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("case_no"), "event_type", F.col("event_id").alias("pos"), "value")
+    return layout.best_per_group(rows, ["case_no", "event_type"], "value", "pos")
+
+
+@query()
+def column_centres(spark, sf_dir):
+    return layout.k_medians(_anchors(spark, sf_dir).where("y is not null"), 2, value="y")
+
+
+_BOXES = "select l_orderkey as case_no, l_linenumber as pos, min(l_partkey % 1000) as x, min(l_suppkey % 1000) as y, min(20 + l_quantity * 5) as w, min(20 + l_linenumber * 30) as h from lineitem group by l_orderkey, l_linenumber"
+
+
+def _boxes(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("pos")).agg(
+        F.min(F.col("l_partkey") % 1000).alias("x"), F.min(F.col("l_suppkey") % 1000).alias("y"), F.min(20 + F.col("l_quantity") * 5).alias("w"), F.min(20 + F.col("l_linenumber") * 30).alias("h"))
+
+
+_IOU = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+
+
+@query(f"""with b as ({_BOXES}), o as (select a.case_no, a.pos as pos_a, b.pos as pos_b, {_IOU} as i, a.w * a.h + b.w * b.h as s from b a join b on a.case_no = b.case_no and a.pos < b.pos)
+    select case_no, pos_a, pos_b, round(i / (s - i), 9) as iou from o where i / (s - i) > 0.05""")
+def box_overlaps(spark, sf_dir):
+    return boxes.overlapping_pairs(_boxes(spark, sf_dir), 0.05).withColumn("iou", F.round("iou", 9))
+
+
+@query(f"select case_no, min(x) as x0, min(y) as y0, max(x + w) as x1, max(y + h) as y1, max_by(pos, w * h * 1000 - pos) as largest from ({_BOXES}) group by case_no")
+def box_extent(spark, sf_dir):
+    return boxes.extent(_boxes(spark, sf_dir))
+
+
+@query(f"select case_no, pos from ({_BOXES}) where w * h / 1000000.0 between 0.005 and 0.05 and w / h between 0.6 and 2.8")
+def box_filter(spark, sf_dir):
+    return boxes.plausible(_boxes(spark, sf_dir), 1e6, 0.005, 0.05).select("case_no", "pos")
+
+
+@query()
+def box_suppression(spark, sf_dir):
+    return boxes.suppress(_boxes(spark, sf_dir))
+
+
+# Predictions: returned against open lines, by line number.
+_GUESSES = "select l_orderkey as item, 'L' || l_linenumber::varchar as label, max((l_returnflag = 'R')::int) as truth, max((l_linestatus = 'F')::int) as guess from lineitem group by all"
+
+
+def _guesses(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item"), F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("label")).agg(
+        F.max((F.col("l_returnflag") == "R").cast("int")).alias("truth"), F.max((F.col("l_linestatus") == "F").cast("int")).alias("guess"))
+
+
+_CONFUSION = f"select label, count(*) filter (where truth = 0 and guess = 0) as tn, count(*) filter (where truth = 0 and guess = 1) as fp, count(*) filter (where truth = 1 and guess = 0) as fn, count(*) filter (where truth = 1 and guess = 1) as tp from ({_GUESSES}) group by label"
+
+
+@query(_CONFUSION)
+def label_confusion(spark, sf_dir):
+    return metrics.confusion(_guesses(spark, sf_dir))
+
+
+@query(f"select label, (tp + tn) / (tp + tn + fp + fn)::double as accuracy, case when 2 * tp + fp + fn = 0 then 1 else 2 * tp / (2 * tp + fp + fn)::double end as f1 from ({_CONFUSION})")
+def label_scores(spark, sf_dir):
+    return metrics.per_label(metrics.confusion(_guesses(spark, sf_dir)))
+
+
+@query(f"select avg(r::int) as accuracy, count(*) as n from (select item, bool_and(truth = guess) as r from ({_GUESSES}) group by item)")
+def subset_accuracy(spark, sf_dir):
+    return metrics.subset_accuracy(_guesses(spark, sf_dir), "item")
+
+
+@query("select o_custkey, max((o_orderstatus = 'F')::int) as F, max((o_orderstatus = 'O')::int) as O, max((o_orderstatus = 'P')::int) as P from orders group by 1")
+def multi_hot(spark, sf_dir):
+    return metrics.multi_hot(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", ["P", "O", "F"])
+
+
+_LOSSES = "select o_custkey as run, o_orderkey as epoch, o_totalprice as loss from orders"
+
+
+def _losses(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("loss"))
+
+
+@query(f"select run, min_by(epoch, loss) as best_epoch, min(loss) as least_loss from ({_LOSSES}) group by run")
+def best_epoch(spark, sf_dir):
+    return metrics.best_epoch(_losses(spark, sf_dir))
+
+
+@query()
+def early_stop(spark, sf_dir):
+    return metrics.early_stop(_losses(spark, sf_dir), patience=3, delta=0.0)
+
+
+@query("select user_id, event_id, count(*) over (partition by user_id order by epoch_ms(ts) range between 3600000 preceding and current row) as recent from events")
+def recent_events(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return metrics.window_count(rows, 3_600_000, "user_id", "ms").select("user_id", "event_id", "recent")
+
+
+@query("select user_id, max_by(event_type, event_id) as event_type from events group by user_id")
+def latest_status(spark, sf_dir):
+    return batch.latest(_table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("select o_custkey, min(o_orderkey) as o_orderkey from orders group by 1")
+def first_reports(spark, sf_dir):
+    return batch.first_wins(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def unseen_customers(spark, sf_dir):
+    return batch.unseen(_table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("select doc_id, source || case when r = 0 then '' else '_' || r::varchar end as name from (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as r from documents)")
+def unique_names(spark, sf_dir):
+    return batch.unique_names(_table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "name")
+
+
+@query("select o_orderkey, floor(row_number() over (partition by o_custkey order by o_orderkey) / (count(*) over (partition by o_custkey))::double * 100)::int as percent from orders")
+def batch_progress(spark, sf_dir):
+    return batch.progress(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_orderkey", "percent")
+
+
+@query("select o_custkey, count(*) filter (where o_orderstatus = 'F') as completed, count(*) filter (where o_orderstatus = 'P') as failed, min_by(o_orderpriority, o_orderkey) filter (where o_orderstatus = 'P') as first_message from orders group by 1")
+def batch_summary(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "P", "Failed").otherwise("Queued").alias("status"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise("").alias("message"))
+    return batch.summary(rows, "o_custkey", "status", "message", "o_orderkey")
+
+
+@query("select user_id, event_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) as b from events) where event_type is distinct from b")
+def status_changes(spark, sf_dir):
+    return batch.changes_only(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, coalesce(sum(q) over (partition by l_orderkey order by l_linenumber, l_partkey rows between unbounded preceding and 1 preceding), 0) as \"offset\" from (select l_orderkey, l_linenumber, l_partkey, sum(l_quantity) as q from lineitem group by all)")
+def item_offsets(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    return batch.offsets(rows.withColumn("seq", F.struct("l_linenumber", "l_partkey")), "l_orderkey", "seq", "q").select("l_orderkey", "l_linenumber", "l_partkey", "offset")
+
+
+@query(r"""select doc_id, regexp_replace(lower(source || ' ' || lang || '-%/'), '[^a-z0-9%/]+', '', 'g') as key, regexp_replace(trim('  ' || source || '  ' || lang || ' '), '\s+', '_', 'g') as case_id,
+    regexp_extract('/a/b/' || source || '.pdf', '[^/\\]+$') as file, string_split(coalesce(text, ''), chr(10))[1] as line from documents""")
+def text_functions(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id", text.normalize_key(F.concat_ws("", "source", F.lit(" "), "lang", F.lit("-%/"))).alias("key"), text.case_id(F.concat(F.lit("  "), "source", F.lit("  "), "lang", F.lit(" "))).alias("case_id"),
+        text.base_name(F.concat(F.lit("/a/b/"), "source", F.lit(".pdf"))).alias("file"), text.first_line(F.coalesce("text", F.lit(""))).alias("line"),
+    )
+
+
+@query(r"""select doc_id, try_cast(nullif(regexp_extract(replace(coalesce(text, ''), ',', '.'), '[-+]?[0-9]+(\.[0-9]+)?'), '') as double) as number, nullif(regexp_extract(upper(coalesce(text, '')), '\b([A-F])\b', 1), '') as grade from documents where lang = 'en'""")
+def cell_parsing(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.parse_float(F.col("text")).alias("number"), text.parse_grade(F.col("text")).alias("grade"))
+
+
+@query("select split, count(*) as n from (select case when a < 0.5 then 'first' else 'second' end as split from (select (o_orderkey % 100) / 100.0 as a from orders)) group by 1")
+def split_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.when((F.col("o_orderkey") % 100) / 100 < 0.5, "first").otherwise("second").alias("split")).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query()
+def training_splits(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", metrics.split_of(F.col("o_orderkey")).alias("split"))
+
+
+@query("with recursive d(day) as (select date '2023-12-28' union all select (day + interval 1 day)::date from d where day < date '2024-03-02') select day, (isodow(day) - 1)::int as weekday, date_diff('day', date '2023-12-28', day)::int as n, monthname(day) as month, day(last_day(day))::int as days from d")
+def calendar(spark, sf_dir):
+    day = F.explode(F.expr("sequence(date '2023-12-28', date '2024-03-02', interval 1 day)")).alias("day")
+    return spark.range(1).select(day).select(F.col("day").cast("timestamp_ntz").alias("day"), F.weekday("day").alias("weekday"), F.date_diff("day", F.lit("2023-12-28").cast("date")).alias("n"), F.date_format("day", "MMMM").alias("month"), F.day(F.last_day("day")).alias("days"))
+
+
+@query("select key, n from (select lower(event_type) as key, count(*) as n from events group by 1) where starts_with(key, 'p')")
+def prefix_search(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy(F.lower("event_type").alias("key")).agg(F.count("*").alias("n")).where(F.col("key").startswith("p"))
+
+
+@query("select event_id, 'k' as name, (json_extract(props, '$.k'))::varchar as value from events where props is not null and json_extract(props, '$.k') is not null")
+def flat_properties(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
+    return rows.where("name = 'k' and value is not null")
