@@ -17,7 +17,7 @@ ORDER_SAMPLE, MOST_FREQUENT = 32, 1_000_000
 #: Pairs in one numpy step of list_pairs(); rows of text in one output batch.
 STEP_PAIRS, STEP_ROWS = 1 << 20, 1_000
 #: Lists longer than this are settled in groups, by blocks of this many sets.
-LONG_LIST, GROUP_BLOCK = 48, 1_500
+LONG_LIST, GROUP_BLOCK = 48, 400
 
 
 def _row_sets(column: pa.Array, width: int):

@@ -29,7 +29,11 @@ _WORD = "|".join(_DIGITS)
 _SPELLED = re.compile(rf"\b(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20-]+(?:{_WORD})){{2,}}\b", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_WORD}", re.I)
 _BRACKET = re.compile(r"\x20*[(\[{<]\x20*(at|dot)\x20*[)\]}>]\x20*", re.I)
-_PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{1,63})*?\x20dot\x20[A-Za-z0-9-]{1,63}", re.I)
+# Last labels that make plain words an address, as in "ann at example dot com" (fixed values).
+_LAST = "com|org|net|edu|gov|int|info|biz|io|dev|app|co|me|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|jp|cn|in|br|ru|pl|se|no|dk|fi|ie|pt|mx"
+_PLAIN = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20at\x20)[A-Za-z0-9-]{{1,63}}(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{{1,63}})*?\x20dot\x20(?:{_LAST})\b", re.I
+)
 _PLAIN_DOT = re.compile(r"\x20dot\x20", re.I)
 _HINT = re.compile(r"[(\[{<]\x20*(?:at|dot)\x20*[)\]}>]|\x20dot\x20", re.I)
 
