@@ -62,7 +62,7 @@ def tail(c: Column, n: int) -> Column:
 
 def fixed(c: Column, decimals: int) -> Column:
     """A number with so many decimals, halves to even on the binary value."""
-    return F.replace(F.format_number(c, "0." + "0" * decimals if decimals else "0"), F.lit(","), F.lit(""))
+    return F.call_function("format_number", c, F.lit("0." + "0" * decimals if decimals else "0"))
 
 
 def or_missing(c: Column, put: str = "N/A") -> Column:
