@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import bytes_column
 
-#: Words whose ids a worker remembers at most.
-CACHE_WORDS = 400_000
+#: Words in each of the two generations that a worker remembers; marks that are split off words.
+CACHE_WORDS, _MARKS = 500_000, b".,;:!?%&*#$|()"
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long, lot long"
 
 
@@ -22,22 +24,44 @@ def word_ids(tokenizer_path: str):
     """A function from a text's bytes to its ids as little-endian 32-bit integers.
 
     The vocabulary drops white space and never merges across it, so the ids of a text are those of its words;
-    the words' ids are remembered.
+    the words' ids are remembered, the longest unused ones given up first.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path)
     known: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
+
+    def look_up(new: list[bytes]) -> None:
+        """Put the ids of new words into known: from the older ones, or from the tokenizer."""
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+        new = [w for w in new if w not in known]
+        for w, e in zip(new, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
     def encode(text: bytes) -> bytes:
+        nonlocal known, older
+        if b"<|" not in text:  # the vocabulary lower-cases all but its special tokens
+            text = text.lower()
         parts = text.split()
         if new := {w for w in parts if w not in known}:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
+            if len(known) > CACHE_WORDS:
+                known, older = {}, known
                 new = set(parts)
-            new = list(new)
-            for w, e in zip(new, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+            # Marks after an ASCII letter or digit are tokens of their own, so such a word is its stem and its marks.
+            ends = {}
+            for w in new:
+                stem = w.rstrip(_MARKS)
+                if len(stem) < len(w) and stem and stem[-1:].isalnum():
+                    ends[w] = stem, w[len(stem) :]
+            whole = new - ends.keys()
+            whole.update(x for pair in ends.values() for x in pair if x not in known)
+            look_up(list(whole))
+            for w, (stem, marks) in ends.items():
+                known[w] = known[stem] + known[marks]
         return b"".join(map(known.__getitem__, parts))
 
     return encode
