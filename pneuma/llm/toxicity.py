@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of the training sample: confirmed toxic ones, and unlabelled text. Features that the classifier keeps.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3_000, 6_000, 4_000
 #: Buckets of the feature hash, and words whose features a worker remembers at most.
-BUCKETS, CACHE_WORDS = 1 << 22, 300_000
+BUCKETS, CACHE_WORDS = 1 << 22, 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -34,9 +34,9 @@ def _remainder(column: str) -> F.Column:
 
 
 def _sampled(batches):
-    for batch in batches:
-        words = [sorted(text_words(t.as_py())) for t in batch.column("text")]
-        yield pa.record_batch([batch.column("positive"), batch.column("other"), pa.array(words, pa.list_(pa.string()))], ["positive", "other", "words"])
+    for part in (b.slice(lo, 250) for b in batches for lo in range(0, len(b), 250)):  # a few texts at once, as words take much memory
+        words = pa.array([sorted(text_words(t.as_py())) for t in part.column("text")], pa.list_(pa.string()))
+        yield pa.record_batch([part.column("positive"), part.column("other"), words], ["positive", "other", "words"])
 
 
 def fit(table: pa.Table, prior: float, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4) -> dict:
