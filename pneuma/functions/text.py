@@ -75,3 +75,19 @@ def template(c: Column, values: dict[str, Column]) -> Column:
     for name in sorted(values, key=len, reverse=True):
         c = F.replace(c, F.lit(f"--{name}"), values[name].cast("string"))
     return c
+
+
+def wrapped(c: Column, width: int) -> Column:
+    """The lines of a text, filled word by word up to width characters; a longer word is cut on lines of its own.
+
+    A text that fits is one line as it is; a null or blank one is one empty line.
+    """
+    whole = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    words = F.split(whole, r"(?U)\s+")
+    joined = lambda s, w: F.concat_ws(" ", s["line"], w)
+    start = F.struct(F.array().cast("array<string>").alias("done"), words[0].alias("line"))
+    step = lambda s, w: F.when(F.char_length(joined(s, w)) <= width, F.struct(s["done"].alias("done"), joined(s, w).alias("line"))).otherwise(
+        F.struct(F.concat(s["done"], F.array(s["line"])).alias("done"), w.alias("line")))
+    filled = F.reduce(F.slice(words, 2, F.size(words)), start, step, lambda s: F.concat(s["done"], F.array(s["line"])))
+    cut = lambda line: F.regexp_extract_all(line, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    return F.when(F.char_length(whole) <= width, F.array(whole)).otherwise(F.flatten(F.transform(filled, cut)))

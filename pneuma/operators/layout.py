@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,40 @@ def k_medians(df: DataFrame, k: int, value: str = "x", key: str = "case_no", rou
         return pa.table({key: pa.array([keys[0].as_py()] * k, pa.int64()), "idx": pa.array(range(k), pa.int32()), "centre": pa.array(c)})
 
     return df.select(F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, f"{key} long, idx int, centre double")
+
+
+def merge_neighbours(tokens: DataFrame, keys: list[str], max_gap: float = 18, tie: str = "pos") -> DataFrame:
+    """Tokens of a line whose gap to what lies left of them is at most max_gap become one.
+
+    Texts are joined by spaces, the box is the union, the confidence the least, and the centre the running mean of two
+    (of what was merged so far and the next token). Columns: text, conf, cx, cy, x0, y0, x1, y1.
+    """
+    w = Window.partitionBy(*keys).orderBy("cx", tie)
+    opens = F.when(F.col("x0") - F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1)) > max_gap, 1).otherwise(0)
+    part = tokens.withColumn("_opens", opens).withColumn("part", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct("cx", tie, "cy", "text")))
+    whole = part.groupBy(*keys, "part").agg(ordered.alias("_t"), F.min("conf").alias("conf"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    centre = lambda c: F.reduce(F.slice("_t", 2, F.size("_t")), F.col("_t")[0][c].cast("double"), lambda a, t: (a + t[c]) / 2)
+    return whole.select(*keys, "part", F.array_join(F.transform("_t", lambda t: t["text"]), " ").alias("text"), "conf", centre("cx").alias("cx"), centre("cy").alias("cy"), "x0", "y0", "x1", "y1")
+
+
+def anchored_centres(centres: Column, headers: Column, columns: list[str], step: float = 8.0) -> Column:
+    """One increasing position for each column, from cluster centres (array) and header positions (map by column).
+
+    A known header gives its position and passes over the centres up to it; another column takes the next centre, or
+    lies step beyond the column before where none is left. A position not beyond the one before moves 1 past it.
+    Without centres there are no positions.
+    """
+    ordered = F.array_sort(F.transform(F.coalesce(centres, F.array().cast("array<double>")), lambda c: c.cast("double")))
+
+    def take(state: Column, name: Column) -> Column:
+        head = F.try_element_at(headers, name).cast("double")
+        next_centre = F.get(ordered, state["j"])
+        at = F.coalesce(head, next_centre, F.element_at(state["out"], -1) + step)
+        passed = F.when(head.isNotNull(), F.greatest(state["j"], F.size(F.filter(ordered, lambda c: c <= head)))).otherwise(state["j"] + 1)
+        return F.struct(F.concat(state["out"], F.array(at)).alias("out"), passed.alias("j"))
+
+    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0).alias("j"))
+    raw = F.reduce(F.array(*[F.lit(c) for c in columns]), start, take, lambda s: s["out"])
+    rising = F.reduce(raw, F.array().cast("array<double>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.greatest(x, F.when(x <= F.try_element_at(out, F.lit(-1)), F.try_element_at(out, F.lit(-1)) + 1)), x))))
+    return F.when(F.size(ordered) > 0, rising).otherwise(F.array().cast("array<double>"))

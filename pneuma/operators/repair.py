@@ -81,3 +81,20 @@ def derived_ratios(df: DataFrame, key: str = "case_no") -> DataFrame:
     """FEV1/FVC of each case (whole percent, halves to even) from its sibling rows; 0 counts as missing."""
     of = lambda m, c: F.min(F.when(F.col("metric") == m, F.nullif(F.col(c), F.lit(0.0))))
     return df.groupBy(key).agg(*[F.bround(of("FEV1", c) / of("FVC", c) * 100, 0).cast("int").alias(f"ratio_{c}") for c in ("pre_best", "post_best")])
+
+
+def suspicious(rows: DataFrame, mode: str = "auto") -> DataFrame:
+    """rows with re_* flags: cells of lln, pred, pre_pct and pre_z that are missing or contradict their row.
+
+    mode "force" flags every cell and any other than "auto" none. A rule that needs a missing value does not flag.
+    """
+    c = F.col
+    far = F.abs(c("pre_best") - c("pred")) >= F.greatest(F.lit(0.02), 0.01 * F.greatest(F.lit(1.0), F.abs(c("pred"))))
+    rules = {
+        "pred": [c("pred") <= c("lln") + 0.01],
+        "lln": [c("lln") > c("pred") + 0.01, (c("pred") > 0) & (c("lln") < 0.2 * c("pred"))],
+        "pre_pct": [(c("pred") != 0) & (F.abs(c("pre_pct") - c("pre_best") / F.nullif(c("pred"), F.lit(0.0)) * 100) >= 5)],
+        "pre_z": [far & (F.sign(c("pre_z")) * F.when(c("pre_best") < c("pred"), -1).otherwise(1) < 0), (c("pre_best") < c("lln") - 0.01) & (c("pre_z") > -1.2), c("pred").isNotNull() & c("pre_best").isNotNull() & (F.abs(c("pre_z")) > 6)],
+    }
+    flag = lambda name, tests: F.lit(True) if mode == "force" else F.lit(False) if mode != "auto" else c(name).isNull() | F.coalesce(F.greatest(*[F.coalesce(t, F.lit(False)) for t in tests], F.lit(False)), F.lit(False))
+    return rows.withColumns({f"re_{name}": flag(name, tests) for name, tests in rules.items()})

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clinical, text
-from ..operators import batch, boxes, classify, layout, metrics, repair
+from ..functions import clinical, colour, text
+from ..operators import batch, boxes, classify, labels, layout, metrics, repair
+from ..sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -387,3 +388,66 @@ def prefix_search(spark, sf_dir):
 def flat_properties(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
     return rows.where("name = 'k' and value is not null")
+
+
+@query()
+def matched_labels(spark, sf_dir):
+    """Labels read with lost and wrong letters, one for each line item, against the metric names."""
+    name = F.element_at(F.array(*[F.lit(m) for m in files.METRICS]), (F.col("l_partkey") % 13 + 1).cast("int"))
+    label = F.overlay(name, F.lit("#"), (F.col("l_suppkey") % 9 + 1).cast("int"), F.lit(1))
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_orderkey") % 5 == 0, name).otherwise(label).alias("label"))
+    return labels.match_labels(rows, files.METRICS, {"fef2575%": "FEF25%-75%", "ratio": "FEV1/FVC"})
+
+
+_HEADS = """select l_orderkey as case_no, l_linenumber::bigint as pos, min(l_partkey % 200)::double as cx, min(l_suppkey % 30)::double as cy, min(l_returnflag) as text, min(l_tax)::double as conf,
+    min(l_partkey % 200)::double - min(l_quantity)::double / 4 as x0, min(l_partkey % 200)::double + min(l_quantity)::double / 4 as x1, min(l_suppkey % 30)::double - 5 as y0, min(l_suppkey % 30)::double + 5 as y1 from lineitem group by l_orderkey, l_linenumber"""
+
+
+@query(f"""with a as (select *, max(x1) over (partition by case_no order by cx, pos rows between unbounded preceding and 1 preceding) as reach from ({_HEADS})),
+    b as (select *, sum(case when x0 - reach > 18 then 1 else 0 end) over (partition by case_no order by cx, pos rows unbounded preceding)::bigint as part from a)
+    select case_no, part, string_agg(text, ' ' order by cx, pos) as text, min(conf) as conf, list_reduce(list(cx order by cx, pos), lambda u, v: (u + v) / 2) as cx,
+        list_reduce(list(cy order by cx, pos), lambda u, v: (u + v) / 2) as cy, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from b group by case_no, part""")
+def merged_headers(spark, sf_dir):
+    cx, cy, half = F.min(F.col("l_partkey") % 200).cast("double"), F.min(F.col("l_suppkey") % 30).cast("double"), F.min("l_quantity").cast("double") / 4
+    heads = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").cast("long").alias("pos")).agg(
+        cx.alias("cx"), cy.alias("cy"), F.min("l_returnflag").alias("text"), F.min("l_tax").cast("double").alias("conf"), (cx - half).alias("x0"), (cx + half).alias("x1"), (cy - 5).alias("y0"), (cy + 5).alias("y1"))
+    return layout.merge_neighbours(heads, ["case_no"])
+
+
+@query()
+def anchored_columns(spark, sf_dir):
+    """Positions of four columns of each order, two of whose headers may be known."""
+    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no")).agg(F.collect_list((F.col("l_partkey") % 200).cast("double")).alias("centres"))
+    known = F.map_filter(F.create_map(F.lit("b"), (F.col("case_no") % 90).cast("double"), F.lit("d"), (F.col("case_no") % 170).cast("double")), lambda k, v: v % 3 != 0)
+    return rows.select("case_no", F.posexplode(layout.anchored_centres(F.col("centres"), known, ["a", "b", "c", "d"])).alias("idx", "x"))
+
+
+@query(f"""select case_no, metric, pred is null or coalesce(pred <= lln + 0.01::double, false) as re_pred,
+    lln is null or coalesce(lln > pred + 0.01::double, false) or coalesce(pred > 0 and lln < 0.2::double * pred, false) as re_lln,
+    pre_pct is null or coalesce(pred <> 0 and abs(pre_pct - pre_best / pred * 100) >= 5, false) as re_pre_pct,
+    pre_z is null or coalesce(abs(pre_best - pred) >= greatest(0.02::double, 0.01::double * greatest(1.0::double, abs(pred))) and (pre_best < pred and pre_z > 0 or pre_best >= pred and pre_z < 0), false)
+        or coalesce(pre_best < lln - 0.01::double and pre_z > -1.2::double, false) or coalesce(pre_best is not null and pred is not null and abs(pre_z) > 6, false) as re_pre_z from ({_CELLS})""")
+def suspicious_cells(spark, sf_dir):
+    return repair.suspicious(_cells(spark, sf_dir)).select("case_no", "metric", "re_pred", "re_lln", "re_pre_pct", "re_pre_z")
+
+
+_RGB = "select p_partkey, p_partkey % 256 as r, p_partkey * 7 % 256 as g, p_partkey * p_partkey % 251 as b from part"
+
+
+@query(f"""with a as (select *, greatest(r, g, b) / 255.0::double as v, least(r, g, b) / 255.0::double as m from ({_RGB})),
+    b as (select p_partkey, v, case when v = 0 then 0 else (v - m) / v end as s, case when v = m then 0 when greatest(r, g, b) = r then 60 * ((g - b) / 255.0::double) / (v - m)
+        when greatest(r, g, b) = g then 60 * ((b - r) / 255.0::double) / (v - m) + 120 else 60 * ((r - g) / 255.0::double) / (v - m) + 240 end as h from a)
+    select p_partkey, round(case when h < 0 then h + 360 else h end, 6) as h, round(s, 9) as s, round(v, 9) as v, round(least(s * 1.05::double, 1), 9) as dark_s, round(v * 0.5::double, 9) as dark_v from b""")
+def colours(spark, sf_dir):
+    k = F.col("p_partkey").cast("long")
+    hsv = _table(spark, sf_dir, "part").select("p_partkey", colour.to_hsv(k % 256, k * 7 % 256, k * k % 251).alias("c"))
+    dark = hsv.withColumn("d", colour.shade(F.col("c"), "DARK_2"))
+    return dark.select("p_partkey", F.round("c.h", 6).alias("h"), *[F.round(f"c.{x}", 9).alias(x) for x in "sv"], F.round("d.s", 9).alias("dark_s"), F.round("d.v", 9).alias("dark_v"))
+
+
+@query(r"""with a as (select conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) as t from conversations where text is not null),
+    b as (select *, list_reduce(regexp_split_to_array(t, '\s+'), lambda u, v: case when length(split_part(u, chr(10), -1)) + 1 + length(v) <= 60 then u || ' ' || v else u || chr(10) || v end) as f from a)
+    select conv_id, turn, case when length(t) <= 60 then t else array_to_string(flatten(list_transform(string_split(f, chr(10)), lambda x: regexp_extract_all(x, '.{1,60}'))), chr(10)) end as lines from b""")
+def wrapped_turns(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", F.array_join(text.wrapped(F.col("text"), 60), "\n").alias("lines"))
