@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pyarrow as pa
@@ -23,19 +24,25 @@ _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναικρ", "ABEZHIKMNOPTYXova
 _CYRILLIC = dict(zip("АВЕКМНОРСТУХЅІЈаеорсухѕіјһԁ", "ABEKMHOPCTYXSIJaeopcyxsijhd", strict=True))
 _SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " "}
 _GONE = "­​‌‍⁠﻿"
-_ODD = re.compile(f"[Ͱ-ԯ٠-٩۰-۹०-९‐-–․−。﹫！-～  {_GONE}]")
+_OTHER_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal())
+_ODD = re.compile(f"[Ͱ-ԯ{_OTHER_DIGITS}‐-–․−。﹫！-～  {_GONE}]")
 _DIGITS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789", strict=True))
 _WORD = "|".join(_DIGITS)
 _SPELLED = re.compile(rf"\b(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20-]+(?:{_WORD})){{2,}}\b", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_WORD}", re.I)
 _BRACKET = re.compile(r"\x20*[(\[{<]\x20*(at|dot)\x20*[)\]}>]\x20*", re.I)
 # Last labels that make plain words an address, as in "ann at example dot com" (fixed values).
-_LAST = "com|org|net|edu|gov|int|info|biz|io|dev|app|co|me|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|jp|cn|in|br|ru|pl|se|no|dk|fi|ie|pt|mx"
-_PLAIN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20at\x20)[A-Za-z0-9-]{{1,63}}(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{{1,63}})*?\x20dot\x20(?:{_LAST})\b", re.I
+_LAST = set(
+    "com|org|net|edu|gov|mil|int|info|biz|name|io|dev|app|co|me|tv|xyz|online|site|shop|tech|cloud|email|ai|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|nz|jp|cn|kr|tw|hk|sg|in|br|ar|cl|ru|ua|by|kz"
+    "|pl|cz|sk|hu|ro|bg|hr|si|gr|tr|il|ir|sa|ae|eg|za|ng|ke|th|vn|id|ph|se|no|dk|fi|ie|pt|mx|lu|lt|lv|ee|cy".split("|")
 )
-_PLAIN_DOT = re.compile(r"\x20dot\x20", re.I)
-_HINT = re.compile(r"[(\[{<]\x20*(?:at|dot)\x20*[)\]}>]|\x20dot\x20", re.I)
+_PLAIN_AT = re.compile(r"(?<!\x20)\x20+at\x20+", re.I)
+_PLAIN_DOT = re.compile(r"(?<!\x20)\x20+dot\x20+", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_GROUP = rf"(?:[0-9]++|\b(?:{_WORD})\b)"
+_PLAIN_IP = re.compile(rf"(?<![0-9]){_GROUP}(?:(?:\.|\x20+dot\x20+){_GROUP})++", re.I)
+_GROUP_WORD = re.compile(rf"\b(?:{_WORD})\b", re.I)
+_HINT = re.compile(r"[(\[{<]\x20*(?:at|dot)\x20*[)\]}>]", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -94,13 +101,14 @@ def _plain(c: str) -> str:
 def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
     """The text with its disguises undone, and for each of its characters the source span; None if there are none.
 
-    Two transducers in turn, each a list of (start, end, replacement): characters (homoglyphs, digits of other scripts,
-    invisible ones), then words (spelled digits in runs of three or more, at and dot in brackets or between words).
+    Transducers in turn, each a list of (start, end, replacement): characters (homoglyphs, digits of other scripts,
+    invisible ones), then words (spelled digits in runs of three or more, at and dot in brackets), then at and dot
+    between words.
     """
     begin: list[int] | range = range(len(text))
     end: list[int] | range = range(1, len(text) + 1)
     changed = False
-    for stage in (_characters, _words):
+    for stage in (_characters, _words, _between):
         edits = stage(text)
         if not edits:
             continue
@@ -128,25 +136,78 @@ def _words(text: str):
     edits = [(m.start(), m.end(), "".join("+" if w.lower() == "plus" else _DIGITS[w.lower()] for w in _SPELLED_PART.findall(m[0]))) for m in _SPELLED.finditer(text)]
     if _HINT.search(text):
         edits += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKET.finditer(text)]
-        for m in _PLAIN.finditer(text):
-            edits.append((*m.span(1), "@"))
-            edits += [(*d.span(), ".") for d in _PLAIN_DOT.finditer(text, m.end(1), m.end())]
-        # Dots spelled after an address in brackets, as in "a (at) b dot c".
-        for m in re.finditer(r"[)\]}>]\x20*[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63})+", text):
-            edits += [(*d.span(), ".") for d in _PLAIN_DOT.finditer(text, m.start(), m.end())]
-    edits.sort()
+    return _apart(edits)
+
+
+def _apart(edits):
+    """Sorted; of edits that overlap the first stays."""
     kept, at = [], 0
-    for e in edits:  # of edits that overlap the first stays
+    for e in sorted(edits):
         if e[0] >= at:
             kept.append(e)
             at = e[1]
     return kept
 
 
+def _between(text: str):
+    """at and dot as words of their own, each undone by itself.
+
+    dot: between the labels before and after an @ or at, of any number and length, and between four or more groups of
+    digits (single digits may be spelled). at: before labels whose last is in _LAST, be the dots spelled or not, unless
+    the first is www, which makes it a site.
+    """
+    dots = {m.start(): m.end() for m in _PLAIN_DOT.finditer(text)}
+    before = {b: a for a, b in dots.items()}
+    edits = set()
+
+    def labels(at: int):
+        """(end, the dot before it if spelled, label) of the labels from at on."""
+        out, gap = [], None
+        while m := _LABEL.match(text, at):
+            out.append((m.end(), gap, m[0]))
+            at = m.end()
+            if text.startswith(".", at):
+                gap, at = None, at + 1
+            elif at in dots:
+                gap, at = (at, dots[at], "."), dots[at]
+            else:
+                break
+        return out
+
+    def local(at: int):
+        """Spelled dots of the local part that ends at at; None if there is no local part."""
+        out, low = [], at
+        while low and not _NOT_LOCAL.match(text, low - 1):
+            low -= 1
+            if (a := before.get(low)) and not _NOT_LOCAL.match(text, a - 1):
+                out.append((a, low, "."))
+                low = a
+        return out if low < at else None
+
+    for m in _PLAIN_AT.finditer(text):
+        found = labels(m.end())
+        while found and found[-1][2].lower() not in _LAST:
+            found.pop()
+        if len(found) > 1 and found[0][2].lower() != "www" and (own := local(m.start())) is not None:
+            edits.update([(*m.span(), "@"), *own, *(g for _, g, _ in found if g)])
+    if dots:
+        at = text.find("@")
+        while at >= 0:
+            if (own := local(at)) is not None:
+                edits.update([*own, *(g for _, g, _ in labels(at + 1) if g)])
+            at = text.find("@", at + 1)
+        for m in _PLAIN_IP.finditer(text):
+            gaps = [d.span() for d in _PLAIN_DOT.finditer(text, *m.span())]
+            if gaps and len(gaps) + m[0].count(".") >= 3:
+                edits.update((*g, ".") for g in gaps)
+                edits.update((*d.span(), _DIGITS[d[0].lower()]) for d in _GROUP_WORD.finditer(text, *m.span()))
+    return _apart(edits)
+
+
 def detect(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: base ones and those that only the normalised text shows.
 
-    A span of the normalised text is added if it overlaps no base span of its kind.
+    A span of the normalised text is added unless it lies within a base span of its kind.
     """
     base = find(text)
     undone = normalise(text)
@@ -155,7 +216,7 @@ def detect(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     plain, begin, end = undone
     more = [(begin[a], k, end[b - 1]) for a, k, b in find(plain)]
     own = {k: [(a, b) for a, kind, b in base if kind == k] for k in range(len(KINDS))}
-    added = [x for x in more if all(x[2] <= a or x[0] >= b for a, b in own[x[1]])]
+    added = [x for x in more if not any(a <= x[0] and x[2] <= b for a, b in own[x[1]])]
     return base, sorted(set(base + added))
 
 

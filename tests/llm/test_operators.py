@@ -182,6 +182,22 @@ def test_pii_disguises(text, found):
     assert found not in pii.redact(text, spans)
 
 
+@pytest.mark.parametrize(
+    "found",
+    ["john@example dot com", "ann at example.com", "a" * 70 + " at example dot com", "192 dot 168 dot 0 dot 1", "192.168 dot zero dot 1", "john dot smith at example dot com",
+     "john dot smith@example.com", "john dot smith (at) mail dot example dot co dot uk", "ann at example dot co dot uk", "๑๙๒.๑๖๘.๐.๑", "𝟏𝟗𝟐.𝟏𝟔𝟖.𝟎.𝟏", "192.168.0.1２"],
+)
+def test_pii_at_and_dot_are_undone_independently(found):
+    text = f"so, {found}, yes"
+    assert found in [text[a:b] for a, _, b in pii.detect(text)[1]]
+    assert pii.redact(text, pii.detect(text)[1]) in ("so, <EMAIL>, yes", "so, <IP>, yes")
+
+
+def test_pii_plain_words_stay():
+    for s in ("see us at www.example.com", "look at file.txt", "1 dot 2 dot 3", "at 5.30 dot", "the dot at the end. dot com"):
+        assert pii.detect(s) == ([], [])
+
+
 def test_pii_leaves_prose_alone(docs, rows, empty):
     assert pii.detect("look at the dot on top at noon. one two") == ([], [])
     assert pii.scan(docs).where(F.size("spans") > 0).count() == 0
