@@ -13,7 +13,7 @@ from .common import dropped, written
 NEIGHBOURS, LINKS, ROUNDS, ORDERS, BLOCK = 40, 60, 3, 12, 1024
 #: Search: entries kept for a query, entries opened in a round, rounds, entries scored exactly.
 POOL, OPENED, SEARCH_ROUNDS, RESCORED = 240, 40, 5, 60
-_EDGES = "node long, other long, near float"
+_EDGES = "node long, other long, near double"
 
 
 def _combined(kind: str, k: int):
@@ -61,8 +61,8 @@ def _whole(batches, names):
     return out
 
 
-def _orders(kind: str, dim: int, bits: int, scale: float):
-    """The vector in 8 bits, and its place in each of the random orders: signs on random planes, then a projection."""
+def _orders(kind: str, dim: int, bits: int):
+    """The vector, and its place in each of the random orders: signs on random planes, then a projection."""
     planes = [np.random.default_rng(100 + t).standard_normal((dim, bits + 1)) for t in range(ORDERS)]
 
     def run(batches):
@@ -70,25 +70,24 @@ def _orders(kind: str, dim: int, bits: int, scale: float):
             if not len(batch):
                 continue
             v = np.frombuffer(b"".join(batch.column("vec").to_pylist()), kind).reshape(len(batch), dim)
-            small = np.clip(np.rint(v * scale), -127, 127).astype(np.int8)
-            q = pa.array([x.tobytes() for x in small], pa.binary())
             for t, p in enumerate(planes):
                 z = v @ p
                 code = (z[:, :-1] > 0) @ (1 << np.arange(bits))
-                yield pa.record_batch([batch.column("node"), q, pa.array(np.full(len(v), t, np.int32)), pa.array(code.astype(np.int64)), pa.array(z[:, -1].astype(float))], ["node", "q", "tree", "code", "along"])
+                yield pa.record_batch([batch.column("node"), batch.column("vec"), pa.array(np.full(len(v), t, np.int32)), pa.array(code.astype(np.int64)), pa.array(z[:, -1].astype(float))], ["node", "q", "tree", "code", "along"])
 
     return run
 
 
-def _first(dim: int):
+def _first(kind: str, dim: int):
     """Nearest rows among the BLOCK next to each in its order."""
 
     def run(batches):
         node, q, tree = _whole(batches, ["node", "q", "tree"])
         for lo in range(0, len(node), BLOCK):
             ids, trees = node[lo : lo + BLOCK], tree[lo : lo + BLOCK]
-            x = np.frombuffer(b"".join(q[lo : lo + BLOCK]), np.int8).reshape(-1, dim).astype(np.float32)
+            x = np.frombuffer(b"".join(q[lo : lo + BLOCK]), kind).reshape(-1, dim).astype(float)
             near = x @ x.T
+            near = np.maximum(near, near.T)  # one value a pair
             near[trees[:, None] != trees[None, :]] = -np.inf
             np.fill_diagonal(near, -np.inf)
             k = min(NEIGHBOURS, len(ids) - 1)
@@ -104,12 +103,13 @@ def _first(dim: int):
 
 def _top(node, other, near, k):
     """Indices of the k nearest distinct others of each node, nearest first; and their ranks."""
-    order = np.lexsort((other, -near, node))
+    # The values of a pair may differ in the last place, as sums are taken in another order; the first given stays.
+    order = np.lexsort((other, node))
     n, o = node[order], other[order]
-    # The same pair has the same value, so its repeats are neighbours.
     keep = np.ones(len(n), bool)
     keep[1:] = (n[1:] != n[:-1]) | (o[1:] != o[:-1])
     order = order[keep]
+    order = order[np.lexsort((other[order], -near[order], node[order]))]
     n = node[order]
     begin = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])) if len(n) else np.zeros(0, np.int64)
     rank = np.arange(len(n)) - np.repeat(begin, np.diff(np.append(begin, len(n))))
@@ -121,7 +121,7 @@ def _nearest(k: int):
         node, other, near = _whole(batches, ["node", "other", "near"])
         at, rank = _top(node, other, near, k)
         at = at[node[at] != other[at]]
-        yield pa.record_batch([pa.array(node[at].astype(np.int64)), pa.array(other[at].astype(np.int64)), pa.array(near[at].astype(np.float32))], ["node", "other", "near"])
+        yield pa.record_batch([pa.array(node[at].astype(np.int64)), pa.array(other[at].astype(np.int64)), pa.array(near[at].astype(float))], ["node", "other", "near"])
 
     return run
 
@@ -141,18 +141,18 @@ def _packed(batches):
         )
 
 
-def _opened(dim: int, best: int):
+def _opened(kind: str, dim: int, best: int):
     """For each row (a node, its vector, its bound, an opened one's links): the nearest of those links above the bound."""
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
+            for lo in range(0, len(batch), 250):
                 part = batch.slice(lo, 1000)
                 links = part.column("links").to_pylist()
                 m = np.array([len(x) // 8 for x in links])
                 ids = np.frombuffer(b"".join(links), "<i8")
-                v = np.frombuffer(b"".join(part.column("vectors").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-                q = np.frombuffer(b"".join(part.column("q").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+                v = np.frombuffer(b"".join(part.column("vectors").to_pylist()), kind).reshape(-1, dim).astype(float)
+                q = np.frombuffer(b"".join(part.column("q").to_pylist()), kind).reshape(-1, dim).astype(float)
                 row = np.repeat(np.arange(len(m)), m)
                 near = np.einsum("ij,ij->i", v, q[row])
                 node = part.column("node").to_numpy()[row]
@@ -168,8 +168,8 @@ def _opened(dim: int, best: int):
 def _pool(batches):
     """The POOL nearest entries of each query; next marks the nearest OPENED that haven't been opened."""
     node, other, near, done = _whole(batches, ["node", "other", "near", "done"])
-    near = near.astype(np.float32)
-    order = np.lexsort((~done.astype(bool), other, -near, node))
+    near = near.astype(float)
+    order = np.lexsort((~done.astype(bool), other, node))
     node, other, near, done = node[order], other[order], near[order], done[order].astype(bool)
     at, _ = _top(node, other, near, POOL)
     node, other, near, done = node[at], other[at], near[at], done[at]
@@ -198,7 +198,8 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str
 
     Nearness is the inner product in double precision of the vectors as given; ties go to the smaller id. Equal vectors
     are one node of the graph, with their k + 1 least ids, which is all that any query can return of them. All rows are
-    in the graph; descent and search compare vectors in 8 bits, and the RESCORED best of each query are scored exactly.
+    in the graph. Descent and search compare the vectors as given, in double precision, so neither one large component
+    nor a group of nearly equal vectors makes others tie; the RESCORED best of each query and ties of the last are scored.
 
     Rows take no part if the id is null, or the vector is null, zero, holds null, NaN or infinite components, or has
     another length than most. Rows that bear the query's own id are passed over. Fewer rows than k: all are returned.
@@ -208,11 +209,11 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str
     raw = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = raw.where(F.col("vec_id").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(F.expr("array_max(transform(embedding, x -> abs(x)))")).alias("top"))
+    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
     usual = sizes.orderBy(F.desc("n"), "dim").first()
     if usual is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, scale = usual["dim"], 127 / usual["top"]
+    dim = usual["dim"]
     rows = rows.where(F.size("embedding") == dim)
 
     least = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k + 1)
@@ -222,10 +223,10 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str
     n = nodes.count()
 
     bits = max(1, min(16, (n // BLOCK).bit_length()))
-    ordered = nodes.select("node", "vec").mapInArrow(_orders(kind, dim, bits, scale), "node long, q binary, tree int, code long, along double")
+    ordered = nodes.select("node", "vec").mapInArrow(_orders(kind, dim, bits), "node long, q binary, tree int, code long, along double")
     quick = written(ordered.where("tree = 0").select("node", "q"), "ann-vectors")
     parts = max(1, ORDERS * n // 20_000)
-    met = ordered.repartitionByRange(parts, "tree", "code", "along").sortWithinPartitions("tree", "code", "along").mapInArrow(_first(dim), _EDGES)
+    met = ordered.repartitionByRange(parts, "tree", "code", "along").sortWithinPartitions("tree", "code", "along").mapInArrow(_first(kind, dim), _EDGES)
     lists = written(met.repartition("node").mapInArrow(_nearest(NEIGHBOURS), _EDGES), "ann-lists")
 
     def linked(lists: DataFrame) -> DataFrame:
@@ -236,9 +237,9 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str
 
     graph = linked(lists)
     for _ in range(ROUNDS if n > 1 else 0):
-        bound = lists.groupBy("node").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("near")).otherwise(float("-inf")).cast("float").alias("bound"))
+        bound = lists.groupBy("node").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("near")).otherwise(float("-inf")).cast("double").alias("bound"))
         asked = lists.select("node", "other").join(quick.join(bound, "node"), "node")
-        found = asked.join(graph, "other").select("node", "q", "bound", "links", "vectors").mapInArrow(_opened(dim, 8), _EDGES)
+        found = asked.join(graph, "other").select("node", "q", "bound", "links", "vectors").mapInArrow(_opened(kind, dim, 8), _EDGES)
         new = written(lists.union(found).repartition("node").mapInArrow(_nearest(NEIGHBOURS), _EDGES), "ann-lists")
         moved = new.join(lists.select("node", "other"), ["node", "other"], "left_anti").count()
         dropped(lists), dropped(graph)
@@ -248,21 +249,21 @@ def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str
 
     queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(_keyed(kind), "vec_id long, vec binary").join(nodes.select("vec", "node"), "vec").select(F.col("vec_id").alias("query_id"), "node")
     queries = written(queries, "ann-queries")
-    asking = written(queries.select("node").distinct().join(quick, "node").withColumn("bound", F.lit(float("-inf")).cast("float")), "ann-asking")
+    asking = written(queries.select("node").distinct().join(quick, "node").withColumn("bound", F.lit(float("-inf")).cast("double")), "ann-asking")
     doors = [r[0] for r in quick.select("node").orderBy(F.xxhash64("node"), "node").limit(4).collect()]
     start = asking.select("node", F.explode(F.array_union(F.array("node"), F.array(*[F.lit(d) for d in doors]))).alias("other"))
     pool = None
     for _ in range(SEARCH_ROUNDS):
         opened = start if pool is None else pool.where("next").select("node", "other")
-        found = opened.join(asking, "node").join(graph, "other").select("node", "q", "bound", "links", "vectors").mapInArrow(_opened(dim, 0), _EDGES)
+        found = opened.join(asking, "node").join(graph, "other").select("node", "q", "bound", "links", "vectors").mapInArrow(_opened(kind, dim, 0), _EDGES)
         found = found.withColumn("done", F.lit(False))
         entries = found if pool is None else pool.select("node", "other", "near", "done").union(found)
         new = written(entries.repartition("node").mapInArrow(_pool, f"{_EDGES}, done boolean, next boolean"), "ann-pool")
         if pool is not None:
             dropped(pool)
         pool = new
-    best = Window.partitionBy("node").orderBy(F.desc("near"), "other")
-    close = pool.withColumn("r", F.row_number().over(best)).where(F.col("r") <= RESCORED).select("node", "other").union(asking.select("node", F.col("node")))
+    best = Window.partitionBy("node").orderBy(F.desc("near"))
+    close = pool.withColumn("r", F.rank().over(best)).where(F.col("r") <= RESCORED).select("node", "other").union(asking.select("node", F.col("node")))
     exact = (
         close.join(nodes.select(F.col("node").alias("other"), F.col("vec").alias("b"), "ids"), "other").join(nodes.select("node", F.col("vec").alias("a")), "node")
         .select("node", "a", "b", "ids").mapInArrow(_scores(kind, dim), "node long, ids array<long>, score double")

@@ -247,3 +247,23 @@ def test_neighbours(spark):
     few = ann.neighbours(df.where("vec_id in (0, 100, 101)")).toPandas()
     assert sorted(few.vec_id) == [0, 100] + [101, 101] or sorted(few.vec_id) == [0, 100, 101, 101]
     assert ann.neighbours(df.limit(0)).count() == 0
+
+
+def _recall(spark, v):
+    got = ann.neighbours(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).toPandas()
+    near = v.astype(float) @ v.astype(float).T
+    np.fill_diagonal(near, -np.inf)
+    best = {q: set(np.argsort(-near[q], kind="stable")[:20]) for q in range(0, len(v), 20)}
+    return np.mean([len(best[q] & set(g.vec_id)) / 20 for q, g in got.groupby("query_id")])
+
+
+def test_neighbours_beside_a_large_component_and_in_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((1200, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    large = v.copy()
+    large[7] = 0
+    large[7, 0] = 1000
+    assert _recall(spark, large.astype(np.float32)) >= 0.9
+    v[300:700] = v[300] + 1e-4 * rng.standard_normal((400, 16))
+    assert _recall(spark, v.astype(np.float32)) >= 0.9
