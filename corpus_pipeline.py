@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, exact dedup, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Each result is written and read again as the next stage's docs.
+Each result is written and read again as the next stage's docs. Rows are told apart by a key of their own and not by
+doc_id, so ids may be null or repeated in every stage; a null text counts as empty.
 """
 
 from __future__ import annotations
@@ -14,35 +15,46 @@ from pneuma.llm.common import written
 from pneuma.llm.queries import TOKENIZERS, table
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a unique _row; written, so that it is the same in every read."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go, each row by its own text."""
     return toxicity.kept(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one of the largest id stays."""
-    stays = exact_dedup.dedup(docs).where("kept").select("doc_id")
-    return docs.join(stays.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of rows with equal texts (A-Z lower-cased) one stays: that of the largest id, null being the smallest; of equal ids any one."""
+    rows = _keyed(docs)
+    stays = exact_dedup.dedup(rows.select(F.struct("doc_id", "_row").alias("key"), "text"), "key").where("kept")
+    return rows.join(stays.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the least id stays."""
-    stays = jaccard.components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(stays.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of each class of near-duplicates one row stays: that of the least id, null being the largest; of equal ids any one.
+
+    Rows without words are classes of their own, and stay.
+    """
+    rows = _keyed(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_row")
+    stays = jaccard.components(rows.select(key.alias("key"), "text"), id_col="key").where(F.col("doc_id") == F.col("component_id"))
+    return rows.join(stays.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to its kind in angle brackets; n_chars follows."""
+    """Personal data in the texts gives way to its kind in angle brackets; n_chars follows. Null texts stay null."""
     return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document, tokenised and packed into sequences."""
+    """Every remaining row, tokenised and packed into sequences; a null text is packed as empty."""
     return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("personal_data", redact), ("packing", pack)]
-#: Learning, deobfuscation and packing have no SQL form; the stages are tested one by one against brute force.
+#: Learning, deobfuscation and packing have no SQL form; tests/llm/test_pipeline.py holds the stages and run() against small cases.
 ORACLE_SQL = None
 
 
