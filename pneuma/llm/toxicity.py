@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the training sample: confirmed toxic ones, and unlabelled text. Features that the classifier keeps.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3_000, 6_000, 4_000
-#: Buckets of the feature hash, and words whose features a worker remembers at most.
-BUCKETS, CACHE_WORDS = 1 << 22, 150_000
+#: Buckets of the feature hash, words whose features a worker remembers at most, and the longest of them.
+BUCKETS, CACHE_WORDS, CACHED_LENGTH = 1 << 22, 150_000, 100
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -23,8 +23,8 @@ def text_words(text: str) -> set[str]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a word: itself, its first 4 to 6 letters and its 5-letter parts."""
-    w = f"^{word[:40]}$"
+    """Hashed features of a word: itself, its first 4 to 6 letters and its 5-letter parts, however long it is."""
+    w = f"^{word}$"
     parts = {w, *(w[:n] for n in (5, 6, 7) if n < len(w)), *(w[i : i + 5] for i in range(1, len(w) - 4))}
     return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
@@ -137,7 +137,9 @@ def _run(model: dict):
                     if f is None:
                         if len(known) >= CACHE_WORDS:
                             known.clear()
-                        f = known[w] = tuple(x for x in features(w) if x in weights)
+                        f = tuple(x for x in features(w) if x in weights)
+                        if len(w) <= CACHED_LENGTH:
+                            known[w] = f
                     if f:
                         hit.update(f)
                 scores.append(1 / (1 + np.exp(-min(30.0, max(-30.0, bias + sum(weights[x] for x in sorted(hit)))))))

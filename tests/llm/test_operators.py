@@ -249,6 +249,13 @@ def test_neighbours(spark):
     assert ann.neighbours(df.limit(0)).count() == 0
 
 
+def test_toxicity_reads_long_words_to_their_end(spark):
+    model = {"weights": {x: 9.0 for x in toxicity.features("scumbag") if x not in toxicity.features("x")}, "bias": -5.0}
+    texts = ["字" * 60 + "scumbag" + "字" * 200, "字" * 267]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(rows, model).orderBy("doc_id").collect()] == [1, 0]
+
+
 def _recall(spark, v):
     got = ann.neighbours(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")).toPandas()
     near = v.astype(float) @ v.astype(float).T
