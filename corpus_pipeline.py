@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pneuma.llm import exact_dedup, jaccard, packing, pii, toxicity
 from pneuma.llm.common import written
-from pneuma.llm.queries import TOKENIZERS, table
+from pneuma.llm.queries import WORD_BPE, table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining row, tokenised and packed into sequences; a null text is packed as empty."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
+    return packing.pack(docs, WORD_BPE, capacity=2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies), ("personal_data", redact), ("packing", pack)]

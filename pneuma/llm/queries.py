@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, html_text, jaccard, packing, pii, sharding, substring_dedup, toxicity
 
-TOKENIZERS = os.environ.get("PNEUMA_TOKENIZERS", "/opt/tokenizers")
-#: The pattern that splits text before the merges of the byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Files of the vocabularies, and the pattern that splits text before the merges of the byte-level one.
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_nearest_neighbours(spark, sf_dir):
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048)
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -41,7 +41,7 @@ def op5_exact_dedup(spark, sf_dir):
 
 
 def op6_byte_bpe(spark, sf_dir):
-    coded = bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", PATTERN, decode=True)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN, decode=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -65,22 +65,24 @@ def fit(table: pa.Table, prior: float, epochs: int = 300, rate: float = 0.05, de
         w = codes[rows[i] : rows[i + 1]]
         return np.unique(np.concatenate([flat[begin[k] : begin[k + 1]] for k in w])) if len(w) else np.zeros(0, np.int64)
 
+    of_row = [present(i).astype(np.int32) for i in range(len(positive))]
     in_pos, in_other = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for i in range(len(positive)):
-        at = present(i)
-        in_pos[at] += positive[i]
-        in_other[at] += other[i]
-    p, u = (in_pos + 0.5) / (n_pos + 1), (in_other + 0.5) / (n_other + 1)
-    gain = np.where((p > 1.3 * u) & (in_pos >= 3), in_pos * np.log(p / u) - (in_pos + in_other * n_pos / n_other) * np.log((p + u) / (2 * u)) * 0.5, 0.0)
-    chosen = np.argsort(-gain, kind="stable")[:MOST_FEATURES]
-    chosen = np.sort(chosen[gain[chosen] > 3])
+    for at, pos, oth in zip(of_row, positive, other, strict=True):
+        in_pos[at] += pos
+        in_other[at] += oth
+    often = np.flatnonzero(in_pos >= 3)
+    x, y = in_pos[often], in_other[often]
+    p, u = (x + 0.5) / (n_pos + 1), (y + 0.5) / (n_other + 1)
+    gain = np.where(p > 1.3 * u, x * np.log(p / u) - (x + y * n_pos / n_other) * np.log((p + u) / (2 * u)) * 0.5, 0.0)
+    best = np.argsort(-gain, kind="stable")[:MOST_FEATURES]
+    chosen = np.sort(often[best[gain[best] > 3]])
     if not len(chosen):
         return empty
     where = np.full(BUCKETS, -1, np.int32)
     where[chosen] = np.arange(len(chosen))
     cols, ptr = [], [0]
-    for i in range(len(positive)):
-        c = where[present(i)]
+    for at in of_row:
+        c = where[at]
         cols.append(c[c >= 0])
         ptr.append(ptr[-1] + len(cols[-1]))
     cols, row_of = np.concatenate(cols), np.repeat(np.arange(len(positive)), np.diff(ptr))
@@ -105,12 +107,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample (MOST_POSITIVE confirmed toxic rows, MOST_UNLABELLED rows whatever their label).
 
     Only ids whose crc32 leaves a remainder other than 0 by 5 are read. Labels other than 1 serve to estimate the
-    class prior alone. Rows are drawn by a hash of the id. Without toxic labels the model scores all texts alike.
+    class prior alone. Rows are drawn by a hash of the id. Without toxic labels, or without documents, the model
+    scores all texts alike.
     """
     known = labels.where(_remainder(id_col) != 0).select(F.col(id_col).alias("id"), F.col("toxic").alias("toxic")).where("id is not null and toxic is not null")
     n_toxic, n_known = known.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count("*")).first()
     n_docs = docs.count()
-    if not n_toxic:
+    if not n_toxic or not n_docs:
         return {"weights": {}, "bias": -2.0}
     drawn = lambda col, seed: F.pmod(F.xxhash64(F.lit(seed), col), F.lit(1 << 20)) / float(1 << 20)
     toxic = known.where((F.col("toxic") == 1) & (drawn("id", 11) < MOST_POSITIVE / n_toxic)).select("id").distinct().withColumn("positive", F.lit(1))

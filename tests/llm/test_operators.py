@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pneuma.llm import ann, bpe, exact_dedup, html_text, jaccard, packing, pii, sharding, substring_dedup, toxicity
-from pneuma.llm.queries import PATTERN, TOKENIZERS
+from pneuma.llm.queries import BYTE_BPE, PATTERN, WORD_BPE
 
 WORDS = [f"w{i}" for i in range(400)]
 PASSAGE = " ".join(WORDS[100:160])
@@ -123,7 +123,7 @@ def test_list_pairs_meets_every_cross_pair():
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = WORD_BPE
     tok = Tokenizer.from_file(path)
     want = collections.Counter()
     for _, t, _ in rows:
@@ -147,7 +147,7 @@ def test_packing(docs, rows, empty):
 def test_byte_bpe(docs, rows, empty):
     import tiktoken
 
-    path = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    path = BYTE_BPE
     lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     got = bpe.encode(docs, path, PATTERN, decode=True).collect()
     assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for _, t, _ in rows)
@@ -226,6 +226,7 @@ def test_toxicity_held_out(spark, docs, empty):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.97
     assert toxicity.score(docs, model).where("score between 0 and 1").count() == docs.count()
     assert toxicity.score(empty, toxicity.train(empty, marks.limit(0))).count() == 0
+    assert toxicity.score(empty, toxicity.train(empty, marks)).count() == 0
     assert toxicity.kept(texts, model).count() == len(rows) - toxicity.score(texts, model).where("score >= 0.5").count()
 
 
