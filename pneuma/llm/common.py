@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-pneuma-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("pneuma.shared.dir", base)
@@ -102,14 +105,34 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, mixed with its length."""
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits for each word, as two columns: the bytes themselves and their number up to 15 bytes, or else a digest.
+
+    So different words of up to 15 bytes always differ; longer ones by 120 bits of BLAKE2b.
+    """
     if not len(starts):
-        return np.zeros(0, U64)
-    n = len(data)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * _power("up", n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", n)[starts] + (ends - starts).astype(U64) * _Q)
+        return np.zeros((0, 2), U64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = ends - starts
+    keys = np.empty((len(starts), 2), U64)
+    keys[:, 0] = eight[starts] & _MASK[np.minimum(length, 8)]
+    keys[:, 1] = (eight[np.minimum(starts + 8, len(data))] & _MASK[np.clip(length - 8, 0, 7)]) | (np.minimum(length, 15).astype(U64) << U64(56))
+    long = np.flatnonzero(length > 15)
+    if len(long):
+        whole = data.tobytes()
+        told = b"".join([hashlib.blake2b(whole[i:j], digest_size=16).digest() for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        keys[long] = np.frombuffer(told, "<u8").reshape(-1, 2)
+        keys[long, 1] |= U64(0xFF) << U64(56)
+    return keys
+
+
+def word_hashes(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's key."""
+    return mix(mix(keys[:, 0] + _Q) * _P + mix(keys[:, 1] ^ _Q))
 
 
 def window_hashes(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bit_filter, bytes_column, dropped, filter_bits, in_filter, steps, window_hashes, word_hashes, words, written
+from .common import U64, bit_filter, bytes_column, dropped, filter_bits, in_filter, steps, window_hashes, word_hashes, word_keys, words, written
 
 #: One text in ORDER_SAMPLE is read for the order of shingles, and the most frequent ones kept. The order is a matter of
 #: speed alone: any order gives the same result.
 ORDER_SAMPLE, MOST_FREQUENT = 32, 1_000_000
 #: Pairs in one numpy step of list_pairs(); rows of text in one output batch.
 STEP_PAIRS, STEP_ROWS = 1 << 20, 1_000
-#: Lists longer than this are settled in groups, by blocks of this many sets.
-LONG_LIST, GROUP_BLOCK = 48, 400
+#: Lists longer than this are settled in groups, by blocks of about so many sets, or so many shingles of longer sets.
+LONG_LIST, GROUP_BLOCK, BLOCK_SHINGLES = 48, 400, 400_000
+#: Digests that a task remembers, so that it sends a repeated set once.
+REMEMBERED = 100_000
 
 
 def _row_sets(column: pa.Array, width: int):
@@ -25,7 +27,7 @@ def _row_sets(column: pa.Array, width: int):
     for _, data, off in steps(column):
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         starts, ends, first = words(data, off)
-        h = word_hashes(data, starts, ends)
+        h = word_hashes(word_keys(data, starts, ends))
         all_shingles = window_hashes(h, width)
         for a, b in zip(first[:-1], first[1:], strict=True):
             if b - a >= width:
@@ -34,21 +36,22 @@ def _row_sets(column: pa.Array, width: int):
                 yield window_hashes(h[a:b], int(b - a), int(b - a)) if b > a else np.zeros(0, U64)
 
 
-def _sid(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(s: np.ndarray) -> bytes:
+    """The name of a set: 128 bits of BLAKE2b over its shingles."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(c)) for c in np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T]
 
 
 def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.array((np.concatenate(parts) if parts else np.zeros(0, U64)).astype(U64).view(np.int64), pa.int64())
 
 
-def _headers(width):
-    def run(batches):
-        for batch in batches:
-            told = [(len(s), _sid(s) if len(s) else None) for s in _row_sets(batch.column("text"), width)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([n for n, _ in told], pa.int64()), pa.array([x for _, x in told], pa.int64())], ["doc_id", "n_shingles", "sid"])
-
-    return run
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), _longs(parts))
 
 
 def _all_shingles(width):
@@ -69,26 +72,30 @@ def _least(a, b, percent):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _prefixes(width, percent, frequent):
-    """Rows token, sid, size and position: the prefix of each set in the order of _prefix()."""
+def _headers(width, percent, frequent):
+    """Of each row its id, the size and digest of its set, and the set's prefix: what is left of a set that need not
+    be shared, rare shingles first. A task gives the prefix of a set that it has just seen as null."""
 
     def run(batches):
         rare_last = np.asarray(frequent.value)
+        seen: set[bytes] = set()
         for part in (b.slice(lo, STEP_ROWS) for b in batches for lo in range(0, len(b), STEP_ROWS)):
-            tokens, sids, sizes = [], [], []
+            sizes, digests, prefixes, again = [], [], [], []
             for s in _row_sets(part.column("text"), width):
-                n = len(s)
-                if n:
-                    at = np.minimum(np.searchsorted(rare_last, s), max(len(rare_last) - 1, 0))
-                    often = rare_last[at] == s if len(rare_last) else np.zeros(n, bool)
-                    p = n - _needed(n, percent) + 1
-                    tokens.append((np.concatenate([s[~often], s[often]]) if often.any() else s)[:p])
-                    sids.append(_sid(s)), sizes.append(n)
-            lengths = np.array([len(t) for t in tokens], np.int64)
-            ends = np.cumsum(lengths)
-            pos = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-            n = np.repeat(np.array(sizes, np.int64), lengths)
-            yield pa.record_batch([_longs(tokens), pa.array(np.repeat(np.array(sids, np.int64), lengths)), pa.array(n << 32 | pos)], ["token", "sid", "at"])
+                n, digest = len(s), _digest(s)
+                sizes.append(n), digests.append(digest), again.append(digest in seen or not n)
+                if again[-1]:
+                    prefixes.append(s[:0])
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(digest)
+                at = np.minimum(np.searchsorted(rare_last, s), max(len(rare_last) - 1, 0))
+                often = rare_last[at] == s if len(rare_last) else np.zeros(n, bool)
+                prefixes.append((np.concatenate([s[~often], s[often]]) if often.any() else s)[: n - _needed(n, percent) + 1])
+            lists = _lists(prefixes)
+            lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(again, pa.bool_()))
+            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), *_halves(digests), lists], ["doc_id", "n_shingles", "d1", "d2", "prefix"])
 
     return run
 
@@ -105,22 +112,6 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(sorted_keys)))
 
 
-def _shared(batches):
-    """Of a partition by token: the lists of two sets or more, each set once."""
-    token, sid, at = _table(batches, ["token", "sid", "at"])
-    order = np.lexsort((sid, token))
-    token, sid, at = token[order], sid[order], at[order]
-    keep = np.ones(len(token), bool)
-    keep[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-    token, sid, at = token[keep], sid[keep], at[keep]
-    begin, length = _runs(token)
-    df = np.repeat(length, length)
-    for lo in range(0, len(token), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        many = df[part] > 1
-        yield pa.record_batch([pa.array(x[part][many]) for x in (token, sid, at, df)], ["token", "sid", "at", "df"])
-
-
 def _counted(a, b, na, nb, weight=None):
     """Rows of distinct pairs with how often each occurs."""
     if not len(a):
@@ -140,23 +131,6 @@ def _pair_batch(x):
     return pa.record_batch([pa.array(x[0]), pa.array(x[1]), pa.array(x[2].astype(np.int32)), pa.array(x[3].astype(np.int32)), pa.array(x[4].astype(np.int64))], ["a", "b", "na", "nb", "shared"])
 
 
-def _stars(percent):
-    """Of a partition by token: each set of a list with the list's most central set, counted over the partition."""
-
-    def run(batches):
-        token, sid, at, score = _table(batches, ["token", "sid", "at", "score"])
-        order = np.lexsort((sid, -score, token))
-        token, sid, n = token[order], sid[order], (at >> 32)[order]
-        begin, length = _runs(token)
-        centre, n_centre = np.repeat(sid[begin], length), np.repeat(n[begin], length)
-        ok = (sid != centre) & (100 * np.minimum(n, n_centre) >= percent * np.maximum(n, n_centre))
-        x = _counted(sid[ok], centre[ok], n[ok], n_centre[ok])
-        if x is not None:
-            yield _pair_batch(x)
-
-    return run
-
-
 def list_pairs(token, sid, label, n, pos, percent):
     """Pairs of sets with unlike labels that share a token, with the number of shared tokens; in several parts.
 
@@ -200,30 +174,11 @@ def list_pairs(token, sid, label, n, pos, percent):
 
 
 def _cross(percent):
-    """Of a partition by token: pairs from lists of LONG_LIST sets at most; of longer lists with two labels or more, each
-    set (as b) with the list's commonest label (as a), and -1 for shared."""
+    """Of a partition by token: the pairs of unlike labels in lists of LONG_LIST sets at most."""
 
     def run(batches):
-        token, sid, at, label = _table(batches, ["token", "sid", "at", "label"])
-        order = np.lexsort((label, token))
-        token, sid, at, label = token[order], sid[order], at[order], label[order]
-        begin, length = _runs(token)
-        long = np.repeat(length > LONG_LIST, length)
-        for b, n in zip(begin[length > LONG_LIST], length[length > LONG_LIST], strict=True):
-            kinds, count = np.unique(label[b : b + n], return_counts=True)
-            if len(kinds) == 1:
-                long[b : b + n] = False  # one label: list_pairs() skips it whole
-            else:
-                label_of = kinds[np.argmax(count)]
-                token[b : b + n] = label_of
-        if long.any():
-            group, own = token[long], sid[long]
-            o = np.lexsort((own, group))
-            new = np.concatenate([[True], (group[o][1:] != group[o][:-1]) | (own[o][1:] != own[o][:-1])])
-            g, x = group[o][new], own[o][new]
-            yield _pair_batch((g, x, np.zeros(len(g)), np.zeros(len(g)), np.full(len(g), -1)))
-        rest = ~long
-        for x in list_pairs(token[rest], sid[rest], label[rest], at[rest] >> 32, at[rest] & 0xFFFFFFFF, percent):
+        columns = _table(batches, ["token", "sid", "label", "n", "pos"])
+        for x in list_pairs(*columns, percent):
             if x is not None:
                 yield _pair_batch(x)
 
@@ -281,61 +236,74 @@ def _chosen_sets(width, bitmap):
 
     def run(batches):
         bits = np.asarray(bitmap.value)
+        seen: set[bytes] = set()
         for part in (b.slice(lo, STEP_ROWS) for b in batches for lo in range(0, len(b), STEP_ROWS)):
-            sids, sets = [], []
+            digests, sets = [], []
             for s in _row_sets(part.column("text"), width):
-                sid = _sid(s)
-                if len(s) and in_filter(bits, np.array([sid], np.int64).view(U64))[0]:
-                    sids.append(sid), sets.append(s)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.record_batch([pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), _longs(sets))], ["sid", "shingles"])
+                digest = _digest(s)
+                if len(s) and digest not in seen and in_filter(bits, np.frombuffer(digest, "<u8", 1))[0]:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    digests.append(digest), sets.append(s)
+            yield pa.record_batch([*_halves(digests), _lists(sets)], ["d1", "d2", "shingles"])
 
     return run
 
 
-def _sets_of(rows: DataFrame, ids: DataFrame, n: int, width: int) -> DataFrame:
-    """(sid, shingles) of at least the sets named in the one column of ids, about n, once each; written."""
-    bitmap = rows.sparkSession.sparkContext.broadcast(bit_filter(ids, filter_bits(n)))
-    sets = rows.select("text").mapInArrow(_chosen_sets(width, bitmap), "sid long, shingles array<long>").dropDuplicates(["sid"])
-    return written(sets, "jaccard-sets")
+def _sets_of(rows: DataFrame, sets: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(sid, shingles) of the sets named in the one column of ids, once each; written."""
+    chosen = written(sets.select("sid", "d1", "d2").join(ids, "sid", "left_semi"), "jaccard-chosen")
+    bitmap = rows.sparkSession.sparkContext.broadcast(bit_filter(chosen.select("d1"), filter_bits(chosen.count())))
+    found = rows.select("text").mapInArrow(_chosen_sets(width, bitmap), "d1 long, d2 long, shingles array<long>")
+    out = written(found.join(chosen, ["d1", "d2"]).select("sid", "shingles").dropDuplicates(["sid"]), "jaccard-shingles")
+    dropped(chosen)
+    return out
 
 
-def _grouped_links(rows: DataFrame, members: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of groups (a: the group, b: a set) links a, b that join all sets of a group which links join. The result is written.
+def _grouped_links(rows: DataFrame, sets: DataFrame, members: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of groups (group, sid) links a, b that join all sets of a group which links join. The result is written.
 
-    A group is cut into blocks of about GROUP_BLOCK sets; every two blocks meet in a task of their own, which returns
-    no more links than it has sets.
+    A group's sets are parted by kind - a label of many sets, or none for those of rarer labels - and by size class, as
+    sets of classes that aren't neighbours can't be linked; a part is cut into blocks of about GROUP_BLOCK sets or
+    BLOCK_SHINGLES shingles. Every two blocks that may hold a link between unlike labels meet in a task of their own,
+    which returns no more links than it has sets; blocks of one and the same label are skipped.
     """
-    members = written(members.select(F.col("a").alias("group"), F.col("b").alias("sid")).distinct(), "jaccard-members")
-    n = members.count()
-    if not n:
+    members = members.join(sets.select("sid", "n"), "sid").join(labels.withColumnRenamed("v", "sid"), "sid", "left")
+    members = members.select("group", "sid", "n", F.coalesce("label", "sid").alias("label"), F.floor(F.log(F.col("n")) / F.log(F.lit(max(100 / percent, 1.01)))).cast("int").alias("cls"))
+    members = written(members, "jaccard-members")
+    if members.isEmpty():
         return members.select(F.col("group").alias("a"), F.col("sid").alias("b"))
-    sets = _sets_of(rows, members.select("sid").distinct(), n, width)
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = (
-        members.join(blocks, "group").withColumn("own", own).select("group", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("group", "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
-        .join(labels.withColumnRenamed("v", "sid"), "sid", "left").join(sets, "sid")
-        .select("group", "i", "j", "sid", "side", F.coalesce("label", "sid").alias("label"), "shingles")
-    )
-    links = written(dealt.groupBy("group", "i", "j").applyInArrow(_cell(percent), "a long, b long"), "jaccard-links")
-    dropped(sets), dropped(members)
+    shingles = _sets_of(rows, sets, members.select("sid").distinct(), width)
+    big = members.groupBy("group", "label").count().where(F.col("count") >= GROUP_BLOCK // 2).select("group", "label", F.col("label").alias("kind"))
+    members = members.join(big, ["group", "label"], "left")
+    parts = members.groupBy("group", "kind", "cls").agg(F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    parts = written(parts.withColumn("part", F.monotonically_increasing_id()), "jaccard-parts")
+    near = parts.select("group", F.explode(F.sequence(F.col("cls") - 1, F.col("cls") + 1)).alias("cls"), F.col("kind").alias("kind_b"), F.col("part").alias("part_b"), F.col("blocks").alias("blocks_b"))
+    met = parts.join(near, ["group", "cls"]).where((F.col("part") <= F.col("part_b")) & F.coalesce(F.col("kind") != F.col("kind_b"), F.lit(True)))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cells = met.select("part", "part_b", "blocks_b", upto("blocks").alias("i")).select("part", "part_b", "i", upto("blocks_b").alias("j"))
+    cells = cells.where((F.col("part") < F.col("part_b")) | (F.col("i") <= F.col("j")))
+    cell = F.struct("part", "i", "part_b", "j").alias("cell")
+    asked = cells.select(cell, "part", F.col("i").alias("block"), F.lit(0).alias("side")).union(cells.select(cell, F.col("part_b"), F.col("j"), F.lit(1))).where((F.col("side") == 0) | (F.col("cell.part") < F.col("cell.part_b")) | (F.col("cell.i") < F.col("cell.j")))
+    own = members.join(parts, (members["group"] == parts["group"]) & members["kind"].eqNullSafe(parts["kind"]) & (members["cls"] == parts["cls"])).select("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "label")
+    dealt = own.join(asked, ["part", "block"]).join(shingles, "sid").select("cell", "sid", "label", "side", "shingles")
+    links = written(dealt.groupBy("cell").applyInArrow(_cell(percent), "a long, b long"), "jaccard-links")
+    dropped(shingles), dropped(parts)
     return links
 
 
-def _linked(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _linked(rows: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs a, b those whose sets are linked, by their exact intersection. The result is written."""
     pairs = written(pairs.select("a", "b"), "jaccard-pairs")
-    n = pairs.count()
-    if not n:
+    if pairs.isEmpty():
         return pairs
-    sets = _sets_of(rows, pairs.select("a").union(pairs.select("b")).distinct(), n, width)
-    a = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+    shingles = _sets_of(rows, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), width)
+    a = shingles.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
+    b = shingles.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
     out = written(met.where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "jaccard-links")
-    dropped(sets), dropped(pairs)
+    dropped(shingles), dropped(pairs)
     return out
 
 
@@ -365,14 +333,17 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     Two documents are linked when 100 * intersection >= percent * union of their sets of distinct width-word shingles
     (words: runs without \\x20 \\x09-\\x0D, A-Z lower-cased; a shorter text is one shingle as a whole).
 
-    1. Equal sets count as one, by a digest of the set.
+    1. Equal sets count as one, by 128 bits of a digest; each gets a number of its own.
     2. Each set gives its prefix, in an order that puts frequent shingles last; linked sets share a token of their
        prefixes. Lists of one set are dropped.
     3. In each list the most central set is held against the others; what is linked to it gets its label.
     4. Of each list only sets with unlike labels still meet; their exact number of shared prefix tokens, sizes and
        positions bound the intersection, and pairs that may reach the threshold are settled by their whole sets.
        The sets of long lists meet in groups instead, in blocks, from which only joining links come back.
-    No pair of sets with unlike labels that can be linked is left out, so the classes are exact.
+    No pair of sets with unlike labels that can be linked is left out, so the classes are exact. Shingles are compared
+    by 64-bit hashes of their words' keys: a pair of sets of a thousand shingles each meets a false equal in 2e13 pairs.
+    Counts and centres of lists are aggregated before the shuffle; joins on a token, centre or label that many sets
+    share are parted by the adaptive skew join, and no task holds more than a list of LONG_LIST sets or two blocks.
 
     Null, empty or blank texts have 0 shingles and are a class of their own, under their own id. Null ids are passed
     over by component_id unless a class has no other. Rows that repeat an id are rows of their own.
@@ -385,29 +356,44 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     often = often.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(often["token"].to_numpy().view(U64)))
 
-    headers = written(rows.mapInArrow(_headers(width), f"doc_id {id_type}, n_shingles long, sid long"), "jaccard-headers")
-    tokens = rows.select("text").mapInArrow(_prefixes(width, percent, frequent), "token long, sid long, at long")
-    lists = written(tokens.repartition("token").mapInArrow(_shared, "token long, sid long, at long, df long"), "jaccard-lists")
+    headers = written(rows.mapInArrow(_headers(width, percent, frequent), f"doc_id {id_type}, n_shingles long, d1 long, d2 long, prefix array<long>"), "jaccard-headers")
+    prefixes = headers.where("prefix is not null").select("d1", "d2", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["d1", "d2"])
+    sets = written(prefixes.withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
+    tokens = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = written(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), "jaccard-lists")
 
     # How much the other sets share of a set's prefix tells the centre of a group from its edited copies.
-    scores = lists.groupBy("sid").agg((F.sum("df") / F.first(F.shiftright("at", 32))).alias("score"))
-    stars = lists.join(scores, "sid").select("token", "sid", "at", "score").repartition("token").mapInArrow(_stars(percent), _PAIRS)
+    scores = lists.groupBy("sid").agg((F.sum("df") / F.min("n")).alias("score"))
+    centres = lists.join(scores, "sid").groupBy("token").agg(F.max(F.struct("score", (-F.col("sid")).alias("minus"), F.col("n").alias("nb"))).alias("top"))
+    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    stars = lists.join(centres, "token").select(F.col("sid").alias("a"), (-F.col("top.minus")).alias("b"), F.col("n").alias("na"), F.col("top.nb").alias("nb")).where((F.col("a") != F.col("b")) & fits(F.col("na"), F.col("nb")))
     rest = lambda n: F.ceil(n * percent / 100) - 1
     may = lambda p: (F.col("shared") + F.greatest(rest(p["na"]), rest(p["nb"]))) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    stars = stars.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    links = _linked(rows, stars.where(may(stars)), width, percent)
+    stars = stars.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    links = _linked(rows, sets, stars.where(may(stars)), width, percent)
     labels = connected(links)
 
-    labelled = lists.join(labels.withColumnRenamed("v", "sid"), "sid", "left").select("token", "sid", "at", F.coalesce("label", "sid").alias("label"))
-    crossed = written(labelled.repartition("token").mapInArrow(_cross(percent), _PAIRS), "jaccard-crossed")
-    grouped = _grouped_links(rows, crossed.where("shared = -1"), labels, width, percent)
-    pairs = crossed.where("shared > 0").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    labelled = lists.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    unlike = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    crossing = written(labelled.join(unlike, "token"), "jaccard-crossing")
+    dropped(lists)
+    short = crossing.where(F.col("df") <= LONG_LIST).select("token", "sid", "label", "n", F.col("pos").cast("long").alias("pos"))
+    pairs = short.repartition("token").mapInArrow(_cross(percent), _PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    long = crossing.where(F.col("df") > LONG_LIST)
+    group = long.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label"))["label"].alias("group"))
+    grouped = _grouped_links(rows, sets, long.join(group, "token").select("group", "sid").distinct(), labels, width, percent)
     # A pair that also shares a token of a longer list meets in a group, so here it doesn't matter that it counts for less.
-    more = _linked(rows, pairs.where(may(pairs)), width, percent)
-    labels = written(connected(links.union(grouped).union(more)), "jaccard-classes")
+    more = _linked(rows, sets, pairs.where(may(pairs)), width, percent)
+    classes = connected(links.union(grouped).union(more))
+    for table in (links, labels, crossing, grouped, more):
+        dropped(table)
 
     # The least id of each class, over its distinct sets.
-    least = headers.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    classed = least.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    named = classed.select("sid", "label").join(classed.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("sid", "component_id")
-    return headers.join(named.hint("merge"), "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = headers.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least")).join(sets.select("d1", "d2", "sid"), ["d1", "d2"])
+    classed = least.join(classes.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = classed.select("d1", "d2", "label").join(classed.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("d1", "d2", "component_id")
+    told = headers.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")
+    result = written(told.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "jaccard-classes")
+    for table in (headers, sets, classes):
+        dropped(table)
+    return result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import compress
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bit_filter, bytes_column, filter_bits, in_filter, mix, steps, window_hashes, word_hashes, words, written
+from .common import U64, bit_filter, bytes_column, filter_bits, in_filter, mix, steps, window_hashes, word_hashes, word_keys, words, written
 
 #: Words of the short run that stands for the windows around it; bytes of text to one such run, for the sketch's width.
 ANCHOR, BYTES_PER_ANCHOR = 8, 80
@@ -17,34 +18,42 @@ _SEED = U64(0xA5B35705F2D1E9C7)
 
 
 def _windows(column: pa.Array, width: int):
-    """For each row: hashes of its windows, twice; the anchor of each window (its least run of ANCHOR words, by hash);
-    and whether a window's anchor stands elsewhere than that of the window before."""
+    """For each row: its number of words and their keys; the anchor of each window (its least run of ANCHOR words, by
+    hash); and whether a window's anchor stands elsewhere than that of the window before."""
     anchor = min(ANCHOR, width)
     span = width - anchor + 1
     for _, data, off in steps(column):
         starts, ends, first = words(data, off)
-        h = word_hashes(data, starts, ends)
-        runs, one = window_hashes(h, anchor), window_hashes(h, width)
-        two = window_hashes(h, width, 77)
-        if len(one):
+        keys = word_keys(data, starts, ends)
+        runs = window_hashes(word_hashes(keys), anchor)
+        m = len(keys) - width + 1
+        if m > 0:
             # Place of the least run in the next `span` ones, the leftmost of equals, by doubling.
             at, reach = np.arange(len(runs)), 1
             while 2 * reach <= span:
                 a, b = at[:-reach], at[reach:]
                 at, reach = np.where(runs[b] < runs[a], b, a), 2 * reach
             if reach < span:
-                a, b = at[: len(one)], at[span - reach : span - reach + len(one)]
+                a, b = at[:m], at[span - reach : span - reach + m]
                 at = np.where(runs[b] < runs[a], b, a)
-            at = at[: len(one)]
+            at = at[:m]
         for a, b in zip(first[:-1], first[1:], strict=True):
             n = int(b - a) - width + 1
             if n > 0:
                 p = at[a : a + n]
                 new = np.ones(n, bool)
                 new[1:] = p[1:] != p[:-1]
-                yield int(b - a), one[a : a + n], two[a : a + n], runs[p], new
+                yield int(b - a), keys[a:b], runs[p], new
             else:
-                yield int(b - a), None, None, None, None
+                yield int(b - a), None, None, None
+
+
+def _digests(keys: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of the windows that begin at these words, as two columns."""
+    flat = memoryview(np.ascontiguousarray(keys)).cast("B")
+    size, blake = 16 * width, hashlib.blake2b
+    told = b"".join([blake(flat[i : i + size], digest_size=16).digest() for i in (16 * at).tolist()])
+    return np.frombuffer(told, "<i8").reshape(-1, 2)
 
 
 def _counters(anchors: np.ndarray, wide: int) -> np.ndarray:
@@ -58,7 +67,7 @@ def _sketch(width: int, wide: int):
 
     def run(batches):
         for batch in batches:
-            parts = [anchor[new] for _, _, _, anchor, new in _windows(batch.column("text"), width) if anchor is not None]
+            parts = [anchor[new] for _, _, anchor, new in _windows(batch.column("text"), width) if anchor is not None]
             at, n = np.unique(_counters(np.concatenate(parts) if parts else np.zeros(0, U64), wide), return_counts=True)
             yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], ["counter", "n"])
 
@@ -75,29 +84,37 @@ def _candidates(width: int, wide: int, sketch):
     def run(batches):
         bits = np.asarray(sketch.value)
         for batch in batches:
-            one, two, key, pos = [], [], [], []
-            keys = batch.column("text_key").to_numpy()
-            for i, (_, h1, h2, anchor, _) in enumerate(_windows(batch.column("text"), width)):
-                if h1 is not None and len(at := np.flatnonzero(_repeated(bits, wide, anchor))):
-                    one.append(h1[at]), two.append(h2[at]), key.append(np.full(len(at), keys[i])), pos.append(at)
-            if one:
-                cat = lambda x: pa.array(np.concatenate(x).astype(np.int64, copy=False) if x[0].dtype != U64 else np.concatenate(x).view(np.int64))
-                h1, h2, k, p = cat(one), cat(two), cat(key), cat(pos)
-                for lo in range(0, len(h1), 1 << 17):
-                    yield pa.record_batch([x.slice(lo, 1 << 17) for x in (h1, h2, k, p)], ["h1", "h2", "text_key", "pos"])
+            held, rows = [], 0
+            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
+            for i, (_, keys, anchor, _) in enumerate(_windows(batch.column("text"), width)):
+                at = np.flatnonzero(_repeated(bits, wide, anchor)) if keys is not None else ()
+                for lo in range(0, len(at), 1 << 16):
+                    part = at[lo : lo + (1 << 16)]
+                    held.append((_digests(keys, width, part), np.full(len(part), k1[i]), np.full(len(part), k2[i]), part))
+                    rows += len(part)
+                    if rows >= 1 << 16:
+                        yield _candidate_batch(held)
+                        held, rows = [], 0
+            if held:
+                yield _candidate_batch(held)
 
     return run
 
 
+def _candidate_batch(held) -> pa.RecordBatch:
+    digest, k1, k2, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+    return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in (digest[:, 0], digest[:, 1], k1, k2, pos)], ["h1", "h2", "k1", "k2", "pos"])
+
+
 def _cleaned(width: int, wide: int, sketch):
     def run(batches):
         bits = np.asarray(sketch.value)
         for batch in batches:
             n_words, n_removed, kept_text = [], [], []
-            for text, single, (n, h1, _, anchor, _) in zip(batch.column("text"), batch.column("singles"), _windows(batch.column("text"), width), strict=True):
+            for text, single, (n, keys, anchor, _) in zip(batch.column("text"), batch.column("singles"), _windows(batch.column("text"), width), strict=True):
                 parts = text.as_py().split()
                 removed = 0
-                if h1 is not None:
+                if keys is not None:
                     starts = _repeated(bits, wide, anchor)
                     if single.is_valid:
                         starts[single.values.to_numpy()] = False
@@ -126,8 +143,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
        overestimate how often a window occurs. A window is counted under its anchor, the least of its runs of ANCHOR
        words, once for each place in which the anchor stands: equal windows have equal anchors, in different places, so
        the estimate of a repeated window is 2 or more. Counters of 2 or more go out as a bitmap of bounded size.
-    2. Windows that are estimated repeated are grouped exactly, by two 64-bit hashes, with map-side combine. Those that
-       turn out to be alone go back to their text; all other estimated windows are repeated.
+    2. Windows that are estimated repeated are grouped exactly, by 128 bits of BLAKE2b over their words' keys, with
+       map-side combine. Those that turn out to be alone go back to their text; all other estimated windows are repeated.
     A sketch too narrow for its input lets more windows through to the second pass and changes no result.
 
     Null text: no words. Null or repeated ids are kept row by row; rows of equal text repeat each other.
@@ -141,12 +158,13 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     counters = rows.select("text").mapInArrow(_sketch(width, wide), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     sketch = sc.broadcast(bit_filter(counters.where("n > 1").select("counter"), 2 * wide))
 
-    keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    found = keyed.select("text", "text_key").mapInArrow(_candidates(width, wide, sketch), "h1 long, h2 long, text_key long, pos long")
-    alone = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.min("pos").alias("pos")).where("n = 1")
-    singles = written(alone.groupBy("text_key").agg(F.collect_list(F.col("pos").cast("int")).alias("singles")), "windows-alone")
-    # A text that occurs twice has no window alone, so each key of singles is that of one row.
+    keyed = rows.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(7), "text"))  # 128 bits name a text
+    found = keyed.select("text", "k1", "k2").mapInArrow(_candidates(width, wide, sketch), "h1 long, h2 long, k1 long, k2 long, pos long")
+    alone = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("k1", "k2", "pos")]).where("n = 1")
+    singles = written(alone.groupBy("k1", "k2").agg(F.collect_list(F.col("pos").cast("int")).alias("singles")), "windows-alone")
+    # A text that occurs twice has no window alone, so each key of singles is that of one row; the rows of such a text
+    # meet nothing in the join, and the adaptive skew join parts them.
     return (
-        keyed.join(singles.hint("merge"), "text_key", "left").select("doc_id", "text", "singles")
+        keyed.join(singles.hint("merge"), ["k1", "k2"], "left").select("doc_id", "text", "singles")
         .mapInArrow(_cleaned(width, wide, sketch), f"doc_id {id_type}, n_words long, n_removed long, kept binary")
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pneuma.llm import ann, bpe, exact_dedup, html_text, jaccard, packing, pii, sharding, substring_dedup, toxicity
+from pneuma.llm import ann, bpe, common, exact_dedup, html_text, jaccard, packing, pii, sharding, substring_dedup, toxicity
 from pneuma.llm.queries import BYTE_BPE, PATTERN, WORD_BPE
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -275,3 +275,60 @@ def test_neighbours_beside_a_large_component_and_in_a_group_of_near_copies(spark
     assert _recall(spark, large.astype(np.float32)) >= 0.9
     v[300:700] = v[300] + 1e-4 * rng.standard_normal((400, 16))
     assert _recall(spark, v.astype(np.float32)) >= 0.9
+
+
+def _thue_morse(n, x, y):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join(x if b else y for b in bits[:n])
+
+
+def test_long_words_that_a_polynomial_confuses_stay_apart(spark):
+    one, two = _thue_morse(1024, "a", "b"), _thue_morse(1024, "b", "a")
+    filler = [f"u{i}" for i in range(34)]
+    rows = spark.createDataFrame([(1, " ".join([*filler, one])), (2, " ".join([*filler, two]))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(rows).collect()] == [0, 0]
+    apart = spark.createDataFrame([(1, " ".join([one] * 3)), (2, " ".join([two] * 3))], "doc_id long, text string")
+    assert sorted(r.component_id for r in jaccard.components(apart).collect()) == [1, 2]
+
+
+def test_word_keys_tell_words_apart():
+    texts = ["a", "b", "ab", "ba", "abcdefgh", "abcdefghi", "abcdefg", "x" * 15, "x" * 16, "x" * 17, "x" * 16 + "y", "é", "a\0", "a\0\0"]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    starts, ends, _ = common.words(data, np.array([0, len(data)]))
+    keys = common.word_keys(data, starts, ends)
+    assert len(starts) == len(texts) == len({k.tobytes() for k in keys}) == len(set(common.word_hashes(keys).tolist()))
+    assert keys.tobytes() == common.word_keys(data[: ends[-1]], starts, ends).tobytes()
+
+
+@pytest.mark.parametrize("block", [400, 40])
+def test_jaccard_long_lists_against_brute_force(spark, monkeypatch, block):
+    """Lists of more than LONG_LIST sets, groups of several blocks, several labels in a list."""
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = [list(rng.choice(WORDS, n)) for n in (60, 60, 90)]
+    base[1][:45] = base[0][:45]
+    texts = []
+    for i in range(1100):
+        x = list(base[i % 3])
+        for _ in range(rng.integers(0, 4)):
+            x[rng.integers(0, len(x))] = f"n{rng.integers(0, 6)}"
+        texts.append(" ".join(x))
+    texts += texts[:40]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    place = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    x = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, [place[t] for t in s]] = 1
+    both, size = x @ x.T, x.sum(1)
+    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(linked, label[None, :], len(sets)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    assert 3 < len(set(label.tolist())) < 1100
