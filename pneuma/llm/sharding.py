@@ -18,20 +18,31 @@ def _bisect(bounds: list[int], key: F.Column) -> F.Column:
     return F.aggregate(hops, F.lit(0), lambda at, hop: F.when((at + hop <= len(bounds)) & (F.try_element_at(found, at + hop) <= key), at + hop).otherwise(at))
 
 
+def _quantiles(keys: list[int], n: int) -> list[int]:
+    """n - 1 cuts of the sorted keys into parts of equal number; a key that fills several parts comes several times."""
+    return [keys[len(keys) * k // n] for k in range(1, n)] if len(keys) >= n else []
+
+
+def _drawn(rows: DataFrame, chance: F.Column, seed: int) -> DataFrame:
+    return rows.where((F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 30)) / float(1 << 30)) < chance)
+
+
 def shard(docs: DataFrame, shards: int = 24, rows_per_range: int = 500_000, by: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Deal the rows of docs out to shards of near equal bytes.
 
-    Size-weighted samples of the key (a hash of the text) give quantile boundaries;
-    records are cut into ranges there, ranges over twice the mean are subdivided by a second hash,
-    and exact running totals of the ranges' sizes then place each record:
-    shard = the part of the total, in key order, that holds the record's middle byte.
-    So a shard's bytes differ from the mean by at most the largest record.
-    Equal texts are neighbours in key order; a group of them no larger than the largest record moves as one.
+    1. A size-weighted sample of the key (a hash of the text) gives quantile boundaries, at least twice as many ranges
+       as shards; records are range-partitioned there.
+    2. Ranges of more than twice the mean rows are subdivided at quantiles of a second sample, drawn from them alone.
+       A key that fills two quantiles or more is a range of its own, and is cut by row into as many parts.
+    3. Exact running totals of the ranges' sizes place each record: shard = the part of the total, in key order, that
+       holds the record's middle byte. So a shard's bytes differ from the mean by at most the largest record.
+    Equal texts have one key. A group of them no larger than the largest record moves as one, unless it is itself cut
+    for filling more than a range.
 
     Size: UTF-8 bytes plus 8; a null text counts as empty, and its crc32 is 0.
     Null or repeated ids are dealt out like others, row by row; an empty table gives no rows.
     Only id_col and the text are read, so other columns may have any names.
-    The driver sees a bounded sample of keys and one row a range (MOST_RANGES, or twice that once subdivided).
+    The driver sees two bounded samples of keys and one row a range (MOST_RANGES, and as many once subdivided).
     """
     text = F.col(by)
     base = docs.select(
@@ -39,25 +50,36 @@ def shard(docs: DataFrame, shards: int = 24, rows_per_range: int = 500_000, by:
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     ).checkpoint()
     rows, total, largest = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
-    n_ranges = max(1, min(MOST_RANGES, max(2 * shards if rows > 10_000 else 1, rows // rows_per_range)))
-    base = base.withColumn("tie", F.xxhash64(F.lit(7), "doc_id", "key"))
-
-    chance = F.lit(SAMPLE_KEYS / max(total, 1)) * F.col("size")
-    picked = base.where((F.pmod(F.xxhash64(F.lit(3), "doc_id", "key"), F.lit(1 << 30)) / float(1 << 30)) < chance)
-    keys = sorted(r[0] for r in picked.select("key").limit(4 * SAMPLE_KEYS).collect()) if n_ranges > 1 else []
-    bounds = sorted({keys[len(keys) * k // n_ranges] for k in range(1, n_ranges)}) if len(keys) >= n_ranges else []
-    ranged = base.withColumn("range", _bisect(bounds, F.col("key")))
+    n_ranges = min(MOST_RANGES, max(2 * shards, rows // rows_per_range))
 
+    picked = _drawn(base, F.lit(SAMPLE_KEYS / max(total, 1)) * F.col("size"), 3)
+    keys = sorted(r[0] for r in picked.select("key").limit(4 * SAMPLE_KEYS).collect())
+    bounds = sorted(set(_quantiles(keys, n_ranges)))
     most = max(1.0, 2.0 * rows / (len(bounds) + 1))
-    full = {r[0]: r[1] for r in ranged.groupBy("range").count().collect()}
-    parts = {k: min(MOST_RANGES, int(n // most) + 1) for k, n in full.items() if n > most}
-    if parts:
-        cut = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
-        ranged = ranged.withColumn("part", F.pmod("tie", F.coalesce(F.try_element_at(cut, F.col("range")), F.lit(1))).cast("int"))
-    else:
-        ranged = ranged.withColumn("part", F.lit(0))
+    ranged = base.withColumn("range", _bisect(bounds, F.col("key")))
+    full = {r[0]: r[1] for r in ranged.groupBy("range").count().where(F.col("count") > most).collect()}
+    alone: dict[int, int] = {}
+    if full:
+        chosen = _drawn(ranged.where(F.col("range").isin(sorted(full))), F.lit(SAMPLE_KEYS / sum(full.values())), 5)
+        again: dict[int, list[int]] = {}
+        for at, key in chosen.select("range", "key").limit(4 * SAMPLE_KEYS).collect():
+            again.setdefault(at, []).append(key)
+        for at, found in again.items():
+            cuts = _quantiles(sorted(found), max(2, min(MOST_RANGES // len(full), 1 + int(2 * full[at] // most))))
+            bounds.extend(cuts)
+            for key in {k for k in cuts if cuts.count(k) > 1}:
+                alone[key] = cuts.count(key)
+                bounds.append(min(key + 1, (1 << 63) - 1))
+        bounds = sorted(set(bounds))
+        ranged = base.withColumn("range", _bisect(bounds, F.col("key")))
+    part = F.lit(0)
+    if alone:
+        parts = F.create_map(*[F.lit(x) for key, n in sorted(alone.items()) for x in (bounds.index(key) + 1, n)])
+        part = F.pmod(F.xxhash64(F.lit(7), "row"), F.coalesce(F.try_element_at(parts, F.col("range")), F.lit(1))).cast("int")
+    ranged = ranged.withColumn("part", part)
 
     # One row for each range: where its bytes and rows begin in the whole order.
     ahead = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,7 +87,7 @@ def shard(docs: DataFrame, shards: int = 24, rows_per_range: int = 500_000, by:
         ranged.groupBy("range", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
         .select("range", "part", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
     )
-    inside = Window.partitionBy("range", "part").orderBy("key", "tie", "doc_id")
+    inside = Window.partitionBy("range", "part").orderBy("key", "row")
     group = Window.partitionBy("range", "part", "key")
     placed = (
         ranged.join(F.broadcast(offsets), ["range", "part"])

@@ -58,6 +58,7 @@ def test_sharding(docs, rows, empty):
     got = sharding.shard(many).toPandas()
     total = got.groupby("shard")["size"].sum()
     assert len(total) == 24 and total.max() - total.mean() <= 200 and total.mean() - total.min() <= 200
+    assert sharding._quantiles(sorted([5] * 6 + [1, 9, 10]), 4) == [5, 5, 5] and sharding._quantiles([1], 2) == []
     assert sharding.shard(empty).count() == 0
 
 
@@ -332,3 +333,17 @@ def test_jaccard_long_lists_against_brute_force(spark, monkeypatch, block):
         label = new
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
     assert 3 < len(set(label.tolist())) < 1100
+
+
+def test_sharding_keeps_small_groups_of_equal_texts_whole(spark):
+    """A hot text with repeated ids beside 4,000 groups of three equal texts, none larger than the largest record."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 5 == 0, 1).otherwise(F.col("id")).alias("doc_id"), F.expr("if(id % 5 = 0, 'hot', concat('t', id div 15, ' ', repeat('z', 20 + id % 5)))").alias("text"))
+    rows = rows.union(spark.createDataFrame([(-1, "l" * 900)], "doc_id long, text string"))
+    got = sharding.shard(rows).toPandas()
+    total = got.groupby("shard")["size"].sum()
+    assert len(got) == 60_001 and len(total) == 24 and (total - total.mean()).abs().max() <= 908
+    hot = zlib.crc32(b"hot")
+    shards = got[got.text_crc32 != hot].groupby("text_crc32")["shard"].nunique()
+    assert shards.max() == 1 and got[got.text_crc32 == hot]["shard"].nunique() >= 2
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
