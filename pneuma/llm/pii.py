@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import sys
 import unicodedata
@@ -28,10 +29,13 @@ _OTHER_DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c
 _ODD = re.compile(f"[Ͱ-ԯ{_OTHER_DIGITS}‐-–․−。﹫！-～  {_GONE}]")
 _DIGITS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789", strict=True))
 _WORD = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"\b(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20-]+(?:{_WORD})){{2,}}\b", re.I)
-_SPELLED_PART = re.compile(rf"plus|{_WORD}", re.I)
+# Runs of spelled digits, and of figures between or beside them.
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9_])(?=[0-9efnopstz])(?:plus[\x20-]+)?(?:(?:{_WORD})\b|[0-9]++\b)(?:[\x20-]+(?:(?:{_WORD})\b|[0-9]++\b))++", re.I)
+_SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]+|[\x20-]+", re.I)
+_DOTTED = re.compile(rf"\b(?:{_WORD})(?:\x20+(?:{_WORD})){{0,2}}(?:\x20+dot\x20+(?:{_WORD})(?:\x20+(?:{_WORD})){{0,2}}){{3}}\b", re.I)
 _BRACKET = re.compile(r"\x20*[(\[{<]\x20*(at|dot)\x20*[)\]}>]\x20*", re.I)
-# Last labels that make plain words an address, as in "ann at example dot com" (fixed values).
+# Last labels that make plain words an address where only the at is spelled, as in "ann at example.com"; a sentence
+# that ends without a space looks the same otherwise (fixed values).
 _LAST = set(
     "com|org|net|edu|gov|mil|int|info|biz|name|io|dev|app|co|me|tv|xyz|online|site|shop|tech|cloud|email|ai|uk|us|de|fr|es|it|nl|eu|ch|at|be|ca|au|nz|jp|cn|kr|tw|hk|sg|in|br|ar|cl|ru|ua|by|kz"
     "|pl|cz|sk|hu|ro|bg|hr|si|gr|tr|il|ir|sa|ae|eg|za|ng|ke|th|vn|id|ph|se|no|dk|fi|ie|pt|mx|lu|lt|lv|ee|cy".split("|")
@@ -39,6 +43,9 @@ _LAST = set(
 _PLAIN_AT = re.compile(r"(?<!\x20)\x20+at\x20+", re.I)
 _PLAIN_DOT = re.compile(r"(?<!\x20)\x20+dot\x20+", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
+_LAST_WORD = re.compile(r"[A-Za-z]{2,}")
+# Words of prose around "dot", as in "look at the dot on top" (fixed values); as labels they need a last one in _LAST.
+_PROSE = set("a an the this that these those my your his her its our their each every any some no one and or but if is are was were be of on in to for from with by as than then at".split())
 _GROUP = rf"(?:[0-9]++|\b(?:{_WORD})\b)"
 _PLAIN_IP = re.compile(rf"(?<![0-9]){_GROUP}(?:(?:\.|\x20+dot\x20+){_GROUP})++", re.I)
 _GROUP_WORD = re.compile(rf"\b(?:{_WORD})\b", re.I)
@@ -102,13 +109,13 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
     """The text with its disguises undone, and for each of its characters the source span; None if there are none.
 
     Transducers in turn, each a list of (start, end, replacement): characters (homoglyphs, digits of other scripts,
-    invisible ones), then words (spelled digits in runs of three or more, at and dot in brackets), then at and dot
-    between words.
+    invisible ones), at and dot in brackets, words (spelled digits in runs of three or more, alone or among figures),
+    and at and dot between words.
     """
     begin: list[int] | range = range(len(text))
     end: list[int] | range = range(1, len(text) + 1)
     changed = False
-    for stage in (_characters, _words, _between):
+    for stage in (_characters, _brackets, _words, _between):
         edits = stage(text)
         if not edits:
             continue
@@ -127,15 +134,49 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
 
 
 def _characters(text: str):
-    if text.isascii():
+    if text.isascii() or not any(map(_ODD.match, set(text))):
         return []
     return [(m.start(), m.end(), p) for m in _ODD.finditer(text) if (p := _plain(m[0])) != m[0]]
 
 
+def _brackets(text: str):
+    """at in brackets is a sign; dot in brackets is a spelled one."""
+    if not _HINT.search(text):
+        return []
+    return [(m.start(), m.end(), "@" if m[1].lower() == "at" else " dot ") for m in _BRACKET.finditer(text)]
+
+
+def _figures(spelled: str) -> str | None:
+    """A run of spelled digits in figures; the gaps between two groups of figures stay. None for a run that holds fewer
+    than two spelled digits, or than three in all."""
+    parts = _SPELLED_PART.findall(spelled)
+    words = [p for p in parts if p.lower() in _DIGITS]
+    if len(words) < 2 or len(words) + sum(len(p) for p in parts if p.isdigit()) < 3:
+        return None
+    out = []
+    for k, p in enumerate(parts):
+        if p[0] in " -":
+            if parts[k - 1].isdigit() and k + 1 < len(parts) and parts[k + 1].isdigit():
+                out.append(p)
+        else:
+            out.append("+" if p.lower() == "plus" else _DIGITS.get(p.lower(), p))
+    return "".join(out)
+
+
+def _octets(text: str):
+    """Edits of four groups of up to three spelled digits with spelled dots between them: an address, digit by digit."""
+    for m in _DOTTED.finditer(text) if "dot" in text.lower() else ():
+        groups = re.split(r"\x20+dot\x20+", m[0], flags=re.I)
+        yield m.start(), m.end(), ".".join("".join(_DIGITS[w.lower()] for w in g.split()) for g in groups)
+
+
 def _words(text: str):
-    edits = [(m.start(), m.end(), "".join("+" if w.lower() == "plus" else _DIGITS[w.lower()] for w in _SPELLED_PART.findall(m[0]))) for m in _SPELLED.finditer(text)]
-    if _HINT.search(text):
-        edits += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKET.finditer(text)]
+    edits = list(_octets(text))
+    starts, ends = [a for a, _, _ in edits], [b for _, b, _ in edits]
+    for m in _SPELLED.finditer(text):
+        k = bisect.bisect_right(ends, m.start())  # the first address that ends beyond its start
+        if (k == len(starts) or starts[k] >= m.end()) and (put := _figures(m[0])):
+            edits.append((m.start(), m.end(), put))
     return _apart(edits)
 
 
@@ -153,10 +194,14 @@ def _between(text: str):
     """at and dot as words of their own, each undone by itself.
 
     dot: between the labels before and after an @ or at, of any number and length, and between four or more groups of
-    digits (single digits may be spelled). at: before labels whose last is in _LAST, be the dots spelled or not, unless
-    the first is www, which makes it a site.
+    digits (single digits may be spelled). at: before labels with a spelled dot between them, whose last has two letters
+    or more and none of which is in _PROSE, or else before labels whose last is in _LAST. A first label www makes it a
+    site.
     """
-    dots = {m.start(): m.end() for m in _PLAIN_DOT.finditer(text)}
+    low = text.lower()
+    if "dot" not in low and " at " not in low:
+        return []
+    dots = {m.start(): m.end() for m in _PLAIN_DOT.finditer(text)} if "dot" in low else {}
     before = {b: a for a, b in dots.items()}
     edits = set()
 
@@ -176,17 +221,17 @@ def _between(text: str):
 
     def local(at: int):
         """Spelled dots of the local part that ends at at; None if there is no local part."""
-        out, low = [], at
-        while low and not _NOT_LOCAL.match(text, low - 1):
-            low -= 1
-            if (a := before.get(low)) and not _NOT_LOCAL.match(text, a - 1):
-                out.append((a, low, "."))
-                low = a
-        return out if low < at else None
+        out, begin = [], at
+        while begin and not _NOT_LOCAL.match(text, begin - 1):
+            begin -= 1
+            if (a := before.get(begin)) and not _NOT_LOCAL.match(text, a - 1):
+                out.append((a, begin, "."))
+                begin = a
+        return out if begin < at else None
 
     for m in _PLAIN_AT.finditer(text):
         found = labels(m.end())
-        while found and found[-1][2].lower() not in _LAST:
+        while found and found[-1][2].lower() not in _LAST and not (any(g for _, g, _ in found) and _LAST_WORD.fullmatch(found[-1][2]) and not {x[2].lower() for x in found} & _PROSE):
             found.pop()
         if len(found) > 1 and found[0][2].lower() != "www" and (own := local(m.start())) is not None:
             edits.update([(*m.span(), "@"), *own, *(g for _, g, _ in found if g)])

@@ -186,7 +186,8 @@ def test_pii_disguises(text, found):
 @pytest.mark.parametrize(
     "found",
     ["john@example dot com", "ann at example.com", "a" * 70 + " at example dot com", "192 dot 168 dot 0 dot 1", "192.168 dot zero dot 1", "john dot smith at example dot com",
-     "john dot smith@example.com", "john dot smith (at) mail dot example dot co dot uk", "ann at example dot co dot uk", "๑๙๒.๑๖๘.๐.๑", "𝟏𝟗𝟐.𝟏𝟔𝟖.𝟎.𝟏", "192.168.0.1２"],
+     "john dot smith@example.com", "john dot smith (at) mail dot example dot co dot uk", "ann at example dot co dot uk", "๑๙๒.๑๖๘.๐.๑", "𝟏𝟗𝟐.𝟏𝟔𝟖.𝟎.𝟏", "192.168.0.1２",
+     "jane at example dot systems", "one nine two dot one six eight dot one dot one", "b" * 70 + " at mail.example dot photography"],
 )
 def test_pii_at_and_dot_are_undone_independently(found):
     text = f"so, {found}, yes"
@@ -194,8 +195,37 @@ def test_pii_at_and_dot_are_undone_independently(found):
     assert pii.redact(text, pii.detect(text)[1]) in ("so, <EMAIL>, yes", "so, <IP>, yes")
 
 
+@pytest.mark.parametrize("found,kind", [
+    ("four one one one 1111 1111 1111", "CARD"), ("four one one one one one one one one one one one one one one one", "CARD"), ("4111 1111 one one one one 1111", "CARD"),
+    ("plus 1 five five five 123 four five six seven", "PHONE"), ("+1 five five five 123 four five six seven", "PHONE"),
+])
+def test_pii_words_mixed_with_figures(found, kind):
+    assert pii.redact(f"so, {found}, yes", pii.detect(f"so, {found}, yes")[1]) == f"so, <{kind}>, yes"
+
+
+def test_pii_against_a_second_reading():
+    """Identifiers under random disguises, put into prose: all are found at their very place, and nothing else is."""
+    rng = np.random.default_rng(12)
+    words = "zero one two three four five six seven eight nine".split()
+    pick = lambda *x: x[rng.integers(0, len(x))]
+    digits = lambda d: " ".join(words[int(c)] for c in d)
+    for _ in range(400):
+        name, host, last = pick("ann", "j.doe", "mary_k"), pick("example", "mail", "site-x"), pick("com", "org", "museum", "co")
+        octets = [str(rng.integers(0, 256)) for _ in range(4)]
+        card = pick("4111111111111111", "5500005555555559", "340000000000009")
+        made = {
+            "EMAIL": f"{name}{pick(' at ', ' (at) ', ' [AT] ', '@')}{host}{pick(' dot ', ' (dot) ')}{last}",
+            "IP": pick(" dot ".join(octets), "[dot]".join(octets), " dot ".join(map(digits, octets)), ".".join(octets).translate({48 + k: 0xFF10 + k for k in range(10)})),
+            "CARD": pick(digits(card), f"{digits(card[:4])} {card[4:]}", "\u200b".join(card)),
+        }
+        kind = pick(*made)
+        text = f"Bring it to {pick('Zoë', 'them')}; {made[kind]}; and go on."
+        spans = [(text[a:b], pii.KINDS[k]) for a, k, b in pii.detect(text)[1]]
+        assert spans == [(made[kind], kind.lower())], text
+
+
 def test_pii_plain_words_stay():
-    for s in ("see us at www.example.com", "look at file.txt", "1 dot 2 dot 3", "at 5.30 dot", "the dot at the end. dot com"):
+    for s in ("see us at www.example.com", "look at file.txt", "1 dot 2 dot 3", "at 5.30 dot", "the dot at the end. dot com", "one two", "in 2019 one of 30", "chapter one 1 and two 2"):
         assert pii.detect(s) == ([], [])
 
 
