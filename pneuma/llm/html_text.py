@@ -48,10 +48,11 @@ _RAW_END = {tag: re.compile(f"</{tag}[\\s/>]", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "chars", "link_chars", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "attrs", "parent", "kids", "own", "chars", "link_chars", "tags", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.own = None
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -225,26 +226,28 @@ def _prune(root: Node) -> None:
     """Take out menus, adverts and the like, by element, role or name.
 
     What density says comes first: an element that holds an article or the densest subtree is never taken out for its
-    name, nor for being a form or a header; comments are, unless nothing else is left.
+    name or role, nor for being a form or a header. Reader comments always go, unless an article or main element is in
+    them.
     """
     _filtered(root, lambda x, within: _unseen(x))
     articles = _above([x for x in _measure(root) if x.tag in CONTENT and x.chars])
     _filtered(root, lambda x, within: x.tag in DROPPED and x.tag != "form" and id(x) not in articles)
     named = {id(x): kind for x in _walk(root) if x.attrs and x.tag not in ("html", "body") and x.tag not in CONTENT and (kind := _told_by_name(_attributes(x)))}
-    if not articles:
-        _filtered(root, lambda x, within: named.get(id(x)) == "comment" and 2 * x.chars < root.chars)
-    _, _, best = _best(root)
+    _filtered(root, lambda x, within: named.get(id(x)) == "comment" and id(x) not in articles)
+    _, body, best = _best(root)
     holds = articles | _above([best])
+    inner = {id(x) for x in _walk(best)} if best is not body else set()
 
     def gone(x: Node, within: bool) -> bool:
-        if id(x) in holds and named.get(id(x)) != "comment":
+        if id(x) in holds:
             return False
+        within = within or id(x) in inner
         if x.tag == "form" or x.tag == "header" and not within:
             return True
         if x.attrs and "role" in x.attrs and _attributes(x).get("role", "").lower() in DROPPED_ROLES:
             return True
         kind = named.get(id(x))
-        return kind == "other" or kind == "head" and not within or kind == "comment" and (id(x) not in articles)
+        return kind == "other" or kind == "head" and not within
 
     _filtered(root, gone)
 
@@ -252,9 +255,10 @@ def _prune(root: Node) -> None:
 def _measure(root: Node) -> list[Node]:
     nodes = _walk(root)
     for x in reversed(nodes):
-        own = sum(len(_SPACE.sub(" ", unescape(k)).strip()) for k in x.kids if isinstance(k, str))
+        if x.own is None:
+            x.own = sum(len(" ".join(unescape(k).split())) for k in x.kids if isinstance(k, str))
         inner = [k for k in x.kids if isinstance(k, Node)]
-        x.chars = own + sum(k.chars for k in inner)
+        x.chars = x.own + sum(k.chars for k in inner)
         x.tags = sum(k.tags + 1 for k in inner)
         if x.tag == "a":
             x.link_chars, x.link_tags = x.chars, x.tags

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -377,3 +379,80 @@ def test_sharding_keeps_small_groups_of_equal_texts_whole(spark):
     assert shards.max() == 1 and got[got.text_crc32 == hot]["shard"].nunique() >= 2
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
+
+
+PROSE = "<p>" + "Some long words of an article stand here and go on for long. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='article-header'><h1>Kept</h1></div>", "<p class='notice-period'>Kept</p>", "<p class='social-science'>Kept</p>",
+    "<p id='share-of-gdp'>Kept</p>", "<ul class='related-work'><li>Kept</ul>", "<header><h1>Kept</h1></header>", "<p>Kept <a href=x>link</a>",
+])
+@pytest.mark.parametrize("holder", ["article", "div id=content class='has-sidebar post-share'"])
+def test_html_names_inside_an_article_stay(part, holder):
+    page = f"<html><body><nav><a href=/>Menu</a></nav><{holder}>{part}{PROSE * 3}</{holder.split()[0]}><footer>Foot</footer></body></html>"
+    got = html_text.main_text(page)
+    assert "Kept" in got and got.count("Some long words") == 15 and "Menu" not in got and "Foot" not in got
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='ad'>Gone</div>", "<div class='cookie-notice'><p>Gone</div>", "<div id=comments><p>Gone" + PROSE * 9 + "</div>", "<div class='post-comments'>Gone</div>",
+    "<aside>Gone</aside>", "<form><p>Gone</form>", "<div role=navigation>Gone</div>", "<div class='siteFooter'>Gone</div>", "<div style='display: none'>Gone</div>", "<script>Gone</script>",
+    "<ul><li><a href=1>Gone</a><li><a href=2>Gone</a><li><a href=3>Gone</a></ul>",
+])
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_html_boilerplate_goes(part, holder):
+    got = html_text.main_text(f"<body>{part}<{holder}><h1>Title</h1>{PROSE * 4}</{holder}>{part}</body>")
+    assert got.startswith("Title\nSome") and "Gone" not in got and got.count("Some long words") == 20
+
+
+def test_html_forms_and_containers_that_hold_the_article_stay():
+    for page in (f"<body><form><article><h1>T</h1>{PROSE}</article></form>", f"<body><form class=modal><h1>T</h1>{PROSE * 2}</form>", f"<body><h1>T</h1><div>{PROSE * 2}</div><div>{PROSE * 2}</div>"):
+        assert html_text.main_text(page).startswith("T\nSome")
+    assert html_text.main_text("plain text &amp; more") == "plain text & more"
+
+
+@pytest.mark.parametrize("page", [
+    "<a b " * 200_000, "<div>" * 100_000, "<div>" * 50_000 + "</span>" * 100_000, "<p><table><td>" + "<b><div>" * 30_000, "<a \">\" " * 100_000 + "'",
+    "<ul><li>a" * 30_000, "<a title=\"x>" * 90_000 + "'", "<!--" * 200_000,
+])
+def test_html_long_pages_take_linear_time(page):
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 15
+
+
+def _density_by_hand(html, path):
+    """The composite density of the element at a path of child numbers, read from its text and tags by regular expressions."""
+    chars = lambda h: sum(len(" ".join(t.split())) for t in re.split("<[^>]*>", h))
+    links = re.findall(r"<a [^>]*>.*?</a>", html[path], re.S)
+    c, t = chars(html[path]), max(1, len(re.findall(r"<[a-z]", html[path])) - 1)
+    lc, lt = sum(map(chars, links)), len(links)
+    body_c, body_lc = chars(html[0]), sum(chars(x) for x in re.findall(r"<a [^>]*>.*?</a>", html[0], re.S))
+    base = math.log(c / max(c - lc, 1) * lc + body_lc / body_c * c + math.e)
+    return c / t * max(0.0, math.log(c / max(lc, 1) * (t / max(lt, 1)))) / math.log(max(base, 1.0) + 1.0)
+
+
+def test_html_density_against_brute_force():
+    """Random pages: density of every element against its definition, and the densest subtree by trying all."""
+    rng = np.random.default_rng(21)
+    for _ in range(60):
+        parts = []
+        for k in range(rng.integers(2, 6)):
+            inner = "".join(f"<p>{'w' * int(rng.integers(1, 300))} {'<a href=1>' + 'l' * int(rng.integers(1, 90)) + '</a>' if rng.random() < 0.4 else ''}</p>" for _ in range(rng.integers(1, 5)))
+            parts.append(f"<div>{inner}</div>")
+        page = f"<body>{''.join(parts)}</body>"
+        _, body, best = html_text._best(html_text.parse(page))
+        sums = []
+        for k, (node, text) in enumerate(zip(body.kids, parts, strict=True)):
+            assert node.density == pytest.approx(_density_by_hand({0: page, 1: text}, 1))
+            kids = re.findall(r"<p>.*?</p>", text)
+            assert [x.density for x in node.kids] == pytest.approx([_density_by_hand({0: page, 1: x}, 1) for x in kids])
+            sums.append((sum(_density_by_hand({0: page, 1: x}, 1) for x in kids), node))
+        sums.append((sum(_density_by_hand({0: page, 1: x}, 1) for x in parts), body))
+        assert best.sum == pytest.approx(max(s for s, _ in sums))
+
+
+def test_html_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a", "x"), (1, "u", "<p>a", "y"), (None, None, "<p>b", "z")], "page_id long, url string, html string, text string")
+    assert sorted(r.text for r in html_text.extract(df).collect()) == ["a", "a", "b"]
