@@ -251,12 +251,17 @@ def _chosen_sets(width, bitmap):
     return run
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: never broadcast, at any size; the other side may be skewed."""
+    return df.hint("merge")
+
+
 def _sets_of(rows: DataFrame, sets: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(sid, shingles) of the sets named in the one column of ids, once each; written."""
-    chosen = written(sets.select("sid", "d1", "d2").join(ids, "sid", "left_semi"), "jaccard-chosen")
+    chosen = written(sets.select("sid", "d1", "d2").join(_merged(ids), "sid", "left_semi"), "jaccard-chosen")
     bitmap = rows.sparkSession.sparkContext.broadcast(bit_filter(chosen.select("d1"), filter_bits(chosen.count())))
     found = rows.select("text").mapInArrow(_chosen_sets(width, bitmap), "d1 long, d2 long, shingles array<long>")
-    out = written(found.join(chosen, ["d1", "d2"]).select("sid", "shingles").dropDuplicates(["sid"]), "jaccard-shingles")
+    out = written(found.dropDuplicates(["d1", "d2"]).join(_merged(chosen), ["d1", "d2"]).select("sid", "shingles"), "jaccard-shingles")
     dropped(chosen)
     return out
 
@@ -269,7 +274,7 @@ def _grouped_links(rows: DataFrame, sets: DataFrame, members: DataFrame, labels:
     BLOCK_SHINGLES shingles. Every two blocks that may hold a link between unlike labels meet in a task of their own,
     which returns no more links than it has sets; blocks of one and the same label are skipped.
     """
-    members = members.join(sets.select("sid", "n"), "sid").join(labels.withColumnRenamed("v", "sid"), "sid", "left")
+    members = members.join(_merged(sets.select("sid", "n")), "sid").join(_merged(labels.withColumnRenamed("v", "sid")), "sid", "left")
     members = members.select("group", "sid", "n", F.coalesce("label", "sid").alias("label"), F.floor(F.log(F.col("n")) / F.log(F.lit(max(100 / percent, 1.01)))).cast("int").alias("cls"))
     members = written(members, "jaccard-members")
     if members.isEmpty():
@@ -287,7 +292,7 @@ def _grouped_links(rows: DataFrame, sets: DataFrame, members: DataFrame, labels:
     cell = F.struct("part", "i", "part_b", "j").alias("cell")
     asked = cells.select(cell, "part", F.col("i").alias("block"), F.lit(0).alias("side")).union(cells.select(cell, F.col("part_b"), F.col("j"), F.lit(1))).where((F.col("side") == 0) | (F.col("cell.part") < F.col("cell.part_b")) | (F.col("cell.i") < F.col("cell.j")))
     own = members.join(parts, (members["group"] == parts["group"]) & members["kind"].eqNullSafe(parts["kind"]) & (members["cls"] == parts["cls"])).select("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "label")
-    dealt = own.join(asked, ["part", "block"]).join(shingles, "sid").select("cell", "sid", "label", "side", "shingles")
+    dealt = own.join(asked, ["part", "block"]).join(_merged(shingles), "sid").select("cell", "sid", "label", "side", "shingles")
     links = written(dealt.groupBy("cell").applyInArrow(_cell(percent), "a long, b long"), "jaccard-links")
     dropped(shingles), dropped(parts)
     return links
@@ -301,7 +306,7 @@ def _linked(rows: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, perc
     shingles = _sets_of(rows, sets, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), width)
     a = shingles.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
     b = shingles.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
+    met = pairs.join(_merged(a), "a").join(_merged(b), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
     out = written(met.where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "jaccard-links")
     dropped(shingles), dropped(pairs)
     return out
@@ -315,10 +320,10 @@ def connected(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
     now = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(now.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        low = now.join(near, "v", "left").select("v", "label", F.least("label", "near").alias("low"))
+        near = both.join(_merged(now.select(F.col("v").alias("b"), "label")), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        low = now.join(_merged(near), "v", "left").select("v", "label", F.least("label", "near").alias("low"))
         jump = now.select(F.col("v").alias("low"), F.col("label").alias("next"))
-        new = written(low.join(jump, "low", "left").select("v", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("label")).alias("moved")), "labels")
+        new = written(low.join(_merged(jump), "low", "left").select("v", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("label")).alias("moved")), "labels")
         moved = not new.where("moved").isEmpty()
         dropped(now)
         now = new.select("v", "label")
@@ -356,32 +361,36 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
     often = often.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(often["token"].to_numpy().view(U64)))
 
-    headers = written(rows.mapInArrow(_headers(width, percent, frequent), f"doc_id {id_type}, n_shingles long, d1 long, d2 long, prefix array<long>"), "jaccard-headers")
-    prefixes = headers.where("prefix is not null").select("d1", "d2", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["d1", "d2"])
-    sets = written(prefixes.withColumn("sid", F.monotonically_increasing_id()), "jaccard-sets")
-    tokens = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = written(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), "jaccard-lists")
+    read = written(rows.mapInArrow(_headers(width, percent, frequent), f"doc_id {id_type}, n_shingles long, d1 long, d2 long, prefix array<long>"), "jaccard-read")
+    headers = written(read.drop("prefix"), "jaccard-headers")
+    prefixes = read.where("prefix is not null").select("d1", "d2", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["d1", "d2"])
+    prefixes = written(prefixes.withColumn("sid", F.monotonically_increasing_id()), "jaccard-prefixes")
+    sets = written(prefixes.drop("prefix"), "jaccard-sets")
+    dropped(read)
+    tokens = prefixes.select("sid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    lists = written(tokens.join(_merged(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")), "token"), "jaccard-lists")
+    dropped(prefixes)
 
     # How much the other sets share of a set's prefix tells the centre of a group from its edited copies.
     scores = lists.groupBy("sid").agg((F.sum("df") / F.min("n")).alias("score"))
-    centres = lists.join(scores, "sid").groupBy("token").agg(F.max(F.struct("score", (-F.col("sid")).alias("minus"), F.col("n").alias("nb"))).alias("top"))
+    centres = lists.join(_merged(scores), "sid").groupBy("token").agg(F.max(F.struct("score", (-F.col("sid")).alias("minus"), F.col("n").alias("nb"))).alias("top"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    stars = lists.join(centres, "token").select(F.col("sid").alias("a"), (-F.col("top.minus")).alias("b"), F.col("n").alias("na"), F.col("top.nb").alias("nb")).where((F.col("a") != F.col("b")) & fits(F.col("na"), F.col("nb")))
+    stars = lists.join(_merged(centres), "token").select(F.col("sid").alias("a"), (-F.col("top.minus")).alias("b"), F.col("n").alias("na"), F.col("top.nb").alias("nb")).where((F.col("a") != F.col("b")) & fits(F.col("na"), F.col("nb")))
     rest = lambda n: F.ceil(n * percent / 100) - 1
     may = lambda p: (F.col("shared") + F.greatest(rest(p["na"]), rest(p["nb"]))) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     stars = stars.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     links = _linked(rows, sets, stars.where(may(stars)), width, percent)
     labels = connected(links)
 
-    labelled = lists.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    labelled = lists.join(_merged(labels.withColumnRenamed("v", "sid")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     unlike = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    crossing = written(labelled.join(unlike, "token"), "jaccard-crossing")
+    crossing = written(labelled.join(_merged(unlike), "token"), "jaccard-crossing")
     dropped(lists)
-    short = crossing.where(F.col("df") <= LONG_LIST).select("token", "sid", "label", "n", F.col("pos").cast("long").alias("pos"))
+    short = crossing.where(F.col("df") <= LONG_LIST).select("token", "sid", "label", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
     pairs = short.repartition("token").mapInArrow(_cross(percent), _PAIRS).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     long = crossing.where(F.col("df") > LONG_LIST)
     group = long.groupBy("token", "label").count().groupBy("token").agg(F.max(F.struct("count", "label"))["label"].alias("group"))
-    grouped = _grouped_links(rows, sets, long.join(group, "token").select("group", "sid").distinct(), labels, width, percent)
+    grouped = _grouped_links(rows, sets, long.join(_merged(group), "token").select("group", "sid").distinct(), labels, width, percent)
     # A pair that also shares a token of a longer list meets in a group, so here it doesn't matter that it counts for less.
     more = _linked(rows, sets, pairs.where(may(pairs)), width, percent)
     classes = connected(links.union(grouped).union(more))
@@ -389,9 +398,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str =
         dropped(table)
 
     # The least id of each class, over its distinct sets.
-    least = headers.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least")).join(sets.select("d1", "d2", "sid"), ["d1", "d2"])
-    classed = least.join(classes.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    named = classed.select("d1", "d2", "label").join(classed.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("d1", "d2", "component_id")
+    least = headers.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least")).join(_merged(sets.select("d1", "d2", "sid")), ["d1", "d2"])
+    classed = least.join(_merged(classes.withColumnRenamed("v", "sid")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = classed.select("d1", "d2", "label").join(_merged(classed.groupBy("label").agg(F.min("least").alias("component_id"))), "label").select("d1", "d2", "component_id")
     told = headers.select("doc_id", "n_shingles", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")
     result = written(told.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "jaccard-classes")
     for table in (headers, sets, classes):
