@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clinical
+from ..functions.cells import blank, strict_num
 
 METRICS = {"fvc": "FVC", "fev1": "FEV1", "ratio": "FEV1/FVC"}
 
@@ -13,33 +14,41 @@ METRICS = {"fvc": "FVC", "fev1": "FEV1", "ratio": "FEV1/FVC"}
 def pivot_cases(cells: DataFrame, key: str = "case_no", order: str = "pos") -> DataFrame:
     """One row a case: z-scores before and after, and %change, of three metrics; the first row of a metric counts.
 
-    <name>_row tells an absent row from a blank cell. One shuffle, with partial aggregation.
+    <name>_missing tells of a value that is None: the metric has no row, or its cell is a text but no number. A blank
+    cell of a text column, or a null one of a number column, is not missing but a value that no comparison holds for,
+    as is NaN, which comes out as null. One shuffle, with partial aggregation.
     """
+    kinds = dict(cells.dtypes)
     out = []
     for name, metric in METRICS.items():
         own = F.col("metric") == metric
         at = F.when(own, F.col(order))
         for column, alias in (("pre_z", f"pre_{name}"), ("post_z", f"post_{name}"), ("pct_chg", f"chg_{name}")):
-            out.append(F.min_by(F.struct(column), at)[column].alias(alias))
-        out.append(F.coalesce(F.bool_or(own), F.lit(False)).alias(f"{name}_row"))
+            if kinds[column] == "string":
+                value, odd = strict_num(F.col(column)), ~blank(F.col(column)) & strict_num(F.col(column)).isNull()
+            else:
+                value, odd = F.col(column).cast("double"), F.lit(False)
+            first = F.min_by(F.struct(F.nanvl(value, F.lit(None).cast("double")).alias("v"), odd.alias("odd")), at)
+            out += [first["v"].alias(alias), F.coalesce(first["odd"], F.lit(True)).alias(f"{alias}_missing")]
     return cells.groupBy(key).agg(*out)
 
 
 def classify(cases: DataFrame, bmi: DataFrame | None, key: str = "case_no", default_bmi: float | None = None, missing: str = "parity") -> DataFrame:
-    """Patterns, severities and sentences of each case.
+    """Patterns, severities, sentences and warnings of each case.
 
     bmi: (key, bmi) or None; if given, a case that it lacks has none, and default_bmi isn't used. missing "parity" lets a
-    blank z-score pass as not low; "safe" makes any missing one Unknown.
+    blank z-score pass as not low; "safe" makes any blank or NaN one missing too.
     """
     joined = cases.join(bmi, key, "left") if bmi is not None else cases.withColumn("bmi", F.lit(default_bmi).cast("double"))
-    rows = F.col("fvc_row") & F.col("fev1_row") & F.col("ratio_row")
-    any_row = F.col("fvc_row") | F.col("fev1_row") | F.col("ratio_row")
-    out = joined
+    out, notes = joined, {}
+    gone = lambda when, m: F.col(f"{when}_{m}_missing") | (F.lit(missing != "parity") & F.col(f"{when}_{m}").isNull())
+    any_post = ~(gone("post", "fvc") & gone("post", "fev1") & gone("post", "ratio"))
     for when in ("pre", "post"):
         z = [F.col(f"{when}_{m}") for m in METRICS]
-        known = rows if missing == "parity" else rows & z[0].isNotNull() & z[1].isNotNull() & z[2].isNotNull()
+        known = ~(gone(when, "fvc") | gone(when, "fev1") | gone(when, "ratio"))
         kind = clinical.pattern(*z)
-        absent = F.lit(False) if when == "pre" else ~any_row
+        absent = F.lit(False) if when == "pre" else ~any_post
+        notes[when] = ~absent & ~known
         out = (
             out.withColumn(f"{when}_pattern", F.when(absent, "N/A").when(~known, "Unknown").otherwise(kind))
             .withColumn(f"{when}_severity", F.when(absent, "n/a").when(~known, "unknown").otherwise(clinical.severity(kind, z[1])))
@@ -50,10 +59,11 @@ def classify(cases: DataFrame, bmi: DataFrame | None, key: str = "case_no", defa
             )
         )
     same = (F.col("pre_pattern") == F.col("post_pattern")) & (F.col("pre_severity") == F.col("post_severity"))
-    changed = F.coalesce(F.greatest("chg_fvc", "chg_fev1", "chg_ratio") > clinical.SIGNIFICANT_CHANGE, F.lit(False))
+    # Warnings (fixed values).
+    told = F.array_compact(F.array(F.when(notes["pre"], "Missing pre Z-scores for FVC/FEV1/FEV1-FVC."), F.when(notes["post"], "Partial post Z-scores present; classification may be unreliable.")))
     return out.select(
-        key, F.col("bmi").alias("bmi_used"), "pre_pattern", "pre_severity", "post_pattern", "post_severity",
-        clinical.combined(F.col("pre_report"), F.col("post_report"), same, any_row).alias("report_combined"),
-        clinical.bronchodilator(changed).alias("bronchodilator_response"),
-        F.when(F.col("pre_pattern") == "Unknown", 1).otherwise(0).alias("n_warnings"),
+        key, F.col("bmi").alias("bmi_used"), *[f"{p}_{m}" for p in ("pre", "post", "chg") for m in METRICS],
+        "pre_pattern", "pre_severity", "post_pattern", "post_severity", F.col("pre_report").alias("report_pre"), F.col("post_report").alias("report_post"),
+        clinical.combined(F.col("pre_report"), F.col("post_report"), same, any_post).alias("report_combined"),
+        clinical.bronchodilator(clinical.any_above(*[F.col(f"chg_{m}") for m in METRICS])).alias("bronchodilator_response"), told.alias("warnings"),
     )

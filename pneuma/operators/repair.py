@@ -1,100 +1,261 @@
-"""Consistency rules over one row of the measurement grid, as expressions; their order matters."""
+"""Consistency rules over the text grid of a case, as expressions; their order matters.
+
+A grid has one row for each case and metric, the columns of cells.COLUMNS as texts (blank or null: missing) and
+`warnings`, an array of (seq, message) that the rules append to. Rules over one row are projections; rules over several
+rows of a case are windows over the case, so the whole chain needs one shuffle by case. complete() gives each case all
+its rows; without it, of repeated rows each is mended by itself, the largest text standing for its siblings.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows that only hold PRE-BEST and POST-BEST (fixed values).
-RESTRICTED = ["MVV", "Grade FVC N", "Grade FEV1 N", "FET", "FIVC", "BEV", "FEV1/VC"]
+from ..functions.cells import BESTS, COLUMNS, GRADES, HEADINGS, RESTRICTED, ROWS, blank, cell_spec, let, normalise, num, shown
+from ..functions.text import fixed, parse_float, parse_grade
+
+_WARNINGS = "array<struct<seq:int,message:string>>"
+_SIDES = [("pre_best", "pre_pct", "pre_z"), ("post_best", "post_pct", "post_z")]
+
+
+def grid(df: DataFrame) -> DataFrame:
+    """df with blank texts for null cells, and no warnings yet."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in COLUMNS} | {"warnings": F.array().cast(_WARNINGS)})
+
+
+def complete(df: DataFrame, key: str = "case_no") -> DataFrame:
+    """All rows of every case in order, as row_no from 1: rows that a case lacks are blank, of repeated ones the least stays.
+
+    One shuffle by case, which the rules over several rows then reuse.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("metric", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in COLUMNS])))
+    cases = df.groupBy(key).agg(rows.alias("_rows"))
+    empty = lambda m: F.struct(m.alias("metric"), *[F.lit("").alias(c) for c in COLUMNS])
+    whole = F.transform(F.array(*[F.lit(m) for m in ROWS]), lambda m: F.coalesce(F.try_element_at(F.filter("_rows", lambda r: r["metric"] == m), F.lit(1)), empty(m)))
+    return cases.select(key, F.posexplode(whole).alias("row_no", "_row")).select(key, (F.col("row_no") + 1).alias("row_no"), "_row.*")
+
+
+def _told(seq: int, when: Column, *parts: Column | str) -> Column:
+    message = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    note = F.struct(F.lit(seq).alias("seq"), message.alias("message"))
+    return F.when(F.coalesce(when, F.lit(False)), F.array_append("warnings", note)).otherwise(F.col("warnings"))
+
+
+def _free() -> Column:
+    return ~F.col("metric").isin(RESTRICTED)
+
+
+def blank_restricted(df: DataFrame) -> DataFrame:
+    """Restricted rows keep only the BEST columns; MVV keeps none."""
+    gone = lambda c: (F.col("metric") == "MVV") | (F.lit(c not in BESTS) & F.col("metric").isin(RESTRICTED))
+    return df.withColumns({c: F.when(gone(c), "").otherwise(F.col(c)) for c in COLUMNS})
+
+
+# Rows that others are mended by (fixed values), and the names of their cells beside each row.
+_OTHERS = {"fvc": "FVC", "fev1": "FEV1", "ratio": "FEV1/FVC", "vc": "VC", "g0": GRADES[0], "g1": GRADES[1]}
+
+
+def _beside(df: DataFrame, key: str) -> DataFrame:
+    """df with the BEST cells of the rows of _OTHERS beside each row of their case; one window for all."""
+    own = Window.partitionBy(key)
+    return df.withColumns({f"_{side}_{k}": F.coalesce(F.max(F.when(F.col("metric") == m, F.col(side))).over(own), F.lit("")) for side in BESTS for k, m in _OTHERS.items()})
 
 
-def scale_lln(df: DataFrame) -> DataFrame:
+def _alone(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"_{side}_{k}" for side in BESTS for k in _OTHERS])
+
+
+def _split(df: DataFrame, seq: int) -> DataFrame:
+    strict = r"^\s*([A-Fa-f])\s+([-+]?\d+(?:\.\d+)?)\s*$"
+    metric = F.col("metric")
+    for side in BESTS:
+        for k, name in (("g0", GRADES[0]), ("g1", GRADES[1])):
+            c = F.col(f"_{side}_{k}")
+            exact, loose = c.rlike(strict), F.upper(c).rlike("[A-F]") & c.rlike(r"\d")
+            grade = F.when(exact, F.upper(F.regexp_extract(c, strict, 1))).when(loose, F.coalesce(parse_grade(c), c)).otherwise(c)
+            move = F.when(exact, F.regexp_extract(c, strict, 2)).when(loose, fixed(parse_float(c), 2))
+            how = F.when(exact, "Grade splitter: moved ").otherwise("Grade splitter (soft): moved ")
+            df = df.withColumns({"_move": F.when((metric == "FET") & blank(F.col(side)), move), "_how": how, "_grade": grade})
+            df = df.withColumns({
+                "warnings": _told(seq, F.col("_move").isNotNull(), F.col("_how"), F.col("_move"), f" from {name}/{HEADINGS[side]} to FET/{HEADINGS[side]}"),
+                side: F.when(metric == name, F.col("_grade")).otherwise(F.coalesce("_move", side)), f"_{side}_{k}": F.col("_grade"),
+            })
+    return df.drop("_move", "_how", "_grade")
+
+
+def _realign(df: DataFrame, seq: int) -> DataFrame:
+    metric = F.col("metric")
+    for side in BESTS:
+        fvc, fev1, ratio = (F.col(f"_{side}_{k}") for k in ("fvc", "fev1", "ratio"))
+        found = F.regexp_extract_all(ratio, F.lit(r"([-+]?\d+(?:\.\d+)?)"), F.lit(1))
+        df = df.withColumn("_two", F.when(blank(fvc) & blank(fev1) & (F.size(found) >= 2), F.slice(found, 1, 2)))
+        one, two, moved = F.col("_two")[0], F.col("_two")[1], F.col("_two").isNotNull()
+        put = F.when(metric == "FVC", one).when(metric == "FEV1", two).when(metric == "FEV1/FVC", "").otherwise(F.col(side))
+        df = df.withColumns({
+            "warnings": _told(seq, moved & (metric == "FEV1/FVC"), "Row realign: pulled ", one, ",", two, f" from FEV1/FVC/{HEADINGS[side]} into FVC+FEV1"),
+            side: F.when(moved, put).otherwise(F.col(side)), f"_{side}_fvc": F.coalesce(one, fvc), f"_{side}_fev1": F.coalesce(two, fev1), f"_{side}_ratio": F.when(moved, "").otherwise(ratio),
+        })
+    return df.drop("_two")
+
+
+def _derive(df: DataFrame, seq: int) -> DataFrame:
+    metric = F.col("metric")
+    for side in BESTS:
+        fvc, fev1, vc = (F.nullif(parse_float(F.col(f"_{side}_{k}")), F.lit(0.0)) for k in ("fvc", "fev1", "vc"))
+        due = F.when(metric == "FEV1/FVC", F.bround(fev1 / fvc * 100, 0)).when(metric == "FEV1/VC", fev1 / vc * 100)
+        df = df.withColumns({"_due": due, "_now": num(F.col(side))})
+        due, now = F.col("_due"), F.col("_now")
+        off = due.isNotNull() & (now.isNull() | (now < 20) | (now > 150) | (F.abs(now - due) >= 8))
+        df = df.withColumn("_put", F.when(off, F.when(metric == "FEV1/FVC", due.cast("long").cast("string")).otherwise(fixed(due, 2))))
+        df = df.withColumns({"warnings": _told(seq, F.col("_put").isNotNull(), f"Derived {HEADINGS[side]} ", metric, "=", F.col("_put")), side: F.coalesce("_put", side)})
+    return df.drop("_due", "_now", "_put")
+
+
+def split_grades(df: DataFrame, key: str = "case_no", seq: int = 0) -> DataFrame:
+    """"A 10.53" in a grade row: the grade stays, the number goes to a blank FET. The row of FVC comes first."""
+    return _alone(_split(_beside(df, key), seq))
+
+
+def realign_top(df: DataFrame, key: str = "case_no", seq: int = 1) -> DataFrame:
+    """FVC and FEV1 blank while FEV1/FVC holds two numbers or more: the first two are theirs."""
+    return _alone(_realign(_beside(df, key), seq))
+
+
+def derive_ratios(df: DataFrame, key: str = "case_no", seq: int = 2) -> DataFrame:
+    """FEV1/FVC (whole) and FEV1/VC (two decimals) from their sibling rows, where missing, outside 20..150 or off by 8."""
+    return _alone(_derive(_beside(df, key), seq))
+
+
+def scale_lln(df: DataFrame, seq: int = 3) -> DataFrame:
     """LLN over 1.10 * Pred is divided by 10, 100 or 1000, whichever first brings it down."""
-    lln, pred = F.col("lln"), F.col("pred")
-    limit = pred * 1.10
-    scaled = F.coalesce(*[F.when(lln / d <= limit, lln / d) for d in (10.0, 100.0, 1000.0)], lln)
-    return df.withColumn("lln", F.when((pred > 0) & (lln > limit), scaled).otherwise(lln))
+    lln, pred = num(F.col("lln")), num(F.col("pred"))
+    down = F.try_element_at(F.filter(F.array(lln / 10, lln / 100, lln / 1000), lambda x: x <= pred * 1.10), F.lit(1))
+    df = df.withColumn("_to", F.when((pred > 0) & (lln > pred * 1.10), down))
+    put = shown(F.col("_to"), cell_spec(F.col("metric"), "lln"))
+    df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull(), "Constraint fix: ", F.col("metric"), " LLN scaled from ", lln.cast("string"), " to ", F.col("_to").cast("string")))
+    return df.withColumn("lln", F.coalesce("_put", "lln")).drop("_to", "_put")
 
 
-def post_from_change(df: DataFrame) -> DataFrame:
-    """POST-BEST from PRE-BEST and %change where missing or far off."""
-    pre, post, chg = F.col("pre_best"), F.col("post_best"), F.col("pct_chg")
-    ratio = post / F.nullif(pre, F.lit(0.0))
-    off = post.isNull() | (ratio < 0.30) | (ratio > 2.0)
-    return df.withColumn("post_best", F.when((pre != 0) & chg.isNotNull() & off, pre * (1 + chg / 100)).otherwise(post))
+def post_from_change(df: DataFrame, seq: int = 4) -> DataFrame:
+    """POST-BEST from PRE-BEST and %CHG where missing, or under 0.30 or over 2 times PRE-BEST."""
+    pre, post, chg = num(F.col("pre_best")), num(F.col("post_best")), num(F.col("pct_chg"))
+    off = post.isNull() | (post / pre < 0.30) | (post / pre > 2.0)
+    put = F.when((pre != 0) & off, shown(pre * (1.0 + chg / 100.0), cell_spec(F.col("metric"), "post_best")))
+    df = df.withColumn("_put", put)
+    df = df.withColumn("warnings", _told(seq, F.col("_put").isNotNull() & post.isNotNull(), "POST-BEST fix: ", F.col("metric"), " replaced ", fixed(post, 2), "->", fixed(F.col("_put").cast("double"), 2), " using %CHG"))
+    return df.withColumn("post_best", F.coalesce("_put", "post_best")).drop("_put")
 
 
-def fill_percent(df: DataFrame, best: str = "pre_best", pct: str = "pre_pct") -> DataFrame:
-    """%Pred where missing or off by 6 or more."""
-    expected = F.col(best) / F.when(F.col("pred") != 0, F.col("pred")) * 100
-    off = F.col(pct).isNull() | (F.abs(F.col(pct) - expected) >= 6)
-    return df.withColumn(pct, F.when(expected.isNotNull() & off, expected).otherwise(F.col(pct)))
+def fill_percent(df: DataFrame, seq: int = 5) -> DataFrame:
+    """%Pred where missing or off by 6 or more, before and after."""
+    for best, pct, _ in _SIDES:
+        now, pred = num(F.col(pct)), num(F.col("pred"))
+        due = num(F.col(best)) / F.nullif(pred, F.lit(0.0)) * 100.0
+        put = F.when(_free() & due.isNotNull() & (now.isNull() | (F.abs(now - due) >= 6.0)), fixed(due, 1))
+        df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull() & now.isNotNull(), "%Pred fix: ", F.col("metric"), f" {HEADINGS[pct]} replaced ", fixed(now, 1), "->", F.col("_put")))
+        df = df.withColumn(pct, F.coalesce("_put", pct)).drop("_put")
+    return df
 
 
-def fill_best(df: DataFrame, best: str = "pre_best", pct: str = "pre_pct") -> DataFrame:
-    """BEST where missing, or less than 0.30 or more than 2 of Pred."""
-    pred = F.when(F.col("pred") != 0, F.col("pred"))
-    expected, ratio = pred * F.col(pct) / 100, F.col(best) / pred
-    off = F.col(best).isNull() | (ratio > 2.0) | (ratio < 0.30)
-    return df.withColumn(best, F.when(expected.isNotNull() & off, expected).otherwise(F.col(best)))
+def fill_best(df: DataFrame, seq: int = 6) -> DataFrame:
+    """BEST where missing, or under 0.30 or over 2 times Pred, from %Pred; before and after."""
+    for best, pct, _ in _SIDES:
+        now, pred, share = num(F.col(best)), F.nullif(num(F.col("pred")), F.lit(0.0)), num(F.col(pct))
+        due = pred * (share / 100.0)
+        put = F.when(_free() & due.isNotNull() & (now.isNull() | (now / pred > 2.0) | (now / pred < 0.30)), fixed(due, 2))
+        df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull() & now.isNotNull(), "BEST fix: ", F.col("metric"), f" {HEADINGS[best]} replaced ", fixed(now, 2), "->", F.col("_put"), " using %Pred"))
+        df = df.withColumn(best, F.coalesce("_put", best)).drop("_put")
+    return df
 
 
-def fill_change(df: DataFrame) -> DataFrame:
-    """%change where missing or off by 1.2 or more."""
-    pre = F.when(F.col("pre_best") != 0, F.col("pre_best"))
-    expected = (F.col("post_best") - pre) / pre * 100
-    off = F.col("pct_chg").isNull() | (F.abs(F.col("pct_chg") - expected) >= 1.2)
-    return df.withColumn("pct_chg", F.when(expected.isNotNull() & off, expected).otherwise(F.col("pct_chg")))
+def fill_change(df: DataFrame, seq: int = 7) -> DataFrame:
+    """%CHG where missing or off by 1.2 or more."""
+    pre, post, now = F.nullif(num(F.col("pre_best")), F.lit(0.0)), num(F.col("post_best")), num(F.col("pct_chg"))
+    due = (post - pre) / pre * 100.0
+    put = F.when(_free() & due.isNotNull() & (now.isNull() | (F.abs(now - due) >= 1.2)), fixed(due, 1))
+    df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull() & now.isNotNull(), "%CHG fix: ", F.col("metric"), " %CHG replaced ", fixed(now, 1), "->", F.col("_put"), " from BEST values"))
+    return df.withColumn("pct_chg", F.coalesce("_put", "pct_chg")).drop("_put")
 
 
-def flip_sign(df: DataFrame, best: str = "pre_best", z: str = "pre_z") -> DataFrame:
-    """The sign of z follows that of BEST - Pred, outside a small band."""
-    delta = F.col(best) - F.col("pred")
-    clear = F.abs(delta) >= F.greatest(F.lit(0.02), 0.01 * F.greatest(F.lit(1.0), F.abs(F.col("pred"))))
-    return df.withColumn(z, F.when(clear & (delta < 0) & (F.col(z) > 0), -F.col(z)).when(clear & (delta > 0) & (F.col(z) < 0), -F.col(z)).otherwise(F.col(z)))
+def expected_sign(best: Column, pred: Column) -> Column:
+    """-1 or 1 as BEST lies clearly under or over Pred; 0 within the dead band; null where either is missing."""
+    delta = best - pred
+    return F.when(F.abs(delta) >= F.greatest(F.lit(0.02), 0.01 * F.greatest(F.lit(1.0), F.abs(pred))), F.signum(delta).cast("int")).when(delta.isNotNull(), 0)
 
 
-def blank_contradictions(df: DataFrame, best: str = "pre_best", z: str = "pre_z") -> DataFrame:
-    """Strict mode: a z-score that contradicts BEST against LLN or Pred is blanked."""
-    wrong = (F.col(best) < F.col("lln") - 0.01) & (F.col(z) > -1.20) | (F.col(best) > F.col("pred") + 0.01) & (F.col(z) < -0.50)
-    return df.withColumn(z, F.when(wrong, F.lit(None)).otherwise(F.col(z)))
+def flip_sign(df: DataFrame, seq: int = 8) -> DataFrame:
+    """The sign of z follows that of BEST - Pred, outside a small band; before and after."""
+    for best, _, z in _SIDES:
+        sign, now = expected_sign(num(F.col(best)), num(F.col("pred"))), num(F.col(z))
+        wrong = _free() & (sign * now < 0)
+        df = df.withColumn("_put", F.when(wrong, fixed(-now, 2)))
+        df = df.withColumn("warnings", _told(seq, F.col("_put").isNotNull(), "Z-sign fix: ", F.col("metric"), f" {HEADINGS[z]} flipped to ", F.when(sign < 0, "negative (best<pred)").otherwise("positive (best>pred)")))
+        df = df.withColumn(z, F.coalesce("_put", z)).drop("_put")
+    return df
 
 
-def blank_restricted(df: DataFrame) -> DataFrame:
-    """Restricted rows keep only the BEST columns; MVV keeps none."""
-    for c in ("lln", "pred", "pre_pct", "pre_z", "post_z", "pct_chg"):
-        df = df.withColumn(c, F.when(F.col("metric").isin(RESTRICTED), F.lit(None)).otherwise(F.col(c)))
-    for c in ("pre_best", "post_best"):
-        df = df.withColumn(c, F.when(F.col("metric") == "MVV", F.lit(None)).otherwise(F.col(c)))
+def blank_contradictions(df: DataFrame, seq: int = 9) -> DataFrame:
+    """Strict mode: a z-score that contradicts BEST against LLN or Pred is blanked, given plausible values."""
+    for column, _, name in _SIDES:
+        best, pred, lln, z = num(F.col(column)), num(F.col("pred")), num(F.col("lln")), num(F.col(name))
+        sound = _free() & (pred > lln) & (lln > 0) & (lln / pred).between(0.15, 1.10) & (best / pred).between(0.05, 2.50)
+        low = F.coalesce(sound & (best < lln - 0.01) & (z > -1.20), F.lit(False))
+        high = F.coalesce(sound & (best > pred + 0.01) & (z < -0.50), F.lit(False)) & ~low
+        tell = lambda against, value: F.concat(F.lit("STRICT: "), F.col("metric"), F.lit(f" {HEADINGS[name]} violates BEST{against} (best="), fixed(best, 2), F.lit(f", {'lln' if against == '<LLN' else 'pred'}="), fixed(value, 2), F.lit(", z="), fixed(z, 2), F.lit("); blanked"))  # noqa: B023, E731
+        df = df.withColumn("_note", F.when(low, tell("<LLN", lln)).when(high, tell(">Pred", pred)))
+        df = df.withColumn("warnings", _told(seq, F.col("_note").isNotNull(), F.col("_note"))).withColumn(name, F.when(F.col("_note").isNotNull(), "").otherwise(F.col(name))).drop("_note")
     return df
 
 
-def repair(df: DataFrame, strict: bool = False) -> DataFrame:
-    """All row rules in order."""
-    for rule in (blank_restricted, scale_lln, post_from_change, fill_percent, fill_best, fill_change, flip_sign, *([blank_contradictions] if strict else [])):
+def repair(df: DataFrame, strict: bool = False, key: str = "case_no") -> DataFrame:
+    """All rules in order: those of the freshly read grid, and then again with those over one row."""
+    df = _beside(blank_restricted(grid(df)), key)
+    for _ in range(2):
+        df = _derive(_realign(_split(df, 0), 1), 2)
+    df = derive_ratios(post_from_change(scale_lln(_alone(df))), key, seq=5)
+    for rule in (fill_percent, fill_best, fill_change, flip_sign, *([blank_contradictions] if strict else [])):
         df = rule(df)
     return df
 
 
-def derived_ratios(df: DataFrame, key: str = "case_no") -> DataFrame:
-    """FEV1/FVC of each case (whole percent, halves to even) from its sibling rows; 0 counts as missing."""
-    of = lambda m, c: F.min(F.when(F.col("metric") == m, F.nullif(F.col(c), F.lit(0.0))))
-    return df.groupBy(key).agg(*[F.bround(of("FEV1", c) / of("FVC", c) * 100, 0).cast("int").alias(f"ratio_{c}") for c in ("pre_best", "post_best")])
+def quality(df: DataFrame, key: str = "case_no") -> DataFrame:
+    """For each case the rows with any content, and its warnings in the order of rules and rows."""
+    filled = F.exists(F.array(*COLUMNS), lambda c: ~blank(c))
+    row = F.array_position(F.array(*[F.lit(m) for m in ROWS]), F.col("metric"))
+    notes = F.transform("warnings", lambda w: F.struct(w["seq"], row.alias("row"), w["message"].alias("message")))
+    out = df.groupBy(key).agg(F.count_if(filled).alias("rows_found"), F.array_sort(F.flatten(F.collect_list(notes))).alias("notes"))
+    return out.select(key, "rows_found", F.transform("notes", lambda n: n["message"]).alias("warnings"))
 
 
 def suspicious(rows: DataFrame, mode: str = "auto") -> DataFrame:
-    """rows with re_* flags: cells of lln, pred, pre_pct and pre_z that are missing or contradict their row.
+    """rows with a flag re_<column> for each column: cells to be read again, as they hold nothing valid or contradict
+    their row.
 
     mode "force" flags every cell and any other than "auto" none. A rule that needs a missing value does not flag.
     """
-    c = F.col
-    far = F.abs(c("pre_best") - c("pred")) >= F.greatest(F.lit(0.02), 0.01 * F.greatest(F.lit(1.0), F.abs(c("pred"))))
-    rules = {
-        "pred": [c("pred") <= c("lln") + 0.01],
-        "lln": [c("lln") > c("pred") + 0.01, (c("pred") > 0) & (c("lln") < 0.2 * c("pred"))],
-        "pre_pct": [(c("pred") != 0) & (F.abs(c("pre_pct") - c("pre_best") / F.nullif(c("pred"), F.lit(0.0)) * 100) >= 5)],
-        "pre_z": [far & (F.sign(c("pre_z")) * F.when(c("pre_best") < c("pred"), -1).otherwise(1) < 0), (c("pre_best") < c("lln") - 0.01) & (c("pre_z") > -1.2), c("pred").isNotNull() & c("pre_best").isNotNull() & (F.abs(c("pre_z")) > 6)],
-    }
-    flag = lambda name, tests: F.lit(True) if mode == "force" else F.lit(False) if mode != "auto" else c(name).isNull() | F.coalesce(F.greatest(*[F.coalesce(t, F.lit(False)) for t in tests], F.lit(False)), F.lit(False))
-    return rows.withColumns({f"re_{name}": flag(name, tests) for name, tests in rules.items()})
+    if mode != "auto":
+        return rows.withColumns({f"re_{c}": F.lit(mode == "force") for c in COLUMNS})
+    none = F.lit(False)
+    row = rows.withColumns({f"_{c}": num(F.col(c)) for c in (*BESTS, "pred", "lln")})
+    read = {name: F.struct(normalise(F.col(name), cell_spec(F.col("metric"), name)).alias("text"), cell_spec(F.col("metric"), name)["kind"].alias("kind")) for name in COLUMNS}
+    row = row.withColumns({f"_r_{name}": r for name, r in read.items()})
+
+    def contradicts(name, x):
+        v, kind, best, pred, lln, sign = (x[k] for k in ("v", "kind", "best", "pred", "lln", "sign"))
+        tests = [(kind == "percent") & (F.abs(v - best / F.nullif(pred, F.lit(0.0)) * 100) >= 5)]
+        if name == "pred":
+            tests += [v <= lln + 0.01]
+        if name == "lln":
+            tests += [v > pred + 0.01, (pred > 0) & (v / F.nullif(pred, F.lit(0.0)) < 0.2)]
+        tests += [(kind == "zscore") & sign.isNotNull() & t for t in (sign * v < 0, (best < lln - 0.01) & (v > -1.2), F.abs(v) > 6)]
+        return F.greatest(*[F.coalesce(t, none) for t in tests])
+
+    flags = {}
+    for name in COLUMNS:
+        best = F.col("_pre_best" if name in ("lln", "pred", "pre_pct", "pre_z") else "_post_best")
+        told = F.col(f"_r_{name}")
+        x = F.struct(num(told["text"]).alias("v"), told["kind"].alias("kind"), best.alias("best"), F.col("_pred").alias("pred"), F.col("_lln").alias("lln"), expected_sign(best, F.col("_pred")).alias("sign"))
+        flags[f"re_{name}"] = told["text"].isNull() | let(x, functools.partial(contradicts, name))
+    return row.withColumns(flags).select(*rows.columns, *flags)

@@ -6,46 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clinical, colour, text
-from ..operators import batch, boxes, classify, labels, layout, metrics, repair
+from ..operators import batch, boxes, labels, layout, metrics
 from ..sources import files
+from . import grid
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-# Metric of each line number (fixed values), and the grid that stands in for measured cells.
-_METRIC = "case l_linenumber when 1 then 'FVC' when 2 then 'FEV1' when 3 then 'FEV1/FVC' when 4 then 'VC' when 5 then 'PEF' when 6 then 'FET' else 'MVV' end"
-_CELLS = f"""
-    select l_orderkey as case_no, {_METRIC} as metric, l_linenumber as pos,
-        min(case when l_partkey % 11 = 0 then null else round(l_discount * 100) - 5 end) as pre_z,
-        min(round(l_tax * 100) - 4) as post_z,
-        min(case when l_partkey % 7 = 0 then null else l_quantity - 25 end) as pct_chg,
-        min(case when l_suppkey % 9 = 0 then null else l_quantity / 10 end) as pre_best, max(l_quantity / 10) as post_best,
-        min(l_extendedprice / 20000) as pred, min(l_extendedprice / 20000) * case when l_orderkey % 7 = 0 then 8.0 else 0.8 end as lln,
-        min(case when l_suppkey % 5 = 0 then null else l_quantity * 4 end) as pre_pct
-    from lineitem group by l_orderkey, l_linenumber"""
-
+QUERIES: dict = dict(grid.QUERIES)
+ORACLES: dict[str, str] = dict(grid.ORACLES)
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each case and metric."""
-    q = F.col("l_quantity")
-    unless = lambda c, n, v: F.min(F.when(F.col(c) % n != 0, v))
-    pred = F.min(F.col("l_extendedprice") / 20000)
-    names = {1: "FVC", 2: "FEV1", 3: "FEV1/FVC", 4: "VC", 5: "PEF", 6: "FET"}
-    metric = F.coalesce(*[F.when(F.col("pos") == k, v) for k, v in names.items()], F.lit("MVV"))
-    return (
-        _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("pos")).agg(
-            unless("l_partkey", 11, F.round(F.col("l_discount") * 100) - 5).alias("pre_z"), F.min(F.round(F.col("l_tax") * 100) - 4).alias("post_z"),
-            unless("l_partkey", 7, q - 25).alias("pct_chg"), unless("l_suppkey", 9, q / 10).alias("pre_best"), F.max(q / 10).alias("post_best"),
-            pred.alias("pred"), unless("l_suppkey", 5, q * 4).alias("pre_pct"),
-        )
-        .withColumn("lln", F.col("pred") * F.when(F.col("case_no") % 7 == 0, 8.0).otherwise(0.8)).withColumn("metric", metric)
-    )
-
-
 def query(sql: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
@@ -56,90 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-_BMI = "select o_orderkey as case_no, c_acctbal / 250 as bmi from orders join customer on o_custkey = c_custkey where o_orderkey % 5 <> 0"
-
-
-def _pattern_sql(p: str) -> str:
-    f, e, r = f"{p}_fvc", f"{p}_fev1", f"{p}_ratio"
-    return f"""case when not (fvc_row and fev1_row and ratio_row) then 'Unknown'
-        when {r} >= -1.64::double and {f} >= -1.64::double and {e} < -1.64::double then 'Isolated' when {r} < -1.64::double and {f} >= -1.64::double then 'Obstructive'
-        when {r} >= -1.64::double and {f} < -1.64::double then 'Restrictive' when {r} < -1.64::double and {f} < -1.64::double then 'Mixed' else 'Normal' end"""
-
-
-def _severity_sql(p: str) -> str:
-    return f"case {p}_pattern when 'Unknown' then 'unknown' when 'N/A' then 'n/a' when 'Normal' then 'normal' else case when {p}_fev1 >= -2.5::double then 'mild' when {p}_fev1 >= -4::double then 'moderate' else 'severe' end end"
-
-
-_ADVICE = "perform lung volumes & diffusion capacity if clinically indicated."
-_HEAVY = "case when bmi >= 30 then ' The restrictive picture may be contributed by raised BMI (BMI ' || trunc(bmi)::int::varchar || ').' else '' end"
-
-
-def _report_sql(p: str) -> str:
-    lim = lambda how, lead: f"{p}_severity || ' ventilatory limitation which appears to be {how} in pattern.' || chr(10) || 'Suggest to correlate clinically for possibility of {lead}restrictive lung disease and {_ADVICE}' || {_HEAVY}"
-    return f"""case {p}_pattern when 'Unknown' then 'Insufficient data to classify {p}-bronchodilator spirometry.' when 'N/A' then ''
-        when 'Isolated' then {p}_severity || ' ventilatory limitation (isolated reduced FEV1).' when 'Obstructive' then {p}_severity || ' airflow obstruction.'
-        when 'Restrictive' then {lim('restrictive', '')} when 'Mixed' then {lim('both obstructive and restrictive', 'concomitant ')} else {p}_severity || ' limits' end"""
-
-
-_WIDE = f"""select case_no, {', '.join(f"max({c}) filter (where metric = '{m}') as {p}_{n}" for n, m in classify.METRICS.items() for c, p in (("pre_z", "pre"), ("post_z", "post"), ("pct_chg", "chg")))},
-    {', '.join(f"bool_or(metric = '{m}') as {n}_row" for n, m in classify.METRICS.items())} from ({_CELLS}) group by case_no"""
-_CLASSIFIED = f"""
-    with wide as ({_WIDE}), bmi as ({_BMI}),
-    a as (select wide.*, bmi, (fvc_row or fev1_row or ratio_row) as any_row, {_pattern_sql('pre')} as pre_pattern,
-          case when not (fvc_row or fev1_row or ratio_row) then 'N/A' else {_pattern_sql('post')} end as post_pattern from wide left join bmi using (case_no)),
-    b as (select *, {_severity_sql('pre')} as pre_severity, {_severity_sql('post')} as post_severity from a),
-    c as (select *, {_report_sql('pre')} as pre_report, {_report_sql('post')} as post_report from b)
-    select case_no, bmi as bmi_used, pre_pattern, pre_severity, post_pattern, post_severity,
-        case when not any_row then 'Spirometry demonstrates ' || pre_report
-             when pre_pattern = post_pattern and pre_severity = post_severity then 'Both pre- and post- bronchodilator spirometry demonstrate ' || pre_report
-             else 'Pre- bronchodilator spirometry demonstrates ' || pre_report || chr(10) || 'Post- bronchodilator spirometry demonstrates ' || post_report end as report_combined,
-        (case when coalesce(greatest(chg_fvc, chg_fev1, chg_ratio) > 10, false) then 'There is Significant' else 'There is no significant' end) || ' bronchodilator response to 400mcg of inhaled Salbutamol.' as bronchodilator_response,
-        case when pre_pattern = 'Unknown' then 1 else 0 end as n_warnings from c"""
-
-
-@query(_CLASSIFIED)
-def classify_cases(spark, sf_dir):
-    orders, customer = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
-    bmi = orders.join(customer, orders.o_custkey == customer.c_custkey).where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("case_no"), (F.col("c_acctbal") / 250).alias("bmi"))
-    return classify.classify(classify.pivot_cases(_cells(spark, sf_dir)), bmi)
-
-
-@query(f"select case_no, {', '.join(f'{p}_{n}' for n in classify.METRICS for p in ('pre', 'post', 'chg'))}, {', '.join(f'{n}_row' for n in classify.METRICS)} from ({_WIDE})")
-def pivot_cases(spark, sf_dir):
-    return classify.pivot_cases(_cells(spark, sf_dir))
-
-
-_ORDER = "case_no, metric, pre_best, post_best, pred, lln, pre_pct, pre_z, post_z, pct_chg"
-_RESTRICTED = "('MVV','Grade FVC N','Grade FEV1 N','FET','FIVC','BEV','FEV1/VC')"
-_REPAIRED = f"""
-    with a as (select case_no, metric, case when metric <> 'MVV' then pre_best end as pre_best, case when metric <> 'MVV' then post_best end as post_best,
-        {', '.join(f"case when metric not in {_RESTRICTED} then {c} end as {c}" for c in ('pred', 'lln', 'pre_pct', 'pre_z', 'post_z', 'pct_chg'))} from ({_CELLS})),
-    b as (select * replace (case when pred > 0 and lln > pred * 1.1::double then case when lln / 10 <= pred * 1.1::double then lln / 10 when lln / 100 <= pred * 1.1::double then lln / 100 when lln / 1000 <= pred * 1.1::double then lln / 1000 else lln end else lln end as lln) from a),
-    c as (select * replace (case when pre_best <> 0 and pct_chg is not null and (post_best is null or post_best / pre_best < 0.3 or post_best / pre_best > 2) then pre_best * (1 + pct_chg / 100) else post_best end as post_best) from b),
-    d as (select * replace (case when pred <> 0 and pre_best is not null and (pre_pct is null or abs(pre_pct - pre_best / pred * 100) >= 6) then pre_best / pred * 100 else pre_pct end as pre_pct) from c),
-    e as (select * replace (case when pred <> 0 and pre_pct is not null and (pre_best is null or pre_best / pred > 2 or pre_best / pred < 0.3) then pred * pre_pct / 100 else pre_best end as pre_best) from d),
-    f as (select * replace (case when pre_best <> 0 and post_best is not null and (pct_chg is null or abs(pct_chg - (post_best - pre_best) / pre_best * 100) >= 1.2) then (post_best - pre_best) / pre_best * 100 else pct_chg end as pct_chg) from e),
-    g as (select * replace (case when abs(pre_best - pred) >= greatest(0.02, 0.01 * greatest(1.0, abs(pred))) and (pre_best - pred < 0 and pre_z > 0 or pre_best - pred > 0 and pre_z < 0) then -pre_z else pre_z end as pre_z) from f)
-    select case_no, metric, {', '.join(f'{c} + 0::double as {c}' for c in ('pre_best', 'post_best', 'pred', 'lln', 'pre_pct', 'pre_z', 'post_z', 'pct_chg'))} from g"""
-
-
-@query(_REPAIRED)
-def repair_rows(spark, sf_dir):
-    done = repair.repair(_cells(spark, sf_dir))
-    return done.select("case_no", "metric", *[(F.col(c) + 0.0).alias(c) for c in ("pre_best", "post_best", "pred", "lln", "pre_pct", "pre_z", "post_z", "pct_chg")])
-
-
-@query(f"""select case_no, {', '.join(f"round_even(min(case when metric = 'FEV1' then nullif({c}, 0) end) / min(case when metric = 'FVC' then nullif({c}, 0) end) * 100, 0)::int as ratio_{c}" for c in ('pre_best', 'post_best'))} from ({_CELLS}) group by case_no""")
-def derived_ratios(spark, sf_dir):
-    return repair.derived_ratios(_cells(spark, sf_dir))
-
-
-@query(f"""select case_no, metric, round(greatest(-10, least(10, case when pre_best >= lln then (pre_best - pred) / nullif(pred - lln, 0) * 1.64 else -1.64 - (lln - pre_best) / nullif(pred - lln, 0) * 1.64 end)), 6) as z
-    from ({_CELLS}) where pre_best is not null and pred <> lln""")
-def z_targets(spark, sf_dir):
-    return _cells(spark, sf_dir).where("pre_best is not null and pred <> lln").select("case_no", "metric", F.round(clinical.z_target(F.col("pre_best"), F.col("pred"), F.col("lln")), 6).alias("z"))
-
-
 # Tokens: the events of a user; their place is the second since the user's first one.
 _TOKENS = "select user_id as case_no, event_id as pos, epoch(ts)::double - min(epoch(ts)::double) over (partition by user_id) as cy, value as x, event_type as text from events"
 
@@ -358,9 +245,9 @@ def text_functions(spark, sf_dir):
     )
 
 
-@query(r"""select doc_id, try_cast(nullif(regexp_extract(replace(coalesce(text, ''), ',', '.'), '[-+]?[0-9]+(\.[0-9]+)?'), '') as double) as number, nullif(regexp_extract(upper(coalesce(text, '')), '\b([A-F])\b', 1), '') as grade from documents where lang = 'en'""")
+@query(r"""select doc_id, try_cast(nullif(regexp_extract(replace(coalesce(text, ''), ',', '.'), '[-+]?[0-9]+(\.[0-9]+)?'), '') as double) as number, nullif(regexp_extract(upper(coalesce(text, '')), '\b([A-F])\b', 1), '') as grade from documents""")
 def cell_parsing(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.parse_float(F.col("text")).alias("number"), text.parse_grade(F.col("text")).alias("grade"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.parse_float(F.col("text")).alias("number"), text.parse_grade(F.col("text")).alias("grade"))
 
 
 @query("select split, count(*) as n from (select case when a < 0.5 then 'first' else 'second' end as split from (select (o_orderkey % 100) / 100.0 as a from orders)) group by 1")
@@ -422,15 +309,6 @@ def anchored_columns(spark, sf_dir):
     return rows.select("case_no", F.posexplode(layout.anchored_centres(F.col("centres"), known, ["a", "b", "c", "d"])).alias("idx", "x"))
 
 
-@query(f"""select case_no, metric, pred is null or coalesce(pred <= lln + 0.01::double, false) as re_pred,
-    lln is null or coalesce(lln > pred + 0.01::double, false) or coalesce(pred > 0 and lln < 0.2::double * pred, false) as re_lln,
-    pre_pct is null or coalesce(pred <> 0 and abs(pre_pct - pre_best / pred * 100) >= 5, false) as re_pre_pct,
-    pre_z is null or coalesce(abs(pre_best - pred) >= greatest(0.02::double, 0.01::double * greatest(1.0::double, abs(pred))) and (pre_best < pred and pre_z > 0 or pre_best >= pred and pre_z < 0), false)
-        or coalesce(pre_best < lln - 0.01::double and pre_z > -1.2::double, false) or coalesce(pre_best is not null and pred is not null and abs(pre_z) > 6, false) as re_pre_z from ({_CELLS})""")
-def suspicious_cells(spark, sf_dir):
-    return repair.suspicious(_cells(spark, sf_dir)).select("case_no", "metric", "re_pred", "re_lln", "re_pre_pct", "re_pre_z")
-
-
 _RGB = "select p_partkey, p_partkey % 256 as r, p_partkey * 7 % 256 as g, p_partkey * p_partkey % 251 as b from part"
 
 
