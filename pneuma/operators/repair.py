@@ -16,13 +16,58 @@ from pyspark.sql import functions as F
 from ..functions.cells import BESTS, COLUMNS, GRADES, HEADINGS, RESTRICTED, ROWS, blank, cell_spec, let, normalise, num, shown
 from ..functions.text import fixed, parse_float, parse_grade
 
-_WARNINGS = "array<struct<seq:int,message:string>>"
 _SIDES = [("pre_best", "pre_pct", "pre_z"), ("post_best", "post_pct", "post_z")]
+# Rules by number, as they come in warnings (fixed values).
+SPLIT, REALIGN, DERIVE, SCALE, POST, AGAIN, PERCENT, BEST, CHANGE, SIGN, STRICT = range(11)
 
 
 def grid(df: DataFrame) -> DataFrame:
-    """df with blank texts for null cells, and no warnings yet."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in COLUMNS} | {"warnings": F.array().cast(_WARNINGS)})
+    """df with blank texts for null cells, the number of each cell beside it as _n_<column>, and no warnings yet."""
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in COLUMNS})
+    return df.withColumns({f"_n_{c}": num(F.col(c)) for c in COLUMNS})
+
+
+def _n(column: str) -> Column:
+    return F.col(f"_n_{column}")
+
+
+def _changed(df: DataFrame, rule: int, puts: dict[str, Column], told=lambda c: F.lit(True), was=lambda c: F.col(c), more=lambda c: F.lit(None).cast("string")) -> DataFrame:
+    """df with the texts that are not null put into their columns, and a note _w_<n> of each: rule, column, was, now, more."""
+    df = df.withColumns({f"_put_{c}": put for c, put in puts.items()})
+    k = sum(c.startswith("_w_") for c in df.columns)
+    out: dict[str, Column] = {}
+    for i, c in enumerate(puts):
+        put = F.col(f"_put_{c}")
+        note = F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), was(c).cast("string").alias("was"), put.alias("now"), more(c).alias("more"))
+        out |= {c: F.coalesce(put, c), f"_n_{c}": F.when(put.isNull(), _n(c)).otherwise(put.try_cast("double")), f"_w_{k + i}": F.when(put.isNotNull() & told(c), note)}
+    return df.withColumns(out).drop(*[f"_put_{c}" for c in puts])
+
+
+def messages(df: DataFrame) -> DataFrame:
+    """The columns as they came, the notes as messages in the array warnings, in the order of the rules."""
+    notes = [c for c in df.columns if c.startswith("_w_")]
+    f = lambda x, n: fixed(x.try_cast("double"), n)
+
+    def text(w: Column) -> Column:
+        heading = F.element_at(F.create_map(*[F.lit(x) for kv in HEADINGS.items() for x in kv]), w["column"])
+        name, rule = F.col("metric"), w["rule"]
+        replaced = lambda n: F.concat(f(w["was"], n), F.lit("->"), f(w["now"], n))
+        return (
+            F.when(rule == SPLIT, F.concat(w["more"], F.lit(": moved "), w["now"], F.lit(" from "), w["was"], F.lit("/"), heading, F.lit(" to FET/"), heading))
+            .when(rule == REALIGN, F.concat(F.lit("Row realign: pulled "), w["more"], F.lit(" from FEV1/FVC/"), heading, F.lit(" into FVC+FEV1")))
+            .when(rule.isin(DERIVE, AGAIN), F.concat(F.lit("Derived "), heading, F.lit(" "), name, F.lit("="), w["now"]))
+            .when(rule == SCALE, F.concat(F.lit("Constraint fix: "), name, F.lit(" LLN scaled from "), w["was"], F.lit(" to "), w["more"]))
+            .when(rule == POST, F.concat(F.lit("POST-BEST fix: "), name, F.lit(" replaced "), replaced(2), F.lit(" using %CHG")))
+            .when(rule == PERCENT, F.concat(F.lit("%Pred fix: "), name, F.lit(" "), heading, F.lit(" replaced "), replaced(1)))
+            .when(rule == BEST, F.concat(F.lit("BEST fix: "), name, F.lit(" "), heading, F.lit(" replaced "), replaced(2), F.lit(" using %Pred")))
+            .when(rule == CHANGE, F.concat(F.lit("%CHG fix: "), name, F.lit(" %CHG replaced "), replaced(1), F.lit(" from BEST values")))
+            .when(rule == SIGN, F.concat(F.lit("Z-sign fix: "), name, F.lit(" "), heading, F.lit(" flipped to "), F.when(w["now"].startswith("-"), "negative (best<pred)").otherwise("positive (best>pred)")))
+            .when(rule == STRICT, F.concat(F.lit("STRICT: "), name, F.lit(" "), heading, w["more"], F.lit("; blanked")))
+        )
+
+    kept = [c for c in df.columns if not c.startswith("_")]
+    told = F.transform(F.array_compact(F.array(*notes)), lambda w: F.struct(w["rule"].alias("seq"), text(w).alias("message"))) if notes else F.array().cast("array<struct<seq:int,message:string>>")
+    return df.withColumn("warnings", told).select(*kept, "warnings")
 
 
 def complete(df: DataFrame, key: str = "case_no") -> DataFrame:
@@ -37,12 +82,6 @@ def complete(df: DataFrame, key: str = "case_no") -> DataFrame:
     return cases.select(key, F.posexplode(whole).alias("row_no", "_row")).select(key, (F.col("row_no") + 1).alias("row_no"), "_row.*")
 
 
-def _told(seq: int, when: Column, *parts: Column | str) -> Column:
-    message = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    note = F.struct(F.lit(seq).alias("seq"), message.alias("message"))
-    return F.when(F.coalesce(when, F.lit(False)), F.array_append("warnings", note)).otherwise(F.col("warnings"))
-
-
 def _free() -> Column:
     return ~F.col("metric").isin(RESTRICTED)
 
@@ -50,7 +89,8 @@ def _free() -> Column:
 def blank_restricted(df: DataFrame) -> DataFrame:
     """Restricted rows keep only the BEST columns; MVV keeps none."""
     gone = lambda c: (F.col("metric") == "MVV") | (F.lit(c not in BESTS) & F.col("metric").isin(RESTRICTED))
-    return df.withColumns({c: F.when(gone(c), "").otherwise(F.col(c)) for c in COLUMNS})
+    none = F.lit(None).cast("double")
+    return df.withColumns({c: F.when(gone(c), "").otherwise(F.col(c)) for c in COLUMNS} | {f"_n_{c}": F.when(gone(c), none).otherwise(_n(c)) for c in COLUMNS})
 
 
 # Rows that others are mended by (fixed values), and the names of their cells beside each row.
@@ -64,119 +104,94 @@ def _beside(df: DataFrame, key: str) -> DataFrame:
 
 
 def _alone(df: DataFrame) -> DataFrame:
+    """df without what _beside() added."""
     return df.drop(*[f"_{side}_{k}" for side in BESTS for k in _OTHERS])
 
 
-def _split(df: DataFrame, seq: int) -> DataFrame:
+def _split(df: DataFrame) -> DataFrame:
+    """"A 10.53" in a grade row: the grade stays, the number goes to a blank FET. The row of FVC comes first."""
     strict = r"^\s*([A-Fa-f])\s+([-+]?\d+(?:\.\d+)?)\s*$"
     metric = F.col("metric")
-    for side in BESTS:
-        for k, name in (("g0", GRADES[0]), ("g1", GRADES[1])):
+    for k, name in (("g0", GRADES[0]), ("g1", GRADES[1])):
+        grades, moves, exactly = {}, {}, {}
+        for side in BESTS:
             c = F.col(f"_{side}_{k}")
             exact, loose = c.rlike(strict), F.upper(c).rlike("[A-F]") & c.rlike(r"\d")
-            grade = F.when(exact, F.upper(F.regexp_extract(c, strict, 1))).when(loose, F.coalesce(parse_grade(c), c)).otherwise(c)
-            move = F.when(exact, F.regexp_extract(c, strict, 2)).when(loose, fixed(parse_float(c), 2))
-            how = F.when(exact, "Grade splitter: moved ").otherwise("Grade splitter (soft): moved ")
-            df = df.withColumns({"_move": F.when((metric == "FET") & blank(F.col(side)), move), "_how": how, "_grade": grade})
-            df = df.withColumns({
-                "warnings": _told(seq, F.col("_move").isNotNull(), F.col("_how"), F.col("_move"), f" from {name}/{HEADINGS[side]} to FET/{HEADINGS[side]}"),
-                side: F.when(metric == name, F.col("_grade")).otherwise(F.coalesce("_move", side)), f"_{side}_{k}": F.col("_grade"),
-            })
-    return df.drop("_move", "_how", "_grade")
-
-
-def _realign(df: DataFrame, seq: int) -> DataFrame:
+            exactly[side] = exact
+            grades[side] = F.when(exact, F.upper(F.regexp_extract(c, strict, 1))).when(loose, parse_grade(c))
+            moves[side] = F.when(metric == name, grades[side]).when((metric == "FET") & blank(F.col(side)), F.when(exact, F.regexp_extract(c, strict, 2)).when(loose, fixed(parse_float(c), 2)))
+        how = lambda c: F.when(exactly[c], "Grade splitter").otherwise("Grade splitter (soft)")  # noqa: B023, E731
+        df = _changed(df, SPLIT, moves, lambda c: metric == "FET", lambda c: F.lit(name), how)  # noqa: B023
+    return df
+
+
+def _realign(df: DataFrame) -> DataFrame:
+    """FVC and FEV1 blank while FEV1/FVC holds two numbers or more: the first two are theirs."""
     metric = F.col("metric")
+    two = {}
     for side in BESTS:
         fvc, fev1, ratio = (F.col(f"_{side}_{k}") for k in ("fvc", "fev1", "ratio"))
         found = F.regexp_extract_all(ratio, F.lit(r"([-+]?\d+(?:\.\d+)?)"), F.lit(1))
-        df = df.withColumn("_two", F.when(blank(fvc) & blank(fev1) & (F.size(found) >= 2), F.slice(found, 1, 2)))
-        one, two, moved = F.col("_two")[0], F.col("_two")[1], F.col("_two").isNotNull()
-        put = F.when(metric == "FVC", one).when(metric == "FEV1", two).when(metric == "FEV1/FVC", "").otherwise(F.col(side))
-        df = df.withColumns({
-            "warnings": _told(seq, moved & (metric == "FEV1/FVC"), "Row realign: pulled ", one, ",", two, f" from FEV1/FVC/{HEADINGS[side]} into FVC+FEV1"),
-            side: F.when(moved, put).otherwise(F.col(side)), f"_{side}_fvc": F.coalesce(one, fvc), f"_{side}_fev1": F.coalesce(two, fev1), f"_{side}_ratio": F.when(moved, "").otherwise(ratio),
-        })
-    return df.drop("_two")
+        two[f"_{side}_two"] = F.when(blank(fvc) & blank(fev1) & (F.size(found) >= 2), F.slice(found, 1, 2))
+    df = df.withColumns(two)
+    pair = lambda side: F.col(f"_{side}_two")
+    puts = {side: F.when(pair(side).isNotNull(), F.when(metric == "FVC", pair(side)[0]).when(metric == "FEV1", pair(side)[1]).when(metric == "FEV1/FVC", "")) for side in BESTS}
+    df = _changed(df, REALIGN, puts, lambda c: metric == "FEV1/FVC", more=lambda c: F.array_join(pair(c), ","))
+    beside = {f"_{side}_{k}": F.coalesce(pair(side)[i], F.col(f"_{side}_{k}")) for side in BESTS for i, k in enumerate(("fvc", "fev1"))}
+    return df.withColumns(beside).drop(*two)
 
 
-def _derive(df: DataFrame, seq: int) -> DataFrame:
+def _derive(df: DataFrame, rule: int) -> DataFrame:
+    """FEV1/FVC (whole) and FEV1/VC (two decimals) from their sibling rows, where missing, outside 20..150 or off by 8."""
     metric = F.col("metric")
+    due = {}
     for side in BESTS:
         fvc, fev1, vc = (F.nullif(parse_float(F.col(f"_{side}_{k}")), F.lit(0.0)) for k in ("fvc", "fev1", "vc"))
-        due = F.when(metric == "FEV1/FVC", F.bround(fev1 / fvc * 100, 0)).when(metric == "FEV1/VC", fev1 / vc * 100)
-        df = df.withColumns({"_due": due, "_now": num(F.col(side))})
-        due, now = F.col("_due"), F.col("_now")
-        off = due.isNotNull() & (now.isNull() | (now < 20) | (now > 150) | (F.abs(now - due) >= 8))
-        df = df.withColumn("_put", F.when(off, F.when(metric == "FEV1/FVC", due.cast("long").cast("string")).otherwise(fixed(due, 2))))
-        df = df.withColumns({"warnings": _told(seq, F.col("_put").isNotNull(), f"Derived {HEADINGS[side]} ", metric, "=", F.col("_put")), side: F.coalesce("_put", side)})
-    return df.drop("_due", "_now", "_put")
-
-
-def split_grades(df: DataFrame, key: str = "case_no", seq: int = 0) -> DataFrame:
-    """"A 10.53" in a grade row: the grade stays, the number goes to a blank FET. The row of FVC comes first."""
-    return _alone(_split(_beside(df, key), seq))
-
-
-def realign_top(df: DataFrame, key: str = "case_no", seq: int = 1) -> DataFrame:
-    """FVC and FEV1 blank while FEV1/FVC holds two numbers or more: the first two are theirs."""
-    return _alone(_realign(_beside(df, key), seq))
-
-
-def derive_ratios(df: DataFrame, key: str = "case_no", seq: int = 2) -> DataFrame:
-    """FEV1/FVC (whole) and FEV1/VC (two decimals) from their sibling rows, where missing, outside 20..150 or off by 8."""
-    return _alone(_derive(_beside(df, key), seq))
+        due[f"_{side}_due"] = F.when(metric == "FEV1/FVC", F.bround(fev1 / fvc * 100, 0)).when(metric == "FEV1/VC", fev1 / vc * 100)
+    df = df.withColumns(due)
+    puts = {}
+    for side in BESTS:
+        x, now = F.col(f"_{side}_due"), _n(side)
+        off = x.isNotNull() & (now.isNull() | (now < 20) | (now > 150) | (F.abs(now - x) >= 8))
+        puts[side] = F.when(off, F.when(metric == "FEV1/FVC", x.cast("long").cast("string")).otherwise(fixed(x, 2)))
+    return _changed(df, rule, puts).drop(*due)
 
 
-def scale_lln(df: DataFrame, seq: int = 3) -> DataFrame:
+def _scale_lln(df: DataFrame) -> DataFrame:
     """LLN over 1.10 * Pred is divided by 10, 100 or 1000, whichever first brings it down."""
-    lln, pred = num(F.col("lln")), num(F.col("pred"))
+    lln, pred = _n("lln"), _n("pred")
     down = F.try_element_at(F.filter(F.array(lln / 10, lln / 100, lln / 1000), lambda x: x <= pred * 1.10), F.lit(1))
     df = df.withColumn("_to", F.when((pred > 0) & (lln > pred * 1.10), down))
-    put = shown(F.col("_to"), cell_spec(F.col("metric"), "lln"))
-    df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull(), "Constraint fix: ", F.col("metric"), " LLN scaled from ", lln.cast("string"), " to ", F.col("_to").cast("string")))
-    return df.withColumn("lln", F.coalesce("_put", "lln")).drop("_to", "_put")
+    return _changed(df, SCALE, {"lln": shown(F.col("_to"), cell_spec(F.col("metric"), "lln"))}, was=_n, more=lambda c: F.col("_to").cast("string")).drop("_to")
 
 
-def post_from_change(df: DataFrame, seq: int = 4) -> DataFrame:
+def _post_from_change(df: DataFrame) -> DataFrame:
     """POST-BEST from PRE-BEST and %CHG where missing, or under 0.30 or over 2 times PRE-BEST."""
-    pre, post, chg = num(F.col("pre_best")), num(F.col("post_best")), num(F.col("pct_chg"))
+    pre, post, chg = F.nullif(_n("pre_best"), F.lit(0.0)), _n("post_best"), _n("pct_chg")
     off = post.isNull() | (post / pre < 0.30) | (post / pre > 2.0)
-    put = F.when((pre != 0) & off, shown(pre * (1.0 + chg / 100.0), cell_spec(F.col("metric"), "post_best")))
-    df = df.withColumn("_put", put)
-    df = df.withColumn("warnings", _told(seq, F.col("_put").isNotNull() & post.isNotNull(), "POST-BEST fix: ", F.col("metric"), " replaced ", fixed(post, 2), "->", fixed(F.col("_put").cast("double"), 2), " using %CHG"))
-    return df.withColumn("post_best", F.coalesce("_put", "post_best")).drop("_put")
-
-
-def fill_percent(df: DataFrame, seq: int = 5) -> DataFrame:
-    """%Pred where missing or off by 6 or more, before and after."""
-    for best, pct, _ in _SIDES:
-        now, pred = num(F.col(pct)), num(F.col("pred"))
-        due = num(F.col(best)) / F.nullif(pred, F.lit(0.0)) * 100.0
-        put = F.when(_free() & due.isNotNull() & (now.isNull() | (F.abs(now - due) >= 6.0)), fixed(due, 1))
-        df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull() & now.isNotNull(), "%Pred fix: ", F.col("metric"), f" {HEADINGS[pct]} replaced ", fixed(now, 1), "->", F.col("_put")))
-        df = df.withColumn(pct, F.coalesce("_put", pct)).drop("_put")
-    return df
+    put = shown(F.when(off, pre * (1.0 + chg / 100.0)), cell_spec(F.col("metric"), "post_best"))
+    return _changed(df, POST, {"post_best": put}, lambda c: _n(c).isNotNull(), _n)
 
 
-def fill_best(df: DataFrame, seq: int = 6) -> DataFrame:
-    """BEST where missing, or under 0.30 or over 2 times Pred, from %Pred; before and after."""
-    for best, pct, _ in _SIDES:
-        now, pred, share = num(F.col(best)), F.nullif(num(F.col("pred")), F.lit(0.0)), num(F.col(pct))
-        due = pred * (share / 100.0)
-        put = F.when(_free() & due.isNotNull() & (now.isNull() | (now / pred > 2.0) | (now / pred < 0.30)), fixed(due, 2))
-        df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull() & now.isNotNull(), "BEST fix: ", F.col("metric"), f" {HEADINGS[best]} replaced ", fixed(now, 2), "->", F.col("_put"), " using %Pred"))
-        df = df.withColumn(best, F.coalesce("_put", best)).drop("_put")
-    return df
+def _fill_percent(df: DataFrame) -> DataFrame:
+    """%Pred where missing or off by 6 or more."""
+    due = lambda best: _n(best) / F.nullif(_n("pred"), F.lit(0.0)) * 100.0
+    puts = {pct: F.when(_free() & (_n(pct).isNull() | (F.abs(_n(pct) - due(best)) >= 6.0)), fixed(due(best), 1)) for best, pct, _ in _SIDES}
+    return _changed(df, PERCENT, puts, lambda c: _n(c).isNotNull(), _n)
+
 
+def _fill_best(df: DataFrame) -> DataFrame:
+    """BEST where missing, or under 0.30 or over 2 times Pred, from %Pred."""
+    pred = F.nullif(_n("pred"), F.lit(0.0))
+    puts = {best: F.when(_free() & (_n(best).isNull() | (_n(best) / pred > 2.0) | (_n(best) / pred < 0.30)), fixed(pred * (_n(pct) / 100.0), 2)) for best, pct, _ in _SIDES}
+    return _changed(df, BEST, puts, lambda c: _n(c).isNotNull(), _n)
 
-def fill_change(df: DataFrame, seq: int = 7) -> DataFrame:
+
+def _fill_change(df: DataFrame) -> DataFrame:
     """%CHG where missing or off by 1.2 or more."""
-    pre, post, now = F.nullif(num(F.col("pre_best")), F.lit(0.0)), num(F.col("post_best")), num(F.col("pct_chg"))
-    due = (post - pre) / pre * 100.0
-    put = F.when(_free() & due.isNotNull() & (now.isNull() | (F.abs(now - due) >= 1.2)), fixed(due, 1))
-    df = df.withColumn("_put", put).withColumn("warnings", _told(seq, F.col("_put").isNotNull() & now.isNotNull(), "%CHG fix: ", F.col("metric"), " %CHG replaced ", fixed(now, 1), "->", F.col("_put"), " from BEST values"))
-    return df.withColumn("pct_chg", F.coalesce("_put", "pct_chg")).drop("_put")
+    pre, now = F.nullif(_n("pre_best"), F.lit(0.0)), _n("pct_chg")
+    due = (_n("post_best") - pre) / pre * 100.0
+    return _changed(df, CHANGE, {"pct_chg": F.when(_free() & (now.isNull() | (F.abs(now - due) >= 1.2)), fixed(due, 1))}, lambda c: _n(c).isNotNull(), _n)
 
 
 def expected_sign(best: Column, pred: Column) -> Column:
@@ -185,39 +200,64 @@ def expected_sign(best: Column, pred: Column) -> Column:
     return F.when(F.abs(delta) >= F.greatest(F.lit(0.02), 0.01 * F.greatest(F.lit(1.0), F.abs(pred))), F.signum(delta).cast("int")).when(delta.isNotNull(), 0)
 
 
-def flip_sign(df: DataFrame, seq: int = 8) -> DataFrame:
-    """The sign of z follows that of BEST - Pred, outside a small band; before and after."""
-    for best, _, z in _SIDES:
-        sign, now = expected_sign(num(F.col(best)), num(F.col("pred"))), num(F.col(z))
-        wrong = _free() & (sign * now < 0)
-        df = df.withColumn("_put", F.when(wrong, fixed(-now, 2)))
-        df = df.withColumn("warnings", _told(seq, F.col("_put").isNotNull(), "Z-sign fix: ", F.col("metric"), f" {HEADINGS[z]} flipped to ", F.when(sign < 0, "negative (best<pred)").otherwise("positive (best>pred)")))
-        df = df.withColumn(z, F.coalesce("_put", z)).drop("_put")
-    return df
+def _flip_sign(df: DataFrame) -> DataFrame:
+    """The sign of z follows that of BEST - Pred, outside a small band."""
+    puts = {z: F.when(_free() & (expected_sign(_n(best), _n("pred")) * _n(z) < 0), fixed(-_n(z), 2)) for best, _, z in _SIDES}
+    return _changed(df, SIGN, puts)
 
 
-def blank_contradictions(df: DataFrame, seq: int = 9) -> DataFrame:
+def _blank_contradictions(df: DataFrame) -> DataFrame:
     """Strict mode: a z-score that contradicts BEST against LLN or Pred is blanked, given plausible values."""
+    pred, lln = _n("pred"), _n("lln")
+    low, puts, more = {}, {}, {}
     for column, _, name in _SIDES:
-        best, pred, lln, z = num(F.col(column)), num(F.col("pred")), num(F.col("lln")), num(F.col(name))
+        best, z = _n(column), _n(name)
         sound = _free() & (pred > lln) & (lln > 0) & (lln / pred).between(0.15, 1.10) & (best / pred).between(0.05, 2.50)
-        low = F.coalesce(sound & (best < lln - 0.01) & (z > -1.20), F.lit(False))
-        high = F.coalesce(sound & (best > pred + 0.01) & (z < -0.50), F.lit(False)) & ~low
-        tell = lambda against, value: F.concat(F.lit("STRICT: "), F.col("metric"), F.lit(f" {HEADINGS[name]} violates BEST{against} (best="), fixed(best, 2), F.lit(f", {'lln' if against == '<LLN' else 'pred'}="), fixed(value, 2), F.lit(", z="), fixed(z, 2), F.lit("); blanked"))  # noqa: B023, E731
-        df = df.withColumn("_note", F.when(low, tell("<LLN", lln)).when(high, tell(">Pred", pred)))
-        df = df.withColumn("warnings", _told(seq, F.col("_note").isNotNull(), F.col("_note"))).withColumn(name, F.when(F.col("_note").isNotNull(), "").otherwise(F.col(name))).drop("_note")
-    return df
+        low[name] = F.coalesce(sound & (best < lln - 0.01) & (z > -1.20), F.lit(False))
+        high = sound & (best > pred + 0.01) & (z < -0.50)
+        puts[name] = F.when(low[name] | high, "")
+        tell = lambda against, label, value: F.concat(F.lit(f" violates BEST{against} (best="), fixed(best, 2), F.lit(f", {label}="), fixed(value, 2), F.lit(", z="), fixed(z, 2), F.lit(")"))  # noqa: B023, E731
+        more[name] = F.when(low[name], tell("<LLN", "lln", lln)).otherwise(tell(">Pred", "pred", pred))
+    return _changed(df, STRICT, puts, more=more.__getitem__)
+
+
+def _rule(step):
+    """A rule over one row, by itself: from a grid to a grid with warnings."""
+
+    @functools.wraps(step)
+    def alone(df: DataFrame) -> DataFrame:
+        return messages(step(grid(df)))
+
+    return alone
+
+
+def _case_rule(step, *args):
+    """A rule over several rows of a case, by itself."""
+
+    @functools.wraps(step)
+    def alone(df: DataFrame, key: str = "case_no") -> DataFrame:
+        return messages(step(_beside(grid(df), key), *args))
+
+    return alone
+
+
+split_grades, realign_top, derive_ratios = _case_rule(_split), _case_rule(_realign), _case_rule(_derive, DERIVE)
+scale_lln, post_from_change, fill_percent, fill_best = _rule(_scale_lln), _rule(_post_from_change), _rule(_fill_percent), _rule(_fill_best)
+fill_change, flip_sign, blank_contradictions = _rule(_fill_change), _rule(_flip_sign), _rule(_blank_contradictions)
 
 
 def repair(df: DataFrame, strict: bool = False, key: str = "case_no") -> DataFrame:
-    """All rules in order: those of the freshly read grid, and then again with those over one row."""
-    df = _beside(blank_restricted(grid(df)), key)
-    for _ in range(2):
-        df = _derive(_realign(_split(df, 0), 1), 2)
-    df = derive_ratios(post_from_change(scale_lln(_alone(df))), key, seq=5)
-    for rule in (fill_percent, fill_best, fill_change, flip_sign, *([blank_contradictions] if strict else [])):
+    """All rules in order.
+
+    The rules over several rows are run on the fresh grid and again before those over one row; splitting and realigning
+    find nothing the second time, so only the ratios are derived anew.
+    """
+    df = _derive(_realign(_split(_beside(blank_restricted(grid(df)), key))), DERIVE)
+    df = _alone(_derive(df, DERIVE))
+    df = _derive(_beside(_post_from_change(_scale_lln(df)), key), AGAIN)
+    for rule in (_fill_percent, _fill_best, _fill_change, _flip_sign, *([_blank_contradictions] if strict else [])):
         df = rule(df)
-    return df
+    return messages(df)
 
 
 def quality(df: DataFrame, key: str = "case_no") -> DataFrame:

@@ -220,26 +220,26 @@ def _repaired_sql(strict: bool) -> str:
     for best, pct in (("pre_best", "pre_pct"), ("post_best", "post_pct")):
         chain.add([], f"{_num(pct)} as x, {_num(best)} / nullif({_num('pred')}, 0) * 100 as y")
         chain.add([], f"case when {_FREE} and y is not null and (x is null or abs(x - y) >= 6) then {_fmt('y', 1)} end as put")
-        chain.add([_note(5, "put is not null and x is not null", f"'%Pred fix: ' || metric || ' {HEADINGS[pct]} replaced ' || {_fmt('x', 1)} || '->' || put"), f"coalesce(put, {pct}) as {pct}"], drop="x, y, put")
+        chain.add([_note(6, "put is not null and x is not null", f"'%Pred fix: ' || metric || ' {HEADINGS[pct]} replaced ' || {_fmt('x', 1)} || '->' || put"), f"coalesce(put, {pct}) as {pct}"], drop="x, y, put")
     for best, pct in (("pre_best", "pre_pct"), ("post_best", "post_pct")):
         chain.add([], f"{_num(best)} as x, nullif({_num('pred')}, 0) as y, {_num(pct)} as z")
         chain.add([], f"case when {_FREE} and y is not null and z is not null and (x is null or x / y > 2 or x / y < 0.3::double) then {_fmt('y * (z / 100)', 2)} end as put")
-        chain.add([_note(6, "put is not null and x is not null", f"'BEST fix: ' || metric || ' {HEADINGS[best]} replaced ' || {_fmt('x', 2)} || '->' || put || ' using %Pred'"), f"coalesce(put, {best}) as {best}"], drop="x, y, z, put")
+        chain.add([_note(7, "put is not null and x is not null", f"'BEST fix: ' || metric || ' {HEADINGS[best]} replaced ' || {_fmt('x', 2)} || '->' || put || ' using %Pred'"), f"coalesce(put, {best}) as {best}"], drop="x, y, z, put")
     chain.add([], f"{_num('pre_best')} as x, {_num('post_best')} as y, {_num('pct_chg')} as z")
     chain.add([], f"case when {_FREE} and x <> 0 and y is not null and (z is null or abs(z - (y - x) / x * 100) >= 1.2::double) then {_fmt('(y - x) / x * 100', 1)} end as put")
-    chain.add([_note(7, "put is not null and z is not null", f"'%CHG fix: ' || metric || ' %CHG replaced ' || {_fmt('z', 1)} || '->' || put || ' from BEST values'"), "coalesce(put, pct_chg) as pct_chg"], drop="x, y, z, put")
+    chain.add([_note(8, "put is not null and z is not null", f"'%CHG fix: ' || metric || ' %CHG replaced ' || {_fmt('z', 1)} || '->' || put || ' from BEST values'"), "coalesce(put, pct_chg) as pct_chg"], drop="x, y, z, put")
     for best, z in (("pre_best", "pre_z"), ("post_best", "post_z")):
         chain.add([], f"{_num(best)} as x, {_num('pred')} as y, {_num(z)} as w")
         clear = "abs(x - y) >= greatest(0.02::double, 0.01::double * greatest(1.0::double, abs(y)))"
         chain.add([], f"case when {_FREE} and {clear} and (x < y and w > 0 or x > y and w < 0) then {_fmt('-w', 2)} end as put")
-        chain.add([_note(8, "put is not null", f"'Z-sign fix: ' || metric || ' {HEADINGS[z]} flipped to ' || case when x < y then 'negative (best<pred)' else 'positive (best>pred)' end"), f"coalesce(put, {z}) as {z}"], drop="x, y, w, put")
+        chain.add([_note(9, "put is not null", f"'Z-sign fix: ' || metric || ' {HEADINGS[z]} flipped to ' || case when x < y then 'negative (best<pred)' else 'positive (best>pred)' end"), f"coalesce(put, {z}) as {z}"], drop="x, y, w, put")
     if strict:
         for best, z in (("pre_best", "pre_z"), ("post_best", "post_z")):
             chain.add([], f"{_num(best)} as x, {_num('pred')} as y, {_num('lln')} as l, {_num(z)} as w")
             sound = f"{_FREE} and y > l and l > 0 and l / y between 0.15::double and 1.1::double and x / y between 0.05::double and 2.5::double"
             told = lambda against, name, v: f"'STRICT: ' || metric || ' {HEADINGS[z]} violates BEST{against} (best=' || {_fmt('x', 2)} || ', {name}=' || {_fmt(v, 2)} || ', z=' || {_fmt('w', 2)} || '); blanked'"  # noqa: B023, E731
             chain.add([], f"case when {sound} and x < l - 0.01::double and w > -1.2::double then {told('<LLN', 'lln', 'l')} when {sound} and x > y + 0.01::double and w < -0.5::double then {told('>Pred', 'pred', 'y')} end as put")
-            chain.add([_note(9, "put is not null", "put"), f"case when put is not null then '' else {z} end as {z}"], drop="x, y, l, w, put")
+            chain.add([_note(10, "put is not null", "put"), f"case when put is not null then '' else {z} end as {z}"], drop="x, y, l, w, put")
     return chain.done(f"case_no, row_no, metric, {', '.join(COLUMNS)}, array_to_string(list_transform(warnings, lambda w: w.message), chr(10)) as notes")
 
 
