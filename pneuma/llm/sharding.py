@@ -75,11 +75,9 @@ def shard(docs: DataFrame, shards: int = 24, rows_per_range: int = 500_000, by:
                 bounds.append(min(key + 1, (1 << 63) - 1))
         bounds = sorted(set(bounds))
         ranged = base.withColumn("range", _bisect(bounds, F.col("key")))
-    part = F.lit(0)
-    if alone:
-        parts = F.create_map(*[F.lit(x) for key, n in sorted(alone.items()) for x in (bounds.index(key) + 1, n)])
-        part = F.pmod(F.xxhash64(F.lit(7), "row"), F.coalesce(F.try_element_at(parts, F.col("range")), F.lit(1))).cast("int")
-    ranged = ranged.withColumn("part", part)
+    parts = {bounds.index(key) + 1: n for key, n in alone.items()} or {-1: 1}
+    cut = F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair])
+    ranged = ranged.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "row"), F.coalesce(F.try_element_at(cut, F.col("range")), F.lit(1))).cast("int")).checkpoint()
 
     # One row for each range: where its bytes and rows begin in the whole order.
     ahead = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -456,3 +456,10 @@ def test_html_density_against_brute_force():
 def test_html_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>a", "x"), (1, "u", "<p>a", "y"), (None, None, "<p>b", "z")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html_text.extract(df).collect()) == ["a", "a", "b"]
+
+
+def test_sharding_of_distinct_texts(spark):
+    """No range is overfull and no key stands alone."""
+    got = sharding.shard(spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))).toPandas()
+    total = got.groupby("shard")["size"].sum()
+    assert len(got) == 3_000 and len(total) == 24 and (total - total.mean()).abs().max() <= 17
