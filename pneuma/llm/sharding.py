@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dropped, written
+
 #: Expected size of the key sample on the driver, and the most ranges it is cut into.
 SAMPLE_KEYS, MOST_RANGES = 40_000, 4_096
 
@@ -77,7 +79,9 @@ def shard(docs: DataFrame, shards: int = 24, rows_per_range: int = 500_000, by:
         ranged = base.withColumn("range", _bisect(bounds, F.col("key")))
     parts = {bounds.index(key) + 1: n for key, n in alone.items()} or {-1: 1}
     cut = F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair])
-    ranged = ranged.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "row"), F.coalesce(F.try_element_at(cut, F.col("range")), F.lit(1))).cast("int")).checkpoint()
+    part = F.pmod(F.xxhash64(F.lit(7), "row"), F.coalesce(F.try_element_at(cut, F.col("range")), F.lit(1))).cast("int")
+    # A checkpoint would keep that range follows from key, and the optimizer then looks for key among the offsets.
+    ranged = written(ranged.withColumn("part", part), "sharding-ranges")
 
     # One row for each range: where its bytes and rows begin in the whole order.
     ahead = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +103,7 @@ def shard(docs: DataFrame, shards: int = 24, rows_per_range: int = 500_000, by:
         .select("doc_id", "size", "text_crc32", "shard", "index")
         .checkpoint()
     )
+    dropped(ranged)
     first = placed.groupBy("shard").agg(F.min("index").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
