@@ -24,7 +24,8 @@ def assign(tokens: DataFrame, windows: DataFrame, key: str = "case_no", at: str
     """Range join within a case, both ends closed; on a shared edge the lowest index wins; tokens outside are dropped."""
     met = tokens.join(windows.select(key, F.col(idx).alias("_idx"), "lo", "hi"), key).where(F.col(at).between(F.col("lo"), F.col("hi")))
     names = [c for c in tokens.columns if c not in (key, tie)]
-    return met.groupBy(key, tie).agg(F.min("_idx").alias(idx), *[F.first(c).alias(c) for c in names])
+    least = met.groupBy(key, tie).agg(F.min(F.struct("_idx", *names)).alias("_row"))
+    return least.select(key, tie, F.col("_row._idx").alias(idx), *[F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
 def assemble(tokens: DataFrame, keys: list[str], text: str = "text", tie: str = "pos") -> DataFrame:
@@ -56,24 +57,35 @@ def best_per_group(df: DataFrame, keys: list[str], by: str, tie: str) -> DataFra
 
 
 def k_medians(df: DataFrame, k: int, value: str = "x", key: str = "case_no", rounds: int = 50) -> DataFrame:
-    """Centres of one-dimensional k-medians of each case: quantile start, nearest centre, upper median."""
-    import numpy as np
+    """Centres of one-dimensional k-medians of each case: quantile start, nearest centre, upper median.
 
-    def run(keys, table):
-        import pyarrow as pa
+    Fewer values than k are spread evenly from the least to the largest. Equal centres are 1e-3 apart. Nulls are passed
+    over; a case without values has no centres. The values of a case meet in one task, so they are those of one table.
+    """
+    import numpy as np
 
-        xs = np.sort(table[value].to_numpy())
-        c = xs[np.linspace(0, len(xs) - 1, k).round().astype(int)].astype(float)
+    def centres(xs):
+        if len(xs) < k:
+            return xs[0] + (xs[-1] - xs[0]) / max(k - 1, 1) * np.arange(k)
+        c = xs[[int(round(i / max(k - 1, 1) * (len(xs) - 1))) for i in range(k)]]
         for _ in range(rounds):
             near = np.abs(xs[:, None] - c[None, :]).argmin(1)
-            new = np.array([np.sort(xs[near == j])[(near == j).sum() // 2] if (near == j).any() else c[j] for j in range(k)])
+            new = np.array([xs[near == j][(near == j).sum() // 2] if (near == j).any() else c[j] for j in range(k)])
             moved, c = np.abs(new - c).max(), new
             if moved < 1e-3:
                 break
         c = np.sort(c)
         for j in range(1, k):
-            c[j] = max(c[j], c[j - 1] + 1e-3)
-        return pa.table({key: pa.array([keys[0].as_py()] * k, pa.int64()), "idx": pa.array(range(k), pa.int32()), "centre": pa.array(c)})
+            if c[j] <= c[j - 1]:
+                c[j] = c[j - 1] + 1e-3
+        return c
+
+    def run(keys, table):
+        import pyarrow as pa
+
+        xs = np.sort(table[value].drop_null().to_numpy().astype(float))
+        found = centres(xs) if len(xs) else np.zeros(0)
+        return pa.table({key: pa.array([keys[0].as_py()] * len(found), pa.int64()), "idx": pa.array(range(len(found)), pa.int32()), "centre": pa.array(found, pa.float64())})
 
     return df.select(F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, f"{key} long, idx int, centre double")
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import clinical, colour, text
 from ..operators import batch, boxes, labels, layout, metrics
 from ..sources import files
-from . import grid
+from . import grid, pages
 
-QUERIES: dict = dict(grid.QUERIES)
-ORACLES: dict[str, str] = dict(grid.ORACLES)
+QUERIES: dict = grid.QUERIES | pages.QUERIES
+ORACLES: dict[str, str] = grid.ORACLES | pages.ORACLES
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
