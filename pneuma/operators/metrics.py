@@ -18,6 +18,20 @@ def per_label(counts: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).alias("accuracy"), F.when(d == 0, 1.0).otherwise(2 * F.col("tp") / d).alias("f1"))
 
 
+def label_report(counts: DataFrame, label: str = "label") -> DataFrame:
+    """Precision, recall, F1 (each 1 where it has nothing to count) and support of each label, and their plain mean."""
+    over = lambda a, b: F.when(b == 0, 1.0).otherwise(a / b)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    each = counts.select(F.col(label).cast("string").alias(label), over(tp, tp + fp).alias("precision"), over(tp, tp + fn).alias("recall"), over(2 * tp, 2 * tp + fp + fn).alias("f1"), (tp + fn).alias("support"))
+    mean = each.agg(F.lit("macro avg").alias(label), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
+    return each.unionByName(mean)
+
+
+def mean_losses(batches: DataFrame, keys: list[str], loss: str = "loss") -> DataFrame:
+    """The mean loss of each epoch."""
+    return batches.groupBy(*keys).agg(F.avg(loss).alias(loss), F.count("*").alias("batches"))
+
+
 def subset_accuracy(df: DataFrame, key: str, truth: str = "truth", guess: str = "guess") -> DataFrame:
     """Share of rows whose labels are all right."""
     return df.groupBy(key).agg(F.bool_and(F.col(truth) == F.col(guess)).alias("right")).agg(F.avg(F.col("right").cast("double")).alias("accuracy"), F.count("*").alias("n"))

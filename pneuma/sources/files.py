@@ -6,15 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Rows and columns of the grid, in order (fixed values).
 METRICS = ["FVC", "FEV1", "FEV1/FVC", "VC", "FEV1/VC", "FEF25%-75%", "PEF", "MVV", "Grade FVC N", "Grade FEV1 N", "FET", "FIVC", "BEV"]
 COLUMNS = ["PRE-BEST", "LLN", "Pred", "Pre_%Pred", "Pre_Z-Score", "POST-BEST", "Post_%Pred", "Post_Z-Score", "%CHG"]
 GRID = T.StructType([T.StructField(c, T.StringType()) for c in ("case_id", "metric", *COLUMNS)])
 
 
-def list_reports(spark: SparkSession, folders: list[str], suffix: str = ".pdf", recursive: bool = False) -> DataFrame:
-    """path and length of report files, the suffix compared without case; contents are not read."""
+def list_reports(spark: SparkSession, folders: list[str], suffix: str = ".pdf", recursive: bool = False, least: int = 1) -> DataFrame:
+    """path and length of report files in order, the suffix compared without case; contents are not read.
+
+    folders may name files too. A missing folder, or fewer than `least` files, is an error.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(folders).select("path", "length").where(F.lower("path").endswith(suffix))
+    found = reader.load(folders).select("path", "length").where(F.lower("path").endswith(suffix))
+    if least and found.limit(least).count() < least:
+        raise FileNotFoundError(f"No {suffix} files in {folders}")
+    return found.orderBy("path")
+
+
+def read_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The overrides of rectangles in one JSON document: general ones (one row), and those of files (file, values)."""
+    kind = "struct<rel_left:double,rel_top:double,rel_right:double,rel_bottom:double,dx:double,dy:double,grow:double,extra_bottom_frac:double>"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<global:{kind},per_file:map<string,{kind}>>").alias("doc"))
+    return doc.select("doc.global.*"), doc.select(F.explode("doc.per_file").alias("file", "values")).select("file", "values.*")
+
+
+def read_first(spark: SparkSession, folder: str, schema: str, pattern: str = "*.json") -> DataFrame:
+    """The first JSON document of a folder by name; no row without files, and null columns for one that can't be read."""
+    docs = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), "value")
+    first = docs.agg(F.min_by("value", "_file").alias("value")).where("value is not null")
+    return first.select(F.from_json("value", schema).alias("doc")).select("doc.*")
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -23,15 +44,17 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """case_id and bmi; of repeated ids the last row of a file wins; rows without a number are passed over."""
-    rows = spark.read.csv(path, header=True).select(F.trim("case_id").alias("case_id"), F.col("bmi").try_cast("double").alias("bmi"), F.monotonically_increasing_id().alias("pos"))
+    """case_id and bmi; of repeated ids the last row wins, files in order of their names; rows without a number are passed over."""
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.csv(path, header=True).select(F.trim("case_id").alias("case_id"), F.col("bmi").try_cast("double").alias("bmi"), at.alias("pos"))
     return rows.where("case_id <> '' and bmi is not null").groupBy("case_id").agg(F.max_by("bmi", "pos").alias("bmi"))
 
 
-def flatten_config(df: DataFrame, column: str) -> DataFrame:
-    """A two-level JSON object as rows group.name and value; other shapes give none."""
+def flatten_config(df: DataFrame, column: str, keep: list[str] | None = None) -> DataFrame:
+    """A two-level JSON object as rows group.name and value, beside the columns to keep; other shapes give none."""
+    keep = keep or []
     groups = F.from_json(column, "map<string,map<string,string>>")
-    return df.select(F.explode(groups).alias("group", "items")).select("group", F.explode("items").alias("name", "value")).select(F.concat_ws(".", "group", "name").alias("name"), "value")
+    return df.select(*keep, F.explode(groups).alias("group", "items")).select(*keep, "group", F.explode("items").alias("name", "value")).select(*keep, F.concat_ws(".", "group", "name").alias("name"), "value")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +65,8 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def write_grid(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The canonical sink: Parquet, in the order of cases and metrics within each file."""
-    df.sortWithinPartitions("case_id").write.mode(mode).parquet(path)
+    at = F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric"))
+    df.sortWithinPartitions("case_id", at).write.mode(mode).parquet(path)
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
