@@ -17,15 +17,15 @@ def case_id(stem: Column) -> Column:
 
 
 def clean_cell(c: Column) -> Column:
-    """Dashes and quotes to ASCII, white space collapsed, and gaps inside numbers closed."""
+    """Dashes and quotes to ASCII, white space collapsed, and gaps inside numbers closed. The patterns are fixed values."""
     s = F.translate(F.coalesce(c, F.lit("")), "−–—‘’“”\n", "---''\"\" ")
-    for pattern, put in ((r"(?U)\s+", " "), (r"(?<=\d)\s+(?=[.,%])", ""), (r"(?<=[.,%])\s+(?=\d)", ""), (r"(?<=-)\s+(?=\d)", "")):
+    for pattern, put in ((r"(?U)\s+", " "), (r"(?U)(?<=\d)\s+(?=[.,%])", ""), (r"(?U)(?<=[.,%])\s+(?=\d)", ""), (r"(?U)(?<=-)\s+(?=\d)", "")):
         s = F.regexp_replace(s, pattern, put)
     return F.trim(s)
 
 
 def has_digit(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"\d"), F.lit(False))
+    return F.coalesce(c.rlike(r"(?U)\d"), F.lit(False))
 
 
 def parse_float(c: Column) -> Column:
@@ -35,7 +35,7 @@ def parse_float(c: Column) -> Column:
 
 def parse_grade(c: Column) -> Column:
     """The first letter from A to F that stands alone."""
-    return F.nullif(F.regexp_extract(F.upper(F.coalesce(c, F.lit(""))), r"\b([A-F])\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.upper(F.coalesce(c, F.lit(""))), r"(?U)\b([A-F])\b", 1), F.lit(""))
 
 
 def last_number(c: Column, decimals: bool = False) -> Column:

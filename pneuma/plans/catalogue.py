@@ -246,7 +246,7 @@ def text_functions(spark, sf_dir):
     )
 
 
-@query(r"""select doc_id, try_cast(nullif(regexp_extract(replace(coalesce(text, ''), ',', '.'), '[-+]?[0-9]+(\.[0-9]+)?'), '') as double) as number, nullif(regexp_extract(upper(coalesce(text, '')), '\b([A-F])\b', 1), '') as grade from documents""")
+@query(r"""select doc_id, try_cast(nullif(regexp_extract(replace(coalesce(text, ''), ',', '.'), '[-+]?[0-9]+(\.[0-9]+)?'), '') as double) as number, nullif(regexp_extract(regexp_replace(upper(coalesce(text, '')), '[\x{C0}-\x{24F}]', 'Z', 'g'), '\b([A-F])\b', 1), '') as grade from documents""")
 def cell_parsing(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.parse_float(F.col("text")).alias("number"), text.parse_grade(F.col("text")).alias("grade"))
 

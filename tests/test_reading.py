@@ -85,6 +85,7 @@ def test_merge_neighbours(spark):
 
 
 def test_suspicious_modes(spark):
-    df = spark.createDataFrame([(1.0, 1.0, 0.8, 100.0, 0.1), (None, None, None, None, None)], "pre_best double, pred double, lln double, pre_pct double, pre_z double")
+    df = spark.createDataFrame([("FVC", "1.00", "1.00", "0.80", "100.0", "0.10"), ("MVV", None, None, None, None, None)], "metric string, pre_best string, pred string, lln string, pre_pct string, pre_z string")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("post_best", "post_pct", "post_z", "pct_chg")})
     flags = lambda mode: [tuple(r) for r in repair.suspicious(df, mode).select("re_pred", "re_lln", "re_pre_pct", "re_pre_z").collect()]
     assert flags("auto") == [(False,) * 4, (True,) * 4] and flags("force") == [(True,) * 4] * 2 and flags("off") == [(False,) * 4] * 2
