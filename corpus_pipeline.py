@@ -7,6 +7,7 @@ doc_id, so ids may be null or repeated in every stage; a null text counts as emp
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,12 @@ from pneuma.llm.queries import WORD_BPE, table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a unique _row; written, so that it is the same in every read."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    """docs with a unique _row that is the same in every read: a row's file and place in it, if docs is read from Parquet
+    files and only from them. Otherwise rows are numbered and written."""
+    try:
+        return docs.withColumn("_row", F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:  # no files, or of another format
+        return written(docs.withColumn("_row", F.struct(F.monotonically_increasing_id().alias("row_index"))), "pipeline-rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
