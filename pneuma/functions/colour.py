@@ -38,3 +38,33 @@ def shade(hsv: Column, name: str, theme: str = "light") -> Column:
     by_s, by_v = SHADES[theme].get(name, (1.0, 1.0))
     s, v = (hsv["s"] * DARK_SATURATION, F.lit(1.0)) if theme == "dark" else (hsv["s"], hsv["v"])
     return F.struct(hsv["h"].alias("h"), F.least(s * by_s, F.lit(1.0)).alias("s"), F.least(v * by_v, F.lit(1.0)).alias("v"))
+
+
+def colourfulness(c: Column) -> Column:
+    """How far r, g and b of a struct lie apart: between red and green, and between yellow and blue."""
+    rg, yb = c["r"] - c["g"], 0.5 * (c["r"] + c["g"]) - c["b"]
+    return 0.3 * F.sqrt(rg * rg + yb * yb)
+
+
+def dominant(palette: Column) -> Column:
+    """Of a palette (array of struct r, g, b) the most colourful colour, the first of equals; null of an empty one.
+
+    Bright colours are dimmed first. Reds of no hue and greys go, as long as two others stay, but the first always; of
+    the rest the first five count.
+    """
+
+    def dimmed(c: Column) -> Column:
+        hsv = to_hsv(c["r"], c["g"], c["b"])
+        v = hsv["v"]
+        return to_rgb(hsv["h"], hsv["s"], v * F.when(v > 0.9, 0.8).when(v > 0.8, 0.9).when(v > 0.7, 0.95).otherwise(1.0))
+
+    flat = lambda c: to_hsv(c["r"], c["g"], c["b"])["h"] < 0.02
+    told = F.transform(F.transform(palette, dimmed), lambda c: F.struct(c.alias("c"), flat(c).alias("flat")))
+
+    def chosen(told: Column) -> Column:
+        most = F.greatest(F.lit(1), F.size(told) - 2)
+        kept = F.filter(told, lambda x, i: ~x["flat"] | (F.size(F.filter(F.slice(told, 1, i + 1), lambda y: y["flat"])) > most))
+        ranked = F.transform(F.slice(kept, 1, 5), lambda x, i: F.struct(colourfulness(x["c"]).alias("score"), (-i).alias("minus"), x["c"].alias("c")))
+        return F.array_max(ranked)["c"]
+
+    return F.element_at(F.transform(F.array(told), chosen), 1)

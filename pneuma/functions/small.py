@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,11 +40,14 @@ def progress_text(form: str, value: Column, low: int, high: int) -> Column:
     return F.replace(F.replace(out, F.lit("%v"), value.cast("string")), F.lit("%m"), F.lit(str(high - low)))
 
 
-def eased(t: Column, kind: str) -> Column:
-    """A step of 0..1 under one of five easings: constant, linear, quadratic (in, then out), or slow at the end or begin."""
+def scroll_step(delta: Column, left: Column, total: int, mode: str) -> Column:
+    """How far a scroll of delta moves in the step that has `left` of `total` steps before it."""
+    m = total / 2
+    x = F.abs(F.lit(total) - left - m)
     return {
-        "constant": F.lit(1.0), "linear": t, "quadratic": F.when(t < 0.5, 2 * t * t).otherwise(1 - 2 * (1 - t) * (1 - t)), "decelerating": 1 - (1 - t) * (1 - t), "accelerating": t * t,
-    }[kind]
+        "none": F.lit(0.0), "constant": delta / total, "linear": 2 * delta / total * (m - x) / m,
+        "quadratic": F.lit(3 / 4 / m) * (1 - x * x / m / m) * delta, "cosine": (F.cos(x * math.pi / m) + 1) / (2 * m) * delta,
+    }[mode]
 
 
 def hour12(hour: Column) -> Column:

@@ -49,3 +49,27 @@ def suppress(boxes: DataFrame, most_overlap: float = 0.15, keep: int = 4, key: s
     )
     kept = F.expr(f"aggregate(all, slice(all, 1, 0), (acc, b) -> if(size(acc) >= {keep} or {clash}, acc, concat(acc, array(b))))")
     return grouped.select(key, F.posexplode(kept).alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), F.col("b.pos").alias(tie))
+
+
+def table_box(boxes: DataFrame, bands: DataFrame, key: str = "case_no", tie: str = "pos") -> DataFrame:
+    """key, x, y, w, h: the crop of each band (key, band_w, band_h) to the boxes found in it.
+
+    All boxes together, or the largest alone if they are over 1.18 times as high and it is 0.55 of the band wide. 10 is
+    added around (0.04 of the width to the left, 0.02 of the height below, if more), and everything to the left if it
+    begins beyond 0.03. The whole band stands in for a crop under 0.25 of its area, 0.55 of its width or 0.5 of its
+    height, and where there are no boxes.
+    """
+    found = extent(boxes, key, tie).join(boxes.select(key, F.col(tie).alias("largest"), *[F.col(c).alias(f"_{c}") for c in "xywh"]), [key, "largest"])
+    bw, bh = F.col("band_w"), F.col("band_h")
+    cut = lambda c, share: (c * F.lit(share)).cast("int")
+    met = bands.join(found, key, "left")
+    alone = (F.col("_h") > 0) & (F.col("y1") - F.col("y0") > F.col("_h") * 1.18) & (F.col("_w") >= cut(bw, 0.55))
+    pick = lambda one, whole: F.when(alone, one).otherwise(whole)
+    met = met.withColumns({"_l": pick(F.col("_x"), F.col("x0")), "_t": pick(F.col("_y"), F.col("y0")), "_r": pick(F.col("_x") + F.col("_w"), F.col("x1")), "_b": pick(F.col("_y") + F.col("_h"), F.col("y1"))})
+    left = F.when(F.col("_l") > cut(bw, 0.03), 0).otherwise(F.greatest(F.lit(0), F.col("_l") - F.greatest(F.lit(10), cut(bw, 0.04))))
+    top = F.greatest(F.lit(0), F.col("_t") - 10)
+    wide, high = F.least(F.col("_r") + 10, bw) - left, F.least(F.col("_b") + F.greatest(F.lit(10), cut(bh, 0.02)), bh) - top
+    area = F.greatest(wide, F.lit(1)) * F.greatest(high, F.lit(1))
+    poor = F.col("_l").isNull() | (area < bw * bh * 0.25) | (wide / F.greatest(bw, F.lit(1)) < 0.55) | (high / F.greatest(bh, F.lit(1)) < 0.5)
+    value = lambda crop, whole: F.when(poor, whole).otherwise(crop).cast("long")
+    return met.select(key, value(left, 0).alias("x"), value(top, 0).alias("y"), value(wide, bw).alias("w"), value(high, bh).alias("h"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import small
+from ..operators import boxes as box_ops
 from ..operators import metrics, reports
 from . import grid
 
@@ -119,3 +120,20 @@ def marked_outputs(spark, sf_dir):
 @query("select r_regionkey, unnest(range(0, 4))::int as copy from region")
 def augmented_rows(spark, sf_dir):
     return reports.augmented(_table(spark, sf_dir, "region").select("r_regionkey"), 3)
+
+
+_WHOLE = _BOXES.replace("min(l_partkey % 1000) as x", "min(l_partkey % 300) as x, min(l_suppkey * 7 % 200) as y").replace("min(20 + l_quantity * 5) as w", "min(20 + l_quantity * 12) as w").replace("l_linenumber * 30", "l_linenumber * 40")
+
+
+@query(f"""with b as ({_WHOLE}), u as (select case_no, min(x) as x0, min(y) as y0, max(x + w) as x1, max(y + h) as y1, arg_max(pos, w * h * 1000 - pos) as pos from b group by 1),
+    m as (select o_orderkey as case_no, 600 as bw, 300 + o_custkey % 300 as bh, u.* exclude (case_no), x, y, w, h, h > 0 and y1 - y0 > h * 1.18::double and w >= 330 as alone from orders left join u on u.case_no = o_orderkey left join b on b.case_no = u.case_no and b.pos = u.pos),
+    c as (select case_no, bw, bh, case when alone then x else x0 end as l, case when alone then y else y0 end as t, case when alone then x + w else x1 end as r, case when alone then y + h else y1 end as b from m),
+    d as (select *, case when l > 18 then 0 else greatest(0, l - 24) end as xx, greatest(0, t - 10) as yy from c),
+    e as (select *, least(r + 10, bw) - xx as ww, least(b + greatest(10, trunc(bh * 0.02::double)), bh) - yy as hh from d),
+    f as (select *, l is null or greatest(ww, 1) * greatest(hh, 1) < bw * bh * 0.25::double or ww / bw < 0.55::double or hh / bh < 0.5::double as poor from e)
+    select case_no, case when poor then 0 else xx end::bigint as x, case when poor then 0 else yy end::bigint as y, case when poor then bw else ww end::bigint as w, case when poor then bh else hh end::bigint as h from f""")
+def table_boxes(spark, sf_dir):
+    found = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("pos")).agg(
+        F.min(F.col("l_partkey") % 300).alias("x"), F.min(F.col("l_suppkey") * 7 % 200).alias("y"), F.min(20 + F.col("l_quantity") * 12).alias("w"), F.min(20 + F.col("l_linenumber") * 40).alias("h"))
+    bands = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_no"), F.lit(600).alias("band_w"), (300 + F.col("o_custkey") % 300).alias("band_h"))
+    return box_ops.table_box(found, bands)

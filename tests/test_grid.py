@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pneuma.functions import cells, clinical, small
+from pneuma.functions import cells, clinical, colour, small
 from pneuma.operators import batch, boxes, candidates, classify, geometry, labels, layout, metrics, repair, reports
 from pneuma.sources import files
 
@@ -230,7 +230,10 @@ def test_small_functions(spark):
     lit = F.lit
     assert get(small.slider_value(lit(150), 5, 50, 300)) == 27 and get(small.slider_place(lit(9), 9, 9, 10)) == 0
     assert get(small.progress_text("%p%", lit(0), 5, 5)) == "100%"
-    assert [get(small.eased(lit(0.25), k)) for k in ("constant", "linear", "quadratic", "decelerating", "accelerating")] == [1.0, 0.25, 0.125, 0.4375, 0.0625]
+    for k in ("none", "constant", "linear", "quadratic", "cosine"):
+        steps = [get(small.scroll_step(lit(120.0), lit(n), 1000, k)) for n in (1, 500, 1000)]
+        assert k == "none" and steps == [0.0] * 3 or steps[1] >= steps[0] >= 0 and steps[1] >= steps[2] >= 0
+    assert get(small.scroll_step(lit(120.0), lit(30), 60, "linear")) == 4.0 and get(small.scroll_step(lit(120.0), lit(60), 60, "cosine")) == 0.0
     assert get(small.valid_date(lit(2023), lit(2), lit(29))) is None and str(get(small.valid_date(lit(2024), lit(2), lit(29)))) == "2024-02-29"
     ab = F.array(lit("a"), lit("b"))
     assert get(small.repeated(ab, 2)) == ["a", "b", "a", "b"] and get(small.padded(ab, 1)) == ["", "a", "b", ""]
@@ -278,3 +281,29 @@ def test_label_matching_without_aliases(spark):
         return files.METRICS[scores.index(max(scores))] if max(scores) >= 0.55 else None
 
     assert got == {t: (best(t) if t else None) for t in ("Gr#de FVC N", "FEV1", "zzzz", None)}
+
+
+def test_dominant_colour(spark):
+    def plain(palette):
+        import colorsys
+
+        def dim(c):
+            h, s, v = colorsys.rgb_to_hsv(*(x / 255 for x in c))
+            v *= 0.8 if v > 0.9 else 0.9 if v > 0.8 else 0.95 if v > 0.7 else 1
+            return tuple(int(x * 255 + 1e-9) for x in colorsys.hsv_to_rgb(h, s, v))
+
+        left = [dim(c) for c in palette]
+        for c in left[:]:
+            if colorsys.rgb_to_hsv(*(x / 255 for x in c))[0] * 360 < 0.02:
+                left.remove(c)
+                if len(left) <= 2:
+                    break
+        score = lambda c: ((c[0] - c[1]) ** 2 + (0.5 * (c[0] + c[1]) - c[2]) ** 2) ** 0.5
+        return max(left[:5], key=score) if left else None
+
+    palettes = [[(10, 20, 30), (200, 10, 30), (9, 9, 9)], [(5, 5, 5), (6, 6, 6), (7, 7, 7), (1, 2, 3)], [(9, 9, 9)], [(20, 200, 60), (250, 240, 10), (3, 3, 3), (90, 20, 200), (1, 1, 1), (30, 60, 90), (250, 0, 255)]]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(palettes)], "i int, p array<struct<r:int,g:int,b:int>>")
+    got = {r.i: r.c and tuple(r.c) for r in df.select("i", colour.dominant(F.col("p")).alias("c")).collect()}
+    for i, p in enumerate(palettes):
+        want = plain(p)
+        assert (got[i] is None) == (want is None) and (want is None or max(abs(a - b) for a, b in zip(got[i], want, strict=True)) <= 1)
