@@ -463,3 +463,26 @@ def test_sharding_of_distinct_texts(spark):
     got = sharding.shard(spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))).toPandas()
     total = got.groupby("shard")["size"].sum()
     assert len(got) == 3_000 and len(total) == 24 and (total - total.mean()).abs().max() <= 17
+
+
+def test_neighbours_with_skewed_norms_and_clusters(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1200, 16)) * rng.lognormal(0, 1, (1200, 1))
+    assert _recall(spark, v.astype(np.float32)) >= 0.9
+    centres = rng.standard_normal((6, 16)) * 3
+    assert _recall(spark, (centres[rng.integers(0, 6, 1200)] + 0.3 * rng.standard_normal((1200, 16))).astype(np.float32)) >= 0.9
+
+
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], "a"), (0, [0.9, 0.1], "b"), (1, [1.0, 0.0], "c"), (2, [0.0, 1.0], "d"), (2, [0.0, 1.0], "e")]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string"), k=3).collect()
+    assert {r.query_id for r in got} == {0} and all(r.vec_id != 0 for r in got)
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got)[0] == (1, 1, 0.9) or sorted((r["rank"], r.vec_id, r.score) for r in got)[0] == (1, 1, 1.0)
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
+    model = {"weights": {x: 1.0 for x in toxicity.features("bad")}, "bias": -1.0}
+    rows = spark.createDataFrame([(1, "bad bad", 5.0), (1, "bad bad", 6.0), (None, None, None)], "doc_id long, text string, score double")
+    got = toxicity.score(rows, model).collect()
+    assert len(got) == 3 and len({r.score for r in got if r.doc_id == 1}) == 1
+    assert toxicity.kept(rows, model).columns == rows.columns
