@@ -22,10 +22,10 @@ def overlapping_pairs(boxes: DataFrame, least: float, key: str = "case_no", tie:
     return met.select(key, F.col(f"a.{tie}").alias("pos_a"), F.col(f"b.{tie}").alias("pos_b"), iou("a", "b").alias("iou")).where(F.col("iou") > least)
 
 
-def plausible(boxes: DataFrame, page: float, smallest: float, largest: float, narrow: float = 0.6, wide: float = 2.8) -> DataFrame:
-    """Area share and aspect within bounds."""
-    share, aspect = F.col("w") * F.col("h") / page, F.col("w") / F.col("h")
-    return boxes.where(share.between(smallest, largest) & aspect.between(narrow, wide))
+def plausible(boxes: DataFrame, page: float, smallest: float, largest: float, narrow: float = 0.6, wide: float = 2.8, left: int = 0, top: int = 0) -> DataFrame:
+    """Area share and aspect within bounds, and the box not beyond the left or top margin."""
+    share, aspect = F.col("w") * F.col("h") / page, F.col("w") / F.greatest(F.lit(1), F.col("h"))
+    return boxes.where(share.between(smallest, largest) & aspect.between(narrow, wide) & (F.col("x") >= left) & (F.col("y") >= top))
 
 
 def extent(boxes: DataFrame, key: str = "case_no", tie: str = "pos") -> DataFrame:
@@ -36,8 +36,9 @@ def extent(boxes: DataFrame, key: str = "case_no", tie: str = "pos") -> DataFram
     )
 
 
-def suppress(boxes: DataFrame, most_overlap: float = 0.15, keep: int = 4, key: str = "case_no", tie: str = "pos") -> DataFrame:
-    """Greedy: largest first, a box stays if it overlaps none that stays by most_overlap or more; at most keep.
+def suppress(boxes: DataFrame, most_overlap: float = 0.15, keep: int = 4, best: int | None = None, key: str = "case_no", tie: str = "pos") -> DataFrame:
+    """Greedy: largest first, a box stays if it overlaps none that stays by most_overlap or more; at most keep, of which
+    the best largest are returned if that is given.
 
     The boxes of a page are few; the fold runs on a case's sorted array.
     """
@@ -48,6 +49,7 @@ def suppress(boxes: DataFrame, most_overlap: float = 0.15, keep: int = 4, key: s
         f"{most_overlap}D * (k.w * k.h + b.w * b.h - greatest(0, least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * greatest(0, least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y))))"
     )
     kept = F.expr(f"aggregate(all, slice(all, 1, 0), (acc, b) -> if(size(acc) >= {keep} or {clash}, acc, concat(acc, array(b))))")
+    kept = F.slice(kept, 1, best) if best else kept
     return grouped.select(key, F.posexplode(kept).alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), F.col("b.pos").alias(tie))
 
 

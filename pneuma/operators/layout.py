@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_cell
+
 
 def group_lines(tokens: DataFrame, max_gap: float, key: str = "case_no", at: str = "cy", tie: str = "pos") -> DataFrame:
     """Gaps and islands: a new line where the gap to the token before exceeds max_gap."""
@@ -28,9 +30,14 @@ def assign(tokens: DataFrame, windows: DataFrame, key: str = "case_no", at: str
     return least.select(key, tie, F.col("_row._idx").alias(idx), *[F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
-def assemble(tokens: DataFrame, keys: list[str], text: str = "text", tie: str = "pos") -> DataFrame:
-    """The text of each cell: its tokens in order, joined by spaces."""
-    return tokens.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(tie, text))), lambda t: t[text]), " ").alias("cell"))
+def assemble(tokens: DataFrame, keys: list[str], text: str = "text", tie: str = "pos", clean: bool = False) -> DataFrame:
+    """The text of each cell, its tokens in order joined by spaces, and their number n; with clean mended after each token."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(tie, text))), lambda t: t[text])
+    cells = tokens.groupBy(*keys).agg(F.count("*").alias("n"), ordered.alias("_texts"))
+    joined = F.array_join("_texts", " ")
+    if clean:
+        joined = F.reduce("_texts", F.lit(""), lambda whole, t: clean_cell(F.concat_ws(" ", F.nullif(whole, F.lit("")), t)))
+    return cells.select(*keys, "n", joined.alias("cell"))
 
 
 def fit_line(anchors: DataFrame, key: str = "case_no", idx: str = "idx", y: str = "y", least: int = 6) -> DataFrame:

@@ -43,7 +43,7 @@ def _tokens(spark, sf_dir):
     select case_no, line::bigint as line, count(*) as n, string_agg(text, ' ' order by pos) as cell from l group by case_no, line""")
 def lines_of_tokens(spark, sf_dir):
     lines = layout.group_lines(_tokens(spark, sf_dir), 1800.0)
-    return layout.assemble(lines, ["case_no", "line"]).join(lines.groupBy("case_no", "line").agg(F.count("*").alias("n")), ["case_no", "line"]).select("case_no", F.col("line").cast("long").alias("line"), "n", "cell")
+    return layout.assemble(lines, ["case_no", "line"]).select("case_no", F.col("line").cast("long").alias("line"), "n", "cell")
 
 
 _CENTRES = "select o_custkey as case_no, o_orderkey as idx, epoch(o_orderdate)::double / 86400 as centre from orders"
@@ -128,9 +128,9 @@ def box_extent(spark, sf_dir):
     return boxes.extent(_boxes(spark, sf_dir))
 
 
-@query(f"select case_no, pos from ({_BOXES}) where w * h / 1000000.0 between 0.005 and 0.05 and w / h between 0.6 and 2.8")
+@query(f"select case_no, pos from ({_BOXES}) where w * h / 1000000.0 between 0.005 and 0.05 and w / h between 0.6 and 2.8 and x >= 30 and y >= 450")
 def box_filter(spark, sf_dir):
-    return boxes.plausible(_boxes(spark, sf_dir), 1e6, 0.005, 0.05).select("case_no", "pos")
+    return boxes.plausible(_boxes(spark, sf_dir), 1e6, 0.005, 0.05, left=30, top=450).select("case_no", "pos")
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pneuma.functions import cells, clinical, colour, small
 from pneuma.operators import batch, boxes, candidates, classify, geometry, labels, layout, metrics, repair, reports
 from pneuma.sources import files
+from pneuma.streaming import events
 
 COLUMNS = cells.COLUMNS
 
@@ -307,3 +308,28 @@ def test_dominant_colour(spark):
     for i, p in enumerate(palettes):
         want = plain(p)
         assert (got[i] is None) == (want is None) and (want is None or max(abs(a - b) for a, b in zip(got[i], want, strict=True)) <= 1)
+
+
+def test_cells_are_mended_as_they_grow(spark):
+    tokens = spark.createDataFrame([(1, 0, "3 ."), (1, 1, "08"), (2, 1, "x"), (2, 0, "−")], "case_no long, pos int, text string")
+    assert {(r.case_no, r.n, r.cell) for r in layout.assemble(tokens, ["case_no"], clean=True).collect()} == {(1, 2, "3.08"), (2, 2, "- x")}
+    assert {r.cell for r in layout.assemble(tokens, ["case_no"]).collect()} == {"3 . 08", "− x"}
+
+
+def _drained(spark, out, path, name, mode):
+    query = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_streams(spark, tmp_path):
+    rows = [("a", "x", 1, 0.0), ("a", "x", 2, 0.1), ("a", "y", 3, 0.2), ("b", "x", 4, 0.9), ("a", "x", 5, 0.9)]
+    df = spark.createDataFrame(rows, "k string, v string, seq long, s double").withColumn("t", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    told = _drained(spark, events.changes(stream(), "k", "v"), tmp_path, "told", "append")
+    assert sorted((r.k, r.v, r.seq) for r in told) == [("a", "x", 1), ("a", "x", 5), ("a", "y", 3), ("b", "x", 4)]
+    last = _drained(spark, events.status_table(stream(), "k", "v", "seq"), tmp_path, "last", "complete")
+    assert sorted((r.k, r.v) for r in last) == [("a", "x"), ("b", "x")]
+    counts = _drained(spark, events.sliding_counts(stream(), "k", "t", "500 milliseconds", "500 milliseconds", "1 second"), tmp_path, "counts", "complete")
+    assert sorted((r.k, r.n) for r in counts) == [("a", 1), ("a", 3), ("b", 1)]
