@@ -281,8 +281,8 @@ def _grouped_links(rows: DataFrame, sets: DataFrame, members: DataFrame, labels:
         return members.select(F.col("group").alias("a"), F.col("sid").alias("b"))
     shingles = _sets_of(rows, sets, members.select("sid").distinct(), width)
     big = members.groupBy("group", "label").count().where(F.col("count") >= GROUP_BLOCK // 2).select("group", "label", F.col("label").alias("kind"))
-    members = members.join(big, ["group", "label"], "left")
-    parts = members.groupBy("group", "kind", "cls").agg(F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    kinds = members.join(big, ["group", "label"], "left")
+    parts = kinds.groupBy("group", "kind", "cls").agg(F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     parts = written(parts.withColumn("part", F.monotonically_increasing_id()), "jaccard-parts")
     near = parts.select("group", F.explode(F.sequence(F.col("cls") - 1, F.col("cls") + 1)).alias("cls"), F.col("kind").alias("kind_b"), F.col("part").alias("part_b"), F.col("blocks").alias("blocks_b"))
     met = parts.join(near, ["group", "cls"]).where((F.col("part") <= F.col("part_b")) & F.coalesce(F.col("kind") != F.col("kind_b"), F.lit(True)))
@@ -291,10 +291,10 @@ def _grouped_links(rows: DataFrame, sets: DataFrame, members: DataFrame, labels:
     cells = cells.where((F.col("part") < F.col("part_b")) | (F.col("i") <= F.col("j")))
     cell = F.struct("part", "i", "part_b", "j").alias("cell")
     asked = cells.select(cell, "part", F.col("i").alias("block"), F.lit(0).alias("side")).union(cells.select(cell, F.col("part_b"), F.col("j"), F.lit(1))).where((F.col("side") == 0) | (F.col("cell.part") < F.col("cell.part_b")) | (F.col("cell.i") < F.col("cell.j")))
-    own = members.join(parts, (members["group"] == parts["group"]) & members["kind"].eqNullSafe(parts["kind"]) & (members["cls"] == parts["cls"])).select("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "label")
+    own = kinds.join(parts, (kinds["group"] == parts["group"]) & kinds["kind"].eqNullSafe(parts["kind"]) & (kinds["cls"] == parts["cls"])).select("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), "sid", "label")
     dealt = own.join(asked, ["part", "block"]).join(_merged(shingles), "sid").select("cell", "sid", "label", "side", "shingles")
     links = written(dealt.groupBy("cell").applyInArrow(_cell(percent), "a long, b long"), "jaccard-links")
-    dropped(shingles), dropped(parts)
+    dropped(shingles), dropped(parts), dropped(members)
     return links
 
 
