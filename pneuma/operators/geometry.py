@@ -95,7 +95,8 @@ def headings(tokens: DataFrame, key: str = "case_no") -> DataFrame:
 
 
 def _at(values: Column, index: Column) -> Column:
-    return F.try_element_at(F.array_sort(values), index.cast("int") + 1)
+    """The sorted value at a place from 0; null of an empty list."""
+    return F.try_element_at(F.array_sort(values), F.greatest(F.lit(0), index.cast("int")) + 1)
 
 
 def data_left(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> DataFrame:

@@ -120,7 +120,7 @@ _OWN = "select distinct p_brand as file, case when p_brand like '%1' then 0.9 en
     k as (select p_partkey, e, greatest(0, least(1, (l + r) / 2 - (r - l) / 2 * s)) as l, greatest(0, least(1, (l + r) / 2 + (r - l) / 2 * s)) as r, greatest(0, least(1, (t + b) / 2 - (b - t) / 2 * s)) as t, greatest(0, least(1, (t + b) / 2 + (b - t) / 2 * s)) as b from n),
     f as (select p_partkey, l, t, case when r <= l then least(1, l + 0.01::double) else r end as r, case when b <= t then least(1, t + 0.01::double) else b end as b, greatest(0, least(0.2::double, e)) as e from k),
     q as (select *, greatest(0, trunc(800 * l)::int) as x0, greatest(0, trunc(600 * t)::int) as y0, least(800, trunc(800 * r)::int) as x1, least(600, trunc(600 * least(1, b + e))::int) as y1 from f)
-    select p_partkey, round(l, 6) as l, round(t, 6) as t, round(r, 6) as r, round(b, 6) as b, round(e, 6) as e, case when x1 > x0 and y1 > y0 then x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) end as band from q""")
+    select p_partkey, round(l, 9) as l, round(t, 9) as t, round(r, 9) as r, round(b, 9) as b, round(e, 9) as e, case when x1 > x0 and y1 > y0 then x0 || ',' || y0 || ',' || (x1 - x0) || ',' || (y1 - y0) end as band from q""")
 def page_bands(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
     base = spark.sql(_BASE, part=part)
@@ -128,7 +128,7 @@ def page_bands(spark, sf_dir):
     general = spark.createDataFrame([(0.25, 0.05)], "rel_top double, dx double")
     bands = geometry.crop_band(geometry.override_rect(base, general, spark.sql(_OWN, part=part), extra=True).withColumns({"w": F.lit(800), "h": F.lit(600)}))
     names = {"l": "rel_left", "t": "rel_top", "r": "rel_right", "b": "rel_bottom", "e": "extra_bottom_frac"}
-    return bands.select("p_partkey", *[F.round(v, 6).alias(k) for k, v in names.items()], F.concat_ws(",", "band.x", "band.y", "band.width", "band.height").alias("band")).withColumn("band", F.nullif("band", F.lit("")))
+    return bands.select("p_partkey", *[F.round(v, 9).alias(k) for k, v in names.items()], F.concat_ws(",", "band.x", "band.y", "band.width", "band.height").alias("band")).withColumn("band", F.nullif("band", F.lit("")))
 
 
 @query(r"""with f as (select p_partkey, 'Part ' || p_size || case when p_partkey > 50 then '.pdf' else '.PDF' end as name from part)
