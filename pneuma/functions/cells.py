@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fixed, parse_grade
+from .text import fixed, parse_grade, read
 
 # Rows and columns of the grid, in order (fixed values); a column's name here and its heading.
 ROWS = ["FVC", "FEV1", "FEV1/FVC", "VC", "FEV1/VC", "FEF25%-75%", "PEF", "MVV", "Grade FVC N", "Grade FEV1 N", "FET", "FIVC", "BEV"]
@@ -28,15 +28,20 @@ ANY_MEASURE, PERCENT, ZSCORE, GRADE = ("float", -9999.0, 9999.0, 2), ("percent",
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text.rlike(r"(?U)^\s|\s$"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def blank(c: Column) -> Column:
-    return strip(c) == ""
+    return ~F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
 
 
 def let(value: Column, use) -> Column:
-    """use(value), with the value computed once however often use() names it."""
+    """use(value), with the value computed once however often use() names it.
+
+    It also keeps use() out of the code of a whole stage, where a long expression in each of many columns makes a method
+    that the JVM does not compile.
+    """
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
@@ -62,17 +67,24 @@ def cell_spec(metric: Column, column: str) -> Column:
     return out.otherwise(_spec(ANY_MEASURE))
 
 
-def num(c: Column) -> Column:
-    """The number in a noisy text: "-0 49" is -0.49, a comma is a point, other signs are passed over; null if none."""
+def _noisy(c: Column) -> Column:
     s = F.translate(strip(c), ",", ".")
     s = F.regexp_replace(s, r"^\s*([+-]?\d+)\s+(\d{1,3})\s*$", "$1.$2")
     s = F.regexp_replace(s, r"[^0-9eE.+-]", "")
-    return F.regexp_extract(s, r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", 0).try_cast("double")
+    return read(F.regexp_extract(s, r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", 0))
+
+
+def num(c: Column) -> Column:
+    """The number in a noisy text: "-0 49" is -0.49, a comma is a point, other signs are passed over; null if none.
+
+    Most cells are blank or plain numbers, which need no mending.
+    """
+    return F.when(c.isNull() | (c == ""), F.lit(None).cast("double")).when(c.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), c.try_cast("double")).otherwise(let(c, _noisy))
 
 
 def strict_num(c: Column) -> Column:
     """A cell that is a number as a whole; null if it isn't, and NaN stays. blank() tells a blank cell from another text."""
-    return strip(c).try_cast("double")
+    return read(strip(c))
 
 
 def pick(c: Column, spec: Column) -> Column:

@@ -35,6 +35,8 @@ def severity(kind: Column, fev1: Column) -> Column:
 
 
 def sentence(kind: Column, degree: Column, bmi: Column) -> Column:
+    """The sentence of a pattern and a severity; a missing or NaN BMI adds nothing."""
+    bmi = number(bmi)
     # Sentences of the report (fixed values).
     advice = "perform lung volumes & diffusion capacity if clinically indicated."
     heavy = F.when(bmi >= RAISED_BMI, F.concat(F.lit(" The restrictive picture may be contributed by raised BMI (BMI "), bmi.cast("int").cast("string"), F.lit(")."))).otherwise("")

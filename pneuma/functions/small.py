@@ -102,6 +102,12 @@ def valid_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), two_digits(month), two_digits(day)), "yyyy-MM-dd")
 
 
+def valid_time(hour: Column, minute: Column, second: Column) -> Column:
+    """Seconds since midnight of a time of day, or null if there is none."""
+    whole = lambda c, n: (c >= 0) & (c < n)
+    return F.when(whole(hour, 24) & whole(minute, 60) & whole(second, 60), hour * 3600 + minute * 60 + second).cast("int")
+
+
 def merged_settings(own: Column, general: Column) -> Column:
     """A map of settings over one of defaults."""
     return F.map_concat(F.map_filter(general, lambda k, v: ~F.map_contains_key(own, k)), own)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import places
+
 
 def latest(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """The last value of each key."""
@@ -22,27 +24,12 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key).distinct(), key, "left_anti")
 
 
-def _places(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """df with _n, the place of each row in its key from 0, though a key holds any share of the rows.
-
-    Rows are dealt out in ranges of (key, seq) and numbered within a range; how many rows of its key lie in earlier
-    ranges comes from a table of one row for each key of a range.
-    """
-    ranged = df.repartitionByRange(key, seq).withColumn("_part", F.spark_partition_id()).checkpoint()  # two reads may sample other ranges
-    counts = ranged.groupBy("_part", key).agg(F.count("*").alias("_c"))
-    ahead = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col("_part").alias("_bpart"), F.col(key).alias("_key"), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
-    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part", key).orderBy(seq)) - 1)
-    met = numbered.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_bpart")))
-    return met.withColumn("_n", F.col("_own") + F.col("_before")).drop("_own", "_before", "_key", "_part", "_bpart")
-
-
 def unique_names(df: DataFrame, base: str, seq: str) -> DataFrame:
     """Names without clashes: the first keeps its own, the next ones get _1, _2 and so on, past names that are given.
 
     Numbers that make a name which is given as a base somewhere are passed over, in order.
     """
-    numbered = _places(df, base, seq)
+    numbered = places(df, base, seq)
     taken = df.select(F.regexp_extract(base, r"^(.*)_([0-9]+)$", 1).alias("_base"), F.regexp_extract(base, r"^(.*)_([1-9][0-9]*)$", 2).try_cast("long").alias("_k")).where("_k is not null").distinct()
     gaps = taken.groupBy("_base").agg(F.array_sort(F.collect_list("_k")).alias("_gaps"))
     met = numbered.join(gaps, F.col(base) == F.col("_base"), "left")

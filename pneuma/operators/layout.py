@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_cell
+from ..functions.text import clean_cell, has_digit
 
 
 def group_lines(tokens: DataFrame, max_gap: float, key: str = "case_no", at: str = "cy", tie: str = "pos") -> DataFrame:
@@ -30,6 +30,48 @@ def assign(tokens: DataFrame, windows: DataFrame, key: str = "case_no", at: str
     return least.select(key, tie, F.col("_row._idx").alias(idx), *[F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
+def token_parts(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> DataFrame:
+    """Tokens with what part of their page they are: header (down to body_y0) or body, label (body within 0.28 of the
+    width), number (has a digit), and their zone, pre left of split_x, else post. pages: key, w, body_y0, split_x."""
+    met = tokens.join(pages.select(key, F.col("w").alias("_w"), "body_y0", "split_x"), key)
+    body = F.col("cy") > F.col("body_y0")
+    zone = F.when(F.col("cx") < F.col("split_x"), "pre").otherwise("post")
+    return met.withColumns({"header": ~body, "body": body, "label": body & (F.col("cx") <= 0.28 * F.col("_w")), "number": has_digit(F.col("text")), "zone": zone}).drop("_w", "body_y0", "split_x")
+
+
+def in_body(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> DataFrame:
+    """Tokens under the header, each with its zone."""
+    met = tokens.join(pages.select(key, "body_y0", "data_x0", "split_x"), key).where(F.col("cy") > F.col("body_y0"))
+    return met.withColumn("zone", F.when(F.col("cx") < F.col("split_x"), "pre").otherwise("post"))
+
+
+def zone_cells(tokens: DataFrame, pages: DataFrame, rows: DataFrame, columns: DataFrame, key: str = "case_no", tie: str = "pos") -> DataFrame:
+    """key, tie, row_idx, zone, col_idx, text of each token that lies in a cell.
+
+    pages: key, body_y0, data_x0, split_x. rows: key, idx, lo, hi of cy. columns: key, zone, idx, lo, hi of cx. Tokens
+    left of data_x0 or above body_y0 are labels and headers. Both range joins are closed at both ends; on a shared edge
+    the lowest index wins. The columns of a case's post zone take part only if a token with a digit lies in that zone.
+
+    All joins and groups are within the case, so tokens are shuffled once.
+    """
+    body = in_body(tokens, pages, key)
+    shown = body.where((F.col("zone") == "post") & has_digit(F.col("text"))).select(key).distinct()
+    posts = columns.where("zone = 'post'").join(shown, key, "left_semi")  # EXISTS such a token in the case
+    enabled = columns.where("zone = 'pre'").unionByName(posts).select(key, "zone", F.col("idx").alias("_col"), F.col("lo").alias("_x0"), F.col("hi").alias("_x1"))
+    inside = body.where(F.col("cx") >= F.col("data_x0")).select(key, tie, "zone", "cx", "cy", "text")
+    by_row = inside.join(rows.select(key, F.col("idx").alias("_row"), F.col("lo").alias("_y0"), F.col("hi").alias("_y1")), key).where(F.col("cy").between(F.col("_y0"), F.col("_y1")))
+    in_row = by_row.groupBy(key, tie).agg(F.min(F.struct("_row", "zone", "cx", "text")).alias("_t")).select(key, tie, "_t.*")
+    by_column = in_row.join(enabled, [key, "zone"]).where(F.col("cx").between(F.col("_x0"), F.col("_x1")))
+    return by_column.groupBy(key, tie).agg(F.min(F.struct("_col", "_row", "zone", "text")).alias("_t")).select(key, tie, F.col("_t._row").alias("row_idx"), "_t.zone", F.col("_t._col").alias("col_idx"), "_t.text")
+
+
+def post_warning(tokens: DataFrame, pages: DataFrame, heads: DataFrame, key: str = "case_no") -> DataFrame:
+    """key and warning of cases that have a POST-BEST header and no number in their post zone. Its words are fixed values."""
+    shown = in_body(tokens, pages, key).where((F.col("zone") == "post") & has_digit(F.col("text"))).select(key).distinct()
+    headed = heads.where("col = 'POST-BEST'").select(key).distinct().join(pages.select(key), key, "left_semi")
+    return headed.join(shown, key, "left_anti").withColumn("warning", F.lit("POST section appears missing; POST columns left blank."))
+
+
 def assemble(tokens: DataFrame, keys: list[str], text: str = "text", tie: str = "pos", clean: bool = False) -> DataFrame:
     """The text of each cell, its tokens in order joined by spaces, and their number n; with clean mended after each token."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(tie, text))), lambda t: t[text])
@@ -87,14 +129,16 @@ def k_medians(df: DataFrame, k: int, value: str = "x", key: str = "case_no", rou
                 c[j] = c[j - 1] + 1e-3
         return c
 
+    kind = df.schema[key].dataType
+
     def run(keys, table):
         import pyarrow as pa
 
         xs = np.sort(table[value].drop_null().to_numpy().astype(float))
         found = centres(xs) if len(xs) else np.zeros(0)
-        return pa.table({key: pa.array([keys[0].as_py()] * len(found), pa.int64()), "idx": pa.array(range(len(found)), pa.int32()), "centre": pa.array(found, pa.float64())})
+        return pa.table({key: pa.array([keys[0].as_py()] * len(found), keys[0].type), "idx": pa.array(range(len(found)), pa.int32()), "centre": pa.array(found, pa.float64())})
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, f"{key} long, idx int, centre double")
+    return df.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, f"`{key}` {kind.simpleString()}, idx int, centre double")
 
 
 def merge_neighbours(tokens: DataFrame, keys: list[str], max_gap: float = 18, tie: str = "pos") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import places
+
 
 def confusion(df: DataFrame, label: str = "label", truth: str = "truth", guess: str = "guess") -> DataFrame:
     """tn, fp, fn, tp of each label."""
@@ -63,6 +67,26 @@ def split_of(key: Column, test: float = 0.1, val: float = 0.11) -> Column:
     return F.when(at < test, "test").when(at < test + (1 - test) * val, "val").otherwise("train")
 
 
+def exact_split(df: DataFrame, key: str, seed: int = 42, test: float = 0.1, val: float = 0.11) -> DataFrame:
+    """df with split: exactly ceil(test * n) rows are test, ceil(val * rest) of the others val, and what is left train.
+
+    Rows stand in the order of the sha256 of "<seed>:<key>", then of the key; the first are test, the next val. Their
+    places come from sizes of ranges, not from one sorted task. A null key is an empty one; rows with the same key stand
+    beside each other, in any order. The driver sees the number of rows.
+    """
+    n = df.count()
+    tests = math.ceil(test * n)
+    vals = math.ceil(val * (n - tests))
+    told = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"), 256)
+    placed = places(df.withColumns({"_all": F.lit(0), "_hash": told}), "_all", ["_hash", key])
+    return placed.withColumn("split", F.when(F.col("_n") < tests, "test").when(F.col("_n") < tests + vals, "val").otherwise("train")).drop("_all", "_hash", "_n")
+
+
+def of_mode(df: DataFrame, mode: str) -> DataFrame:
+    """The rows of a split: train, val or test; any other mode has all rows."""
+    return df.where(F.col("split") == mode) if mode in ("train", "val", "test") else df
+
+
 def window_count(events: DataFrame, ms: int, key: str, at: str) -> DataFrame:
     """Events of the key in the last ms milliseconds, both ends included."""
     w = Window.partitionBy(key).orderBy(at).rangeBetween(-ms, 0)

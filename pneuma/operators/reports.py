@@ -26,6 +26,22 @@ def predictions(outputs: DataFrame, name: str = "name", logits: str = "logits")
     return outputs.select(name, flag(out(1)).alias("exp_label"), flag(out(2)).alias("insp_label"), share(out(1)).alias("exp_conf"), share(out(2)).alias("insp_conf"))
 
 
+def aligned(df: DataFrame, arrays: list[str], keep: list[str], at: str = "place") -> DataFrame:
+    """Parallel arrays as rows: keep, the place from 0, and the element of each array there.
+
+    There are as many rows as the longest array has elements; where a shorter or null one has none it is null. Rows
+    whose arrays are all empty or null give none.
+    """
+    filled = [F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)).alias(a) for a in arrays]
+    zipped = df.select(*keep, *filled).select(*keep, F.arrays_zip(*arrays).alias("_rows"))
+    return zipped.select(*keep, F.posexplode("_rows").alias(at, "_row")).select(*keep, at, "_row.*")
+
+
+def without(items: Column, item: Column) -> Column:
+    """A list without any occurrence of an item; a null item takes out nothing."""
+    return F.coalesce(F.array_remove(items, item), items)
+
+
 def assemble(cases: DataFrame, classes: DataFrame, rows: DataFrame, predicted: DataFrame, key: str = "case_no") -> DataFrame:
     """One row a case: its classification (null without one), key rows (empty without any), flags and confidences."""
     told = classes.select(key, F.struct(*[c for c in classes.columns if c != key]).alias("classification"))
@@ -107,12 +123,13 @@ def prefix_search(words: DataFrame, prefix: str, word: str = "word", seq: str =
     return hits.orderBy(F.char_length("key"), "key")
 
 
-def calendar(spark, first: str, last: str) -> DataFrame:
-    """A row for each day: weekday (Monday is 0), number from the first, name of the month, days in it, its page."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
-    start = F.lit(first).cast("date")
-    page = (F.year("day") - F.year(start)) * 12 + F.month("day") - 1
-    return days.select("day", F.weekday("day").alias("weekday"), F.date_diff("day", start).alias("n"), F.date_format("day", "MMMM").alias("month"), F.day(F.last_day("day")).alias("days"), page.alias("page"))
+def calendar(dates: DataFrame, date: str) -> DataFrame:
+    """A row for each day from the first to the last date of a table: weekday (Monday is 0), number from the first, name of
+    the month, days in it, its page. A table without dates gives none; the days are as many as its dates span."""
+    ends = dates.agg(F.min(F.col(date).cast("date")).alias("_first"), F.max(F.col(date).cast("date")).alias("_last")).where("_first is not null")
+    days = ends.select("_first", F.explode(F.sequence("_first", "_last")).alias("day"))
+    page = (F.year("day") - F.year("_first")) * 12 + F.month("day") - 1
+    return days.select("day", F.weekday("day").alias("weekday"), F.date_diff("day", "_first").alias("n"), F.date_format("day", "MMMM").alias("month"), F.day(F.last_day("day")).alias("days"), page.alias("page"))
 
 
 def spread_sides(boxes: DataFrame, swap: bool = False, key: str = "case_no", tie: str = "pos") -> DataFrame:

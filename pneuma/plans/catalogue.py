@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import clinical, colour, text
 from ..operators import batch, boxes, labels, layout, metrics, reports
 from ..sources import files
-from . import grid, pages, told
+from . import further, grid, pages, told
 
-QUERIES: dict = grid.QUERIES | pages.QUERIES | told.QUERIES
-ORACLES: dict[str, str] = grid.ORACLES | pages.ORACLES | told.ORACLES
+QUERIES: dict = grid.QUERIES | pages.QUERIES | told.QUERIES | further.QUERIES
+ORACLES: dict[str, str] = grid.ORACLES | pages.ORACLES | told.ORACLES | further.ORACLES
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,10 +32,10 @@ _TOKENS = "select user_id as case_no, event_id as pos, epoch(ts)::double - min(e
 
 
 def _tokens(spark, sf_dir):
-    from pyspark.sql import Window
-
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("case_no"), F.col("event_id").alias("pos"), (at - F.min(at).over(Window.partitionBy("user_id"))).alias("cy"), F.col("value").alias("x"), F.col("event_type").alias("text"))
+    events = _table(spark, sf_dir, "events")
+    first = events.groupBy("user_id").agg(F.min(at).alias("_at0"))  # one row a user beside the events, which are not sorted
+    return events.join(first, "user_id").select(F.col("user_id").alias("case_no"), F.col("event_id").alias("pos"), (at - F.col("_at0")).alias("cy"), F.col("value").alias("x"), F.col("event_type").alias("text"))
 
 
 @query(f"""with g as (select *, case when cy - lag(cy) over (partition by case_no order by cy, pos) > 1800 then 1 else 0 end as o from ({_TOKENS})),
@@ -128,9 +128,9 @@ def box_extent(spark, sf_dir):
     return boxes.extent(_boxes(spark, sf_dir))
 
 
-@query(f"select case_no, pos from ({_BOXES}) where w * h / 1000000.0 between 0.005 and 0.05 and w / h between 0.6 and 2.8 and x >= 30 and y >= 450")
+@query(f"select case_no, pos from ({_BOXES}) where w * h / 1000000.0 between 0.005 and 0.05 and w / h between 0.6 and 2.8 and x >= 30 and y >= 5")
 def box_filter(spark, sf_dir):
-    return boxes.plausible(_boxes(spark, sf_dir), 1e6, 0.005, 0.05, left=30, top=450).select("case_no", "pos")
+    return boxes.plausible(_boxes(spark, sf_dir), 1e6, 0.005, 0.05, left=30, top=5).select("case_no", "pos")
 
 
 @query()
@@ -257,9 +257,11 @@ def training_splits(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", metrics.split_of(F.col("o_orderkey")).alias("split"))
 
 
-@query("with recursive d(day) as (select date '2023-12-28' union all select (day + interval 1 day)::date from d where day < date '2024-03-02') select day, (isodow(day) - 1)::int as weekday, date_diff('day', date '2023-12-28', day)::int as n, monthname(day) as month, day(last_day(day))::int as days, ((year(day) - 2023) * 12 + month(day) - 1)::int as page from d")
+@query("""with recursive e as (select min(o_orderdate)::date as a, max(o_orderdate)::date as z from orders), d(day) as (select a from e union all select (day + interval 1 day)::date from d, e where day < z)
+    select day, (isodow(day) - 1)::int as weekday, date_diff('day', a, day)::int as n, monthname(day) as month, day(last_day(day))::int as days, ((year(day) - year(a)) * 12 + month(day) - month(a) + month(a) - 1)::int as page from d, e""")
 def calendar(spark, sf_dir):
-    return reports.calendar(spark, "2023-12-28", "2024-03-02").withColumn("day", F.col("day").cast("timestamp_ntz"))
+    """The days that orders span."""
+    return reports.calendar(_table(spark, sf_dir, "orders"), "o_orderdate").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("select key, arg_max(word, seq) as word from (select c_name as n, lower(split_part(c_mktsegment, ' ', 1)) as key, c_mktsegment as word, c_custkey as seq from customer) where regexp_full_match(key, '[a-z]*') group by key union all select key, arg_max(word, seq) from (select lower(n_name) as key, n_name as word, n_nationkey as seq from nation) where regexp_full_match(key, '[a-z]*') and starts_with(key, 'b') group by key")

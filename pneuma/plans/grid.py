@@ -27,20 +27,20 @@ def query(sql: str | None = None):
     return add
 
 
-# Rows by line number, in two sets (fixed values).
-_FIRST = dict(enumerate(["FVC", "FEV1", "FEV1/FVC", "VC", "FEV1/VC", "FEF25%-75%", "PEF"], 1))
-_SECOND = dict(enumerate(["MVV", "Grade FVC N", "Grade FEV1 N", "FET", "FIVC", "BEV"], 1))
+# Rows by line number, and by line number and 7 once more (fixed values).
+_NAMED = dict(enumerate(["FVC", "FEV1", "FEV1/FVC", "VC", "FEV1/VC", "FEF25%-75%", "PEF", "MVV", "Grade FVC N", "Grade FEV1 N", "FET", "FIVC", "BEV"], 1))
 
 
 def _dec(x: str, n: int = 2) -> str:
     return f"cast(cast({x} as decimal(12, {n})) as string)"
 
 
-def _base(names: dict, shift: int) -> str:
-    metric = " ".join(f"when {k} then '{v}'" for k, v in names.items())
-    return f"""select l_orderkey as case_no, case l_linenumber {metric} end as metric, l_linenumber + {shift} as pos, min(l_quantity) as q, max(l_quantity) as r,
-        min(round(l_discount * 100)) as d, min(round(l_tax * 100)) as t, floor(min(l_extendedprice) / 200) as p, min(l_returnflag) as f, min(l_partkey) as k
-        from {{lineitem}} where l_linenumber <= {len(names)} group by l_orderkey, l_linenumber"""
+# One row for each line of an order, and one more of it; the flag goes through its code, as numbers are aggregated by hash.
+_BASE = f"""select case_no, case pos {' '.join(f"when {k} then '{v}'" for k, v in _NAMED.items())} end as metric, pos, q, r, d, t, p, chr(f) as f, k from (
+    select case_no, line + shift as pos, q, r, d, t, p, f, k from (
+    select l_orderkey as case_no, l_linenumber as line, min(l_quantity) as q, max(l_quantity) as r,
+        min(round(l_discount * 100)) as d, min(round(l_tax * 100)) as t, floor(min(l_extendedprice) / 200) as p, min(ascii(l_returnflag)) as f, min(l_partkey) as k, {{two}} as shift
+        from {{lineitem}} group by l_orderkey, l_linenumber) as a) as b where pos <= 13"""
 
 
 _GRID = f"""select case_no, metric, pos,
@@ -56,8 +56,9 @@ _GRID = f"""select case_no, metric, pos,
     case when d = 2 then 'n/a' else {_dec('50 + 2 * r', 1)} end as post_pct,
     {_dec('(t - 4) * 5 / 10')} as post_z,
     case when d = 7 then '' else {_dec('q - 25', 1)} end as pct_chg
-    from ({_base(_FIRST, 0)} union all {_base(_SECOND, 7)}) as b"""
-_SQL_GRID = _GRID.replace("{lineitem}", "lineitem")
+    from ({_BASE}) as c"""
+_SQL_GRID = _GRID.replace("{lineitem}", "lineitem").replace("{two}", "unnest([0, 7])")
+_GRID = _GRID.replace("{two}", "explode(array(0, 7))")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -146,8 +147,8 @@ _FULL = f"""select case_no, list_position([{', '.join(f"'{m}'" for m in cells.RO
     from (select distinct case_no from ({_SQL_GRID})) cross join (select unnest([{', '.join(f"'{m}'" for m in cells.ROWS)}]) as metric) left join ({_SQL_GRID}) using (case_no, metric)"""
 
 
-def _note(seq: int, when: str, message: str) -> str:
-    return f"case when coalesce({when}, false) then list_append(warnings, {{'seq': {seq}, 'message': {message}}}) else warnings end as warnings"
+def _note(seq: int, when: str, message: str, turn: int = 0) -> str:
+    return f"case when coalesce({when}, false) then list_append(warnings, {{'seq': {seq}, 'turn': {turn}, 'message': {message}}}) else warnings end as warnings"
 
 
 def _over(metric: str, column: str) -> str:
@@ -171,8 +172,8 @@ class _Chain:
 _STRICT = r"^\s*([A-Fa-f])\s+([-+]?\d+(?:\.\d+)?)\s*$"
 
 
-def _split_sql(chain: _Chain) -> None:
-    for side in ("pre_best", "post_best"):
+def _split_sql(chain: _Chain, seq: int) -> None:
+    for post, side in enumerate(("pre_best", "post_best")):
         chain.add([], f"{_over('Grade FVC N', side)} as g0, {_over('Grade FEV1 N', side)} as g1")
         grade, move, exact = {}, {}, {}
         for g in ("g0", "g1"):
@@ -180,66 +181,66 @@ def _split_sql(chain: _Chain) -> None:
             loose = rf"regexp_matches(upper({g}), '[A-F]') and regexp_matches({g}, '\d')"
             grade[g] = rf"case when {exact[g]} then upper(regexp_extract({g}, '{_STRICT}', 1)) when {loose} then coalesce(nullif(regexp_extract(upper(trim({g})), '\b([A-F])\b', 1), ''), {g}) else {g} end"
             move[g] = f"case when {exact[g]} then regexp_extract({g}, '{_STRICT}', 2) when {loose} then {_fmt(_float(g), 2)} end"
-        for g, name in (("g0", "Grade FVC N"), ("g1", "Grade FEV1 N")):
+        for k, (g, name) in enumerate((("g0", "Grade FVC N"), ("g1", "Grade FEV1 N"))):
             takes = f"metric = 'FET' and trim({side}) = '' and ({move[g]}) is not null"
-            chain.add([_note(0, takes, f"case when {exact[g]} then 'Grade splitter: moved ' else 'Grade splitter (soft): moved ' end || ({move[g]}) || ' from {name}/{HEADINGS[side]} to FET/{HEADINGS[side]}'"),
+            chain.add([_note(seq, takes, f"case when {exact[g]} then 'Grade splitter: moved ' else 'Grade splitter (soft): moved ' end || ({move[g]}) || ' from {name}/{HEADINGS[side]} to FET/{HEADINGS[side]}'", 2 * k + post),
                        f"case when {takes} then {move[g]} when metric = '{name}' then {grade[g]} else {side} end as {side}"])
         chain.add(["warnings as warnings"], drop="g0, g1")
 
 
-def _realign_sql(chain: _Chain) -> None:
-    for side in ("pre_best", "post_best"):
+def _realign_sql(chain: _Chain, seq: int) -> None:
+    for post, side in enumerate(("pre_best", "post_best")):
         chain.add([], rf"{_over('FVC', side)} as x0, {_over('FEV1', side)} as x1, regexp_extract_all({_over('FEV1/FVC', side)}, '[-+]?\d+(?:\.\d+)?') as xs")
         moved = "trim(x0) = '' and trim(x1) = '' and len(xs) >= 2"
-        chain.add([_note(1, f"{moved} and metric = 'FEV1/FVC'", f"'Row realign: pulled ' || xs[1] || ',' || xs[2] || ' from FEV1/FVC/{HEADINGS[side]} into FVC+FEV1'"),
+        chain.add([_note(seq, f"{moved} and metric = 'FEV1/FVC'", f"'Row realign: pulled ' || xs[1] || ',' || xs[2] || ' from FEV1/FVC/{HEADINGS[side]} into FVC+FEV1'", post),
                    f"case when {moved} and metric = 'FVC' then xs[1] when {moved} and metric = 'FEV1' then xs[2] when {moved} and metric = 'FEV1/FVC' then '' else {side} end as {side}"], drop="x0, x1, xs")
 
 
 def _derive_sql(chain: _Chain, seq: int) -> None:
-    for side in ("pre_best", "post_best"):
+    for post, side in enumerate(("pre_best", "post_best")):
         chain.add([], f"nullif({_float(_over('FVC', side))}, 0) as fvc, nullif({_float(_over('FEV1', side))}, 0) as fev, nullif({_float(_over('VC', side))}, 0) as vc, {_num(side)} as cur")
         off = lambda x: f"{x} is not null and (cur is null or cur < 20 or cur > 150 or abs(cur - {x}) >= 8)"
         put = f"case when metric = 'FEV1/FVC' and {off('round_even(fev / fvc * 100, 0)')} then round_even(fev / fvc * 100, 0)::bigint::varchar when metric = 'FEV1/VC' and {off('(fev / vc * 100)')} then {_fmt('fev / vc * 100', 2)} end"
         chain.add([], f"{put} as put")
-        chain.add([_note(seq, "put is not null", f"'Derived {HEADINGS[side]} ' || metric || '=' || put"), f"coalesce(put, {side}) as {side}"], drop="fvc, fev, vc, cur, put")
+        chain.add([_note(seq, "put is not null", f"'Derived {HEADINGS[side]} ' || metric || '=' || put", post), f"coalesce(put, {side}) as {side}"], drop="fvc, fev, vc, cur, put")
 
 
 def _repaired_sql(strict: bool) -> str:
     gone = {c: "metric = 'MVV'" if c in ("pre_best", "post_best") else f"metric = 'MVV' or not ({_FREE})" for c in COLUMNS}
-    chain = _Chain(f"select case_no, row_no, metric, {', '.join(f'''case when {gone[c]} then '' else {c} end as {c}''' for c in COLUMNS)}, []::struct(seq int, message varchar)[] as warnings from ({_FULL})")
-    for _ in range(2):
-        _split_sql(chain), _realign_sql(chain), _derive_sql(chain, 2)
+    chain = _Chain(f"select case_no, row_no, metric, {', '.join(f'''case when {gone[c]} then '' else {c} end as {c}''' for c in COLUMNS)}, []::struct(seq int, turn int, message varchar)[] as warnings from ({_FULL})")
+    for seqs in ((0, 1, 2), (3, 3, 3)):
+        _split_sql(chain, seqs[0]), _realign_sql(chain, seqs[1]), _derive_sql(chain, seqs[2])
     chain.add([], f"{_num('lln')} as x, {_num('pred')} as y")
     chain.add([], "case when y > 0 and x > y * 1.10::double then case when x / 10 <= y * 1.10::double then x / 10 when x / 100 <= y * 1.10::double then x / 100 when x / 1000 <= y * 1.10::double then x / 1000 end end as z")
     chain.add([], f"{_shown_sql('z', 'lln')} as put")
-    chain.add([_note(3, "put is not null", "'Constraint fix: ' || metric || ' LLN scaled from ' || x::varchar || ' to ' || z::varchar"), "coalesce(put, lln) as lln"], drop="x, y, z, put")
+    chain.add([_note(4, "put is not null", "'Constraint fix: ' || metric || ' LLN scaled from ' || x::varchar || ' to ' || z::varchar"), "coalesce(put, lln) as lln"], drop="x, y, z, put")
     chain.add([], f"{_num('pre_best')} as x, {_num('post_best')} as y, {_num('pct_chg')} as z")
     chain.add([], f"case when x <> 0 and (y is null or y / x < 0.3::double or y / x > 2) then {_shown_sql('(x * (1 + z / 100))', 'post_best')} end as put")
-    chain.add([_note(4, "put is not null and y is not null", f"'POST-BEST fix: ' || metric || ' replaced ' || {_fmt('y', 2)} || '->' || {_fmt('put::double', 2)} || ' using %CHG'"), "coalesce(put, post_best) as post_best"], drop="x, y, z, put")
-    _derive_sql(chain, 5)
-    for best, pct in (("pre_best", "pre_pct"), ("post_best", "post_pct")):
+    chain.add([_note(5, "put is not null and y is not null", f"'POST-BEST fix: ' || metric || ' replaced ' || {_fmt('y', 2)} || '->' || {_fmt('put::double', 2)} || ' using %CHG'"), "coalesce(put, post_best) as post_best"], drop="x, y, z, put")
+    _derive_sql(chain, 6)
+    for post, (best, pct) in enumerate((("pre_best", "pre_pct"), ("post_best", "post_pct"))):
         chain.add([], f"{_num(pct)} as x, {_num(best)} / nullif({_num('pred')}, 0) * 100 as y")
         chain.add([], f"case when {_FREE} and y is not null and (x is null or abs(x - y) >= 6) then {_fmt('y', 1)} end as put")
-        chain.add([_note(6, "put is not null and x is not null", f"'%Pred fix: ' || metric || ' {HEADINGS[pct]} replaced ' || {_fmt('x', 1)} || '->' || put"), f"coalesce(put, {pct}) as {pct}"], drop="x, y, put")
-    for best, pct in (("pre_best", "pre_pct"), ("post_best", "post_pct")):
+        chain.add([_note(7, "put is not null and x is not null", f"'%Pred fix: ' || metric || ' {HEADINGS[pct]} replaced ' || {_fmt('x', 1)} || '->' || put", post), f"coalesce(put, {pct}) as {pct}"], drop="x, y, put")
+    for post, (best, pct) in enumerate((("pre_best", "pre_pct"), ("post_best", "post_pct"))):
         chain.add([], f"{_num(best)} as x, nullif({_num('pred')}, 0) as y, {_num(pct)} as z")
         chain.add([], f"case when {_FREE} and y is not null and z is not null and (x is null or x / y > 2 or x / y < 0.3::double) then {_fmt('y * (z / 100)', 2)} end as put")
-        chain.add([_note(7, "put is not null and x is not null", f"'BEST fix: ' || metric || ' {HEADINGS[best]} replaced ' || {_fmt('x', 2)} || '->' || put || ' using %Pred'"), f"coalesce(put, {best}) as {best}"], drop="x, y, z, put")
+        chain.add([_note(8, "put is not null and x is not null", f"'BEST fix: ' || metric || ' {HEADINGS[best]} replaced ' || {_fmt('x', 2)} || '->' || put || ' using %Pred'", post), f"coalesce(put, {best}) as {best}"], drop="x, y, z, put")
     chain.add([], f"{_num('pre_best')} as x, {_num('post_best')} as y, {_num('pct_chg')} as z")
     chain.add([], f"case when {_FREE} and x <> 0 and y is not null and (z is null or abs(z - (y - x) / x * 100) >= 1.2::double) then {_fmt('(y - x) / x * 100', 1)} end as put")
-    chain.add([_note(8, "put is not null and z is not null", f"'%CHG fix: ' || metric || ' %CHG replaced ' || {_fmt('z', 1)} || '->' || put || ' from BEST values'"), "coalesce(put, pct_chg) as pct_chg"], drop="x, y, z, put")
-    for best, z in (("pre_best", "pre_z"), ("post_best", "post_z")):
+    chain.add([_note(9, "put is not null and z is not null", f"'%CHG fix: ' || metric || ' %CHG replaced ' || {_fmt('z', 1)} || '->' || put || ' from BEST values'"), "coalesce(put, pct_chg) as pct_chg"], drop="x, y, z, put")
+    for post, (best, z) in enumerate((("pre_best", "pre_z"), ("post_best", "post_z"))):
         chain.add([], f"{_num(best)} as x, {_num('pred')} as y, {_num(z)} as w")
         clear = "abs(x - y) >= greatest(0.02::double, 0.01::double * greatest(1.0::double, abs(y)))"
         chain.add([], f"case when {_FREE} and {clear} and (x < y and w > 0 or x > y and w < 0) then {_fmt('-w', 2)} end as put")
-        chain.add([_note(9, "put is not null", f"'Z-sign fix: ' || metric || ' {HEADINGS[z]} flipped to ' || case when x < y then 'negative (best<pred)' else 'positive (best>pred)' end"), f"coalesce(put, {z}) as {z}"], drop="x, y, w, put")
+        chain.add([_note(10, "put is not null", f"'Z-sign fix: ' || metric || ' {HEADINGS[z]} flipped to ' || case when x < y then 'negative (best<pred)' else 'positive (best>pred)' end", post), f"coalesce(put, {z}) as {z}"], drop="x, y, w, put")
     if strict:
-        for best, z in (("pre_best", "pre_z"), ("post_best", "post_z")):
+        for post, (best, z) in enumerate((("pre_best", "pre_z"), ("post_best", "post_z"))):
             chain.add([], f"{_num(best)} as x, {_num('pred')} as y, {_num('lln')} as l, {_num(z)} as w")
             sound = f"{_FREE} and y > l and l > 0 and l / y between 0.15::double and 1.1::double and x / y between 0.05::double and 2.5::double"
             told = lambda against, name, v: f"'STRICT: ' || metric || ' {HEADINGS[z]} violates BEST{against} (best=' || {_fmt('x', 2)} || ', {name}=' || {_fmt(v, 2)} || ', z=' || {_fmt('w', 2)} || '); blanked'"  # noqa: B023, E731
             chain.add([], f"case when {sound} and x < l - 0.01::double and w > -1.2::double then {told('<LLN', 'lln', 'l')} when {sound} and x > y + 0.01::double and w < -0.5::double then {told('>Pred', 'pred', 'y')} end as put")
-            chain.add([_note(10, "put is not null", "put"), f"case when put is not null then '' else {z} end as {z}"], drop="x, y, l, w, put")
+            chain.add([_note(11, "put is not null", "put", post), f"case when put is not null then '' else {z} end as {z}"], drop="x, y, l, w, put")
     return chain.done(f"case_no, row_no, metric, {', '.join(COLUMNS)}, array_to_string(list_transform(warnings, lambda w: w.message), chr(10)) as notes")
 
 
@@ -261,7 +262,7 @@ def _quality_sql() -> str:
     steps, last = _repaired_sql(False).rsplit(" select ", 1)[0], _repaired_sql(False).rsplit(" from ", 1)[1]
     filled = " or ".join(f"trim({c}) <> ''" for c in COLUMNS)
     return f"""{steps} select case_no, rows_found, coalesce(notes, '') as notes from (select case_no, count(*) filter (where {filled}) as rows_found from {last} group by case_no)
-        left join (select case_no, string_agg(w.message, chr(10) order by w.seq, row_no, w.message) as notes from (select case_no, row_no, unnest(warnings) as w from {last}) group by case_no) using (case_no)"""
+        left join (select case_no, string_agg(w.message, chr(10) order by w.seq, w.turn, row_no) as notes from (select case_no, row_no, unnest(warnings) as w from {last}) group by case_no) using (case_no)"""
 
 
 @query(_quality_sql())
@@ -272,7 +273,7 @@ def quality_of_cases(spark, sf_dir):
 # Readings of three columns: as it is, without the point, with another sign or first digit, and once more as it is.
 _READ = {"Pre_Z-Score": ("pre_z", "replace(pre_z, '.', '')", "case when pre_z like '-%' then substring(pre_z, 2) else '-' || pre_z end", "pre_z"),
          "LLN": ("lln", "replace(lln, '.', '')", "'1' || lln", "substring(lln, 2)"), "Pred": ("pred", "replace(pred, '.', '')", "'1' || pred", "pred")}
-_READINGS = " union all ".join(f"select case_no, metric, '{c}' as col, {k} as cand_pos, {x} as text from ({_GRID})" for c, xs in _READ.items() for k, x in enumerate(xs))
+_READINGS, _SQL_READINGS = (" union all ".join(f"select case_no, metric, '{c}' as col, {k} as cand_pos, {x} as text from ({grid})" for c, xs in _READ.items() for k, x in enumerate(xs)) for grid in (_GRID, _SQL_GRID))
 
 
 def _ranked_sql() -> str:
@@ -295,7 +296,7 @@ def _ranked_sql() -> str:
             select *, {target} as zt from (select *, {sign} as sg from (
             select n.case_no, n.metric, n.cand_pos, n.text, trim(r.text) as s, {kind.replace('metric', 'n.metric')} as kind, {_num('n.text')} as v, {_num('g.pre_best')} as b, {_num('g.pred')} as y, {_num('g.lln')} as l, {_num('g.pre_pct' if z else 'g.post_pct')} as pc
             from ({normal}) n join r on r.case_no = n.case_no and r.metric = n.metric and r.cand_pos = n.cand_pos and r.col = '{c}' join g on g.case_no = n.case_no and g.metric = n.metric)))) group by case_no, metric""")
-    return f"with g as ({_SQL_GRID}), r as ({_READINGS.replace('{lineitem}', 'lineitem')}) " + " union all ".join(f"({p})" for p in parts)
+    return f"with g as ({_SQL_GRID}), r as ({_SQL_READINGS}) " + " union all ".join(f"({p})" for p in parts)
 
 
 @query(_ranked_sql())
@@ -316,14 +317,18 @@ def _flag_sql() -> str:
         if c == "lln":
             rules.append("v > y + 0.01::double or y > 0 and v / y < 0.2::double")
         flag = " or ".join(f"coalesce({r}, false)" for r in rules)
-        out.append(f"""select case_no, metric, '{HEADINGS[c]}' as col, coalesce(text, '') = '' or {flag} as flag from (
-            select n.case_no, n.metric, n.text, {_num('n.text')} as v, {_num('g.' + best)} as b, {_num('g.pred')} as y, {_num('g.lln')} as l from ({_normal_sql(c)}) n join g using (case_no, pos))""")
-    return f"with g as ({_SQL_GRID}) select case_no, metric, count(*) filter (where flag) as n, string_agg(col, ',' order by col) filter (where flag) as cols from ({' union all '.join(out)}) group by case_no, metric"
+        seen = ("true" if c in ("pre_best", "post_best") else _FREE) + (" and post" if c.startswith("post") or c == "pct_chg" else "")
+        out.append(f"""select case_no, metric, '{HEADINGS[c]}' as col, {seen} and (coalesce(text, '') = '' or {flag}) as flag from (
+            select n.case_no, n.metric, n.text, {_num('n.text')} as v, {_num('g.' + best)} as b, {_num('g.pred')} as y, {_num('g.lln')} as l, g.post from ({_normal_sql(c)}) n join g using (case_no, pos))""")
+    return f"with g as (select *, bool_or(post_z not like '-%') over (partition by case_no) as post from ({_SQL_GRID})) select case_no, metric, count(*) filter (where flag) as n, string_agg(col, ',' order by col) filter (where flag) as cols from ({' union all '.join(out)}) group by case_no, metric"
 
 
 @query(_flag_sql())
 def suspicious_cells(spark, sf_dir):
-    flagged = repair.suspicious(grid(spark, sf_dir))
+    """Cells to be read again; a case has a part after the bronchodilator if any of its rows has a z-score there from 0 on."""
+    rows = grid(spark, sf_dir)
+    shown = rows.groupBy("case_no").agg(F.bool_or(~F.col("post_z").startswith("-")).alias("post"))
+    flagged = repair.suspicious(rows.join(shown, "case_no"), post="post")
     names = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"re_{c}"), F.lit(HEADINGS[c])) for c in COLUMNS])))
     return flagged.select("case_no", "metric", F.size(names).cast("long").alias("n"), F.nullif(F.array_join(names, ","), F.lit("")).alias("cols"))
 

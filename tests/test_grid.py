@@ -107,6 +107,27 @@ def test_single_rules_and_quality(spark):
     assert repair.repair(repair.complete(_grid(spark, []))).count() == 0
 
 
+def test_warnings_finish_one_side_before_the_next(spark):
+    off = {"pre_best": "3.00", "post_best": "3.00", "pred": "4.00", "pre_z": "1.50", "post_z": "1.50", "pre_pct": "75.0", "post_pct": "75.0", "pct_chg": "0.0"}
+    rows = [(1, "FVC", off), (1, "FEV1", off | {"pre_best": "2.00", "post_best": "2.00", "pre_pct": "50.0", "post_pct": "50.0"}), (1, "FEV1/FVC", {}), (1, "VC", {"pre_best": "4.00"}), (1, "Grade FVC N", {"post_best": "A 3"}), (1, "Grade FEV1 N", {"pre_best": "B 4"})]
+    told = repair.quality(repair.repair(repair.complete(_grid(spark, rows)))).first().warnings
+    assert told == [
+        "Grade splitter: moved 3 from Grade FVC N/POST-BEST to FET/POST-BEST", "Grade splitter: moved 4 from Grade FEV1 N/PRE-BEST to FET/PRE-BEST",
+        "Derived PRE-BEST FEV1/FVC=67", "Derived PRE-BEST FEV1/VC=50.00", "Derived POST-BEST FEV1/FVC=67",
+        "Z-sign fix: FVC Pre_Z-Score flipped to negative (best<pred)", "Z-sign fix: FEV1 Pre_Z-Score flipped to negative (best<pred)",
+        "Z-sign fix: FVC Post_Z-Score flipped to negative (best<pred)", "Z-sign fix: FEV1 Post_Z-Score flipped to negative (best<pred)",
+    ]
+
+
+def test_cells_that_are_never_read_are_not_suspicious(spark):
+    rows = _grid(spark, [(1, "VC", {}), (1, "FVC", {}), (2, "FVC", {}), (1, "MVV", {})]).withColumn("post", F.col("case_no") == 1)
+    flags = lambda df: {(r.case_no, r.metric): [c for c in COLUMNS if r[f"re_{c}"]] for r in df.collect()}
+    before = ["pre_best", "lln", "pred", "pre_pct", "pre_z"]
+    want = {(1, "VC"): ["pre_best", "post_best"], (1, "FVC"): COLUMNS, (2, "FVC"): before, (1, "MVV"): COLUMNS}
+    assert flags(repair.suspicious(rows, post="post")) == want == flags(repair.suspicious(rows, "force", post="post"))
+    assert flags(repair.suspicious(rows))[2, "FVC"] == COLUMNS
+
+
 def test_classification_tells_missing_values_apart(spark):
     z = lambda k, m, pre, post, chg: (k, m, 1, pre, post, chg)
     rows = [
