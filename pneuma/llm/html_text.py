@@ -22,8 +22,12 @@ CLOSES_P = BLOCK - frozenset("caption dd dt legend li optgroup option summary tb
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
 HIDES = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt", "dd"), "table": ("p", "tr", "td", "th", "thead", "tbody"), "select": ("option",), "button": ("p",), "td": ("p",), "th": ("p",)}
 # Never seen; never part of an article, unless they hold it (a header counts only outside of one) (fixed values).
-UNSEEN = frozenset("script style noscript template iframe svg object canvas head title audio video textarea input select button".split())
-DROPPED = frozenset("nav footer aside form menu dialog search".split())
+UNSEEN = frozenset("script style template iframe svg object canvas head title audio video textarea input select".split())
+DROPPED = frozenset("nav footer form menu dialog search".split())
+# Never seen outside of an article; in it they go if they are thin. So do named elements there, if they hold blocks and are
+# not one: a paragraph, heading or list item of any name is the article's (fixed values).
+ASIDES = frozenset("aside button noscript".split())
+HOLDERS = ASIDES | frozenset("div section ul ol dl table figure details fieldset center".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 # Parts of class and id names: what they tell of, words that tell nothing, and words of an article (fixed values).
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
@@ -226,8 +230,10 @@ def _prune(root: Node) -> None:
     """Take out menus, adverts and the like, by element, role or name.
 
     What density says comes first: an element that holds an article or the densest subtree is never taken out for its
-    name or role, nor for being a form or a header. Reader comments always go, unless an article or main element is in
-    them.
+    name or role, nor for being a form or a header. In an article, main element or that subtree a name takes nothing out
+    by itself: what holds blocks, and an aside, button or noscript, also has to be less than half as dense (in unlinked
+    characters a tag) as the thinnest element on the path from the densest subtree to the body, or mostly links. Reader comments always go, unless an article or main
+    element is in them.
     """
     _filtered(root, lambda x, within: _unseen(x))
     articles = _above([x for x in _measure(root) if x.tag in CONTENT and x.chars])
@@ -235,7 +241,9 @@ def _prune(root: Node) -> None:
     named = {id(x): kind for x in _walk(root) if x.attrs and x.tag not in ("html", "body") and x.tag not in CONTENT and (kind := _told_by_name(_attributes(x)))}
     _filtered(root, lambda x, within: named.get(id(x)) == "comment" and id(x) not in articles)
     _, body, best = _best(root)
-    holds = articles | _above([best])
+    above = _above([best])
+    holds = articles | above
+    least = min(_plain(x.chars, x.link_chars, x.tags) for x in _walk(body) if id(x) in above)
     inner = {id(x) for x in _walk(best)} if best is not body else set()
 
     def gone(x: Node, within: bool) -> bool:
@@ -247,7 +255,9 @@ def _prune(root: Node) -> None:
         if x.attrs and "role" in x.attrs and _attributes(x).get("role", "").lower() in DROPPED_ROLES:
             return True
         kind = named.get(id(x))
-        return kind == "other" or kind == "head" and not within
+        if not within:
+            return kind is not None or x.tag in ASIDES
+        return (kind == "other" or x.tag in ASIDES) and x.tag in HOLDERS and (2 * _plain(x.chars, x.link_chars, x.tags) < least or 2 * x.link_chars > x.chars)
 
     _filtered(root, gone)
 
@@ -279,8 +289,8 @@ def _score(nodes: list[Node], body: Node) -> None:
         x.sum = sum(k.density for k in x.kids if isinstance(k, Node))
 
 
-def _blocks(top: Node, least: float) -> list[str]:
-    """Texts of the blocks under top in page order, without link lists thinner than least."""
+def _blocks(top: Node, least: float, inner: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks under top in page order, without link lists thinner than least that are not among the inner ones."""
     out: list[list[str]] = [[]]
     todo: list[Node | str | None] = [top]
     while todo:
@@ -289,7 +299,7 @@ def _blocks(top: Node, least: float) -> list[str]:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif x is not top and x.tag in BLOCK and x.density < least and x.link_chars > 0.5 * x.chars and x.link_tags > 1:
+        elif x is not top and x.tag in BLOCK and id(x) not in inner and x.density < least and x.link_chars > 0.5 * x.chars and x.link_tags > 1:
             continue
         elif x.tag == "br":
             out[-1].append(" ")
@@ -337,7 +347,8 @@ def main_text(html: str) -> str:
             if 2 * _plain(p.chars - top.chars, p.link_chars - top.link_chars, p.tags - top.tags) < thin and p.chars > top.chars:
                 break
             top = p
-    texts = _blocks(top, least)
+    own = {id(y) for x in (best, *outermost) for y in _walk(x)} if best is not body else {id(y) for x in outermost for y in _walk(x)}
+    texts = _blocks(top, least, own)
     if not any(x.tag == "h1" for x in _walk(top)):
         x = top
         while x is not body and x is not root:

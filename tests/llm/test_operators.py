@@ -406,6 +406,25 @@ def test_html_boilerplate_goes(part, holder):
     assert got.startswith("Title\nSome") and "Gone" not in got and got.count("Some long words") == 20
 
 
+@pytest.mark.parametrize("holder", ["article", "div", "main"])
+def test_html_article_content_stays(holder):
+    """Links, names and asides in an article stay unless they are thin or mostly links."""
+    long = "A long sentence of the article that a reader should see, as it is as dense as the paragraphs that stand around it here."
+    stays = {
+        "<p><a>one</a> and <a>two</a></p>": "one and two", "<h2><a>first</a> <a>second</a></h2>": "first second", "<ul><li><a>ref one</a></li><li><a>ref two</a></li></ul>": "ref one\nref two",
+        '<p class="share">Share of the market.</p>': "Share of the market.", '<p class="copyright">Copyright law.</p>': "Copyright law.", f'<div class="notices"><p>{long}</p></div>': long,
+        f"<aside><p>{long}</p></aside>": long, f"<noscript><p>{long}</p></noscript>": long, f'<section id="promo"><p>{long}</p></section>': long,
+    }
+    goes = ['<div class="ad">Buy now</div>', '<ul class="related"><li><a>More one</a></li><li><a>More two</a></li></ul>', "<aside><a>See also</a></aside>", "<button>Press</button>", "<nav><a>x</a></nav>", f'<div role="complementary">{long}</div>']
+    prose = PROSE * 2
+    page = lambda part: html_text.main_text(f"<body><nav><a>Home</a></nav><{holder}><h1>T</h1>{prose}{part}{prose}</{holder}><footer>f</footer></body>")
+    alone = page("").split("\n")
+    for part, text in stays.items():
+        assert page(part) == "\n".join([*alone[:3], text, *alone[3:]]), part
+    for part in goes:
+        assert page(part).split("\n") == alone, part
+
+
 def test_html_forms_and_containers_that_hold_the_article_stay():
     for page in (f"<body><form><article><h1>T</h1>{PROSE}</article></form>", f"<body><form class=modal><h1>T</h1>{PROSE * 2}</form>", f"<body><h1>T</h1><div>{PROSE * 2}</div><div>{PROSE * 2}</div>"):
         assert html_text.main_text(page).startswith("T\nSome")
