@@ -10,6 +10,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -317,6 +318,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = docs.columns
     rest = F.struct(*[F.col(f"`{n}`") for n in names if n != text_col])
     rows = docs.select(rest.alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = rows.schema["rest"].dataType.simpleString()
-    done = rows.mapInArrow(_run(True), f"rest {kind}, text string, base {_SPANS}, spans {_SPANS}")
+    spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    told = T.StructType([*rows.schema.fields, T.StructField("base", spans), T.StructField("spans", spans)])  # names may hold any characters
+    done = rows.mapInArrow(_run(True), told)
     return done.select(*[F.col("text").alias(n) if n == text_col else F.col(f"rest.`{n}`").alias(n) for n in names])

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of the training sample: confirmed toxic ones, and unlabelled text. Features that the classifier keeps.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 3_000, 6_000, 4_000
@@ -166,5 +167,5 @@ def kept(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.
     """docs without the rows that score least or more."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_run(model), f"row {kind}, text string, score double").where(F.col("score") < least).select(*[F.col(f"row.`{n}`").alias(n) for n in names])
+    told = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])  # names may hold any characters
+    return rows.mapInArrow(_run(model), told).where(F.col("score") < least).select(*[F.col(f"row.`{n}`").alias(n) for n in names])
