@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 Each result is written and read again as the next stage's docs. Rows are told apart by a key of their own and not by
-doc_id, so ids may be null or repeated in every stage; a null text counts as empty.
+doc_id, so ids may be null or repeated in every stage; a null text counts as empty. Other columns, whatever their names,
+go through every stage but the last as they are; a table without rows gives none.
 """
 
 from __future__ import annotations
@@ -16,13 +17,32 @@ from pneuma.llm.common import dropped, written
 from pneuma.llm.queries import WORD_BPE, table
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a unique _row that is the same in every read: a row's file and place in it, if docs is read from Parquet
-    files and only from them. Otherwise rows are numbered and written."""
-    try:
-        return docs.withColumn("_row", F.struct("_metadata.file_path", "_metadata.row_index"))
-    except AnalysisException:  # no files, or of another format
-        return written(docs.withColumn("_row", F.struct(F.monotonically_increasing_id().alias("row_index"))), "pipeline-rows")
+def _quoted(names: list[str]) -> list[F.Column]:
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def _bare_scan(docs: DataFrame) -> bool:
+    """Whether docs is one table of files and nothing else but columns and filters of it, so a row is one row of a file."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.children().size() == 0 and plan.nodeName() == "LogicalRelation"
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a unique key that is the same in every read, and the key's name, which no column of docs has.
+
+    The key is a row's file and place in it if docs is a bare scan of Parquet files. Otherwise, as where rows were exploded,
+    joined or put together, rows are numbered and written.
+    """
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("_row", *(f"_row{k}" for k in range(len(taken) + 1))) if n not in taken)
+    if "_metadata" not in taken and _bare_scan(docs):
+        try:
+            return docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(name)), name
+        except AnalysisException:  # no files, or of another format
+            pass
+    return written(docs.select("*", F.struct(F.monotonically_increasing_id().alias("row_index")).alias(name)), "pipeline-rows"), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +52,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts (A-Z lower-cased) one stays: that of the largest id, null being the smallest; of equal ids any one."""
-    rows = _keyed(docs)
-    stays = exact_dedup.dedup(rows.select(F.struct("doc_id", "_row").alias("key"), "text"), "key").where("kept")
-    return rows.join(stays.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    rows, row = _keyed(docs)
+    key = F.struct(F.col("doc_id"), F.col(row).alias("row"))
+    stays = exact_dedup.dedup(rows.select(key.alias("key"), "text"), "key").where("kept")
+    return rows.join(stays.select(F.col("doc_id.row").alias(row)), row, "left_semi").select(*_quoted(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +63,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without words are classes of their own, and stay.
     """
-    rows = _keyed(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_row")
+    rows, row = _keyed(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col(row).alias("row"))
     stays = jaccard.components(rows.select(key.alias("key"), "text"), id_col="key").where(F.col("doc_id") == F.col("component_id"))
-    return rows.join(stays.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return rows.join(stays.select(F.col("doc_id.row").alias(row)), row, "left_semi").select(*_quoted(docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind in angle brackets; n_chars follows. Null texts stay null."""
-    return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return pii.redacted(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*_quoted(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
