@@ -31,10 +31,16 @@ _ODD = re.compile(f"[Ͱ-ԯ{_OTHER_DIGITS}‐-–․−。﹫！-～  {_GONE}]
 _DIGITS = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789", strict=True))
 _WORD = "|".join(_DIGITS)
 # Runs of spelled digits, and of figures between or beside them.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9_])(?=[0-9efnopstz])(?:plus[\x20-]+)?(?:(?:{_WORD})\b|[0-9]++\b)(?:[\x20-]+(?:(?:{_WORD})\b|[0-9]++\b))++", re.I)
-_SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]+|[\x20-]+", re.I)
+_TIMES = {"double": 2, "triple": 3}
+_SAID = rf"(?:(?:(?:double|triple)[\x20-]+)?(?:{_WORD})\b|[0-9]++\b)"
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9_])(?=[0-9defnopstz])(?:plus[\x20-]+)?{_SAID}(?:[\x20-]+{_SAID})++", re.I)
+_SPELLED_PART = re.compile(rf"plus|double|triple|{_WORD}|[0-9]+|[\x20-]+", re.I)
 _DOTTED = re.compile(rf"\b(?:{_WORD})(?:\x20+(?:{_WORD})){{0,2}}(?:\x20+dot\x20+(?:{_WORD})(?:\x20+(?:{_WORD})){{0,2}}){{3}}\b", re.I)
-_BRACKET = re.compile(r"\x20*[(\[{<]\x20*(at|dot)\x20*[)\]}>]\x20*", re.I)
+_BRACKET = re.compile(r"\x20*[(\[{<]\x20*(at|dot)\x20*[)\]}>]\x20*|[(\[{<](@|\.)[)\]}>]", re.I)
+# A sign or a spelled one between spaces, and at and dot between underscores or hyphens.
+_SPACED = re.compile(r"(?<=[A-Za-z0-9_%+-])(\x20+@\x20+)([A-Za-z0-9-]+(?:(?:\x20\.\x20|\.)[A-Za-z0-9-]+)+)")
+_SPACED_DOT = re.compile(r"\x20\.\x20")
+_JOINED = re.compile(r"(?<=[A-Za-z0-9])(([_-])at\2)([A-Za-z0-9]+(?:\2dot\2[A-Za-z0-9]+)+)(?![A-Za-z0-9])", re.I)
 # Last labels that make plain words an address where only the at is spelled, as in "ann at example.com"; a sentence
 # that ends without a space looks the same otherwise (fixed values).
 _LAST = set(
@@ -50,7 +56,7 @@ _PROSE = set("a an the this that these those my your his her its our their each
 _GROUP = rf"(?:[0-9]++|\b(?:{_WORD})\b)"
 _PLAIN_IP = re.compile(rf"(?<![0-9]){_GROUP}(?:(?:\.|\x20+dot\x20+){_GROUP})++", re.I)
 _GROUP_WORD = re.compile(rf"\b(?:{_WORD})\b", re.I)
-_HINT = re.compile(r"[(\[{<]\x20*(?:at|dot)\x20*[)\]}>]", re.I)
+_HINT = re.compile(r"[(\[{<]\x20*(?:at|dot|@|\.)\x20*[)\]}>]", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -110,13 +116,14 @@ def normalise(text: str) -> tuple[str, list[int], list[int]] | None:
     """The text with its disguises undone, and for each of its characters the source span; None if there are none.
 
     Transducers in turn, each a list of (start, end, replacement): characters (homoglyphs, digits of other scripts,
-    invisible ones), at and dot in brackets, words (spelled digits in runs of three or more, alone or among figures),
+    invisible ones), at, dot and their signs in brackets, signs between spaces, at and dot between underscores or
+    hyphens, words (spelled digits in runs of three or more, alone or among figures),
     and at and dot between words.
     """
     begin: list[int] | range = range(len(text))
     end: list[int] | range = range(1, len(text) + 1)
     changed = False
-    for stage in (_characters, _brackets, _words, _between):
+    for stage in (_characters, _brackets, _signs, _words, _between):
         edits = stage(text)
         if not edits:
             continue
@@ -141,26 +148,44 @@ def _characters(text: str):
 
 
 def _brackets(text: str):
-    """at in brackets is a sign; dot in brackets is a spelled one."""
+    """at in brackets is a sign, dot in brackets a spelled one, and a sign in brackets itself."""
     if not _HINT.search(text):
         return []
-    return [(m.start(), m.end(), "@" if m[1].lower() == "at" else " dot ") for m in _BRACKET.finditer(text)]
+    return [(m.start(), m.end(), m[2] or ("@" if m[1].lower() == "at" else " dot ")) for m in _BRACKET.finditer(text)]
+
+
+def _signs(text: str):
+    """@ between spaces before labels that dots, with or without spaces, join and whose last is in _LAST; and at between
+    underscores or hyphens before labels that dot joins in the same way."""
+    edits = []
+    for m in _SPACED.finditer(text) if " @ " in text else ():
+        if m[2].rsplit(".", 1)[-1].strip().lower() in _LAST:
+            edits += [(*m.span(1), "@"), *((d.start(), d.end(), ".") for d in _SPACED_DOT.finditer(text, *m.span(2)))]
+    for m in _JOINED.finditer(text) if "at" in text.lower() else ():
+        if _LAST_WORD.fullmatch(m[3].rsplit(m[2], 1)[-1]):
+            dot = re.compile(f"{m[2]}dot{m[2]}", re.I)
+            edits += [(*m.span(1), "@"), *((*d.span(), ".") for d in dot.finditer(text, *m.span(3)))]
+    return _apart(edits)
 
 
 def _figures(spelled: str) -> str | None:
-    """A run of spelled digits in figures; the gaps between two groups of figures stay. None for a run that holds fewer
-    than two spelled digits, or than three in all."""
+    """A run of spelled digits in figures, double and triple ones as often; the gaps between two groups of figures stay. None
+    for a run that holds fewer than two spelled digits, or than three in all."""
     parts = _SPELLED_PART.findall(spelled)
     words = [p for p in parts if p.lower() in _DIGITS]
-    if len(words) < 2 or len(words) + sum(len(p) for p in parts if p.isdigit()) < 3:
+    extra = sum(_TIMES.get(p.lower(), 1) - 1 for p in parts)
+    if len(words) + extra < 2 or len(words) + extra + sum(len(p) for p in parts if p.isdigit()) < 3:
         return None
-    out = []
+    out, times = [], 1
     for k, p in enumerate(parts):
         if p[0] in " -":
             if parts[k - 1].isdigit() and k + 1 < len(parts) and parts[k + 1].isdigit():
                 out.append(p)
+        elif p.lower() in _TIMES:
+            times = _TIMES[p.lower()]
         else:
-            out.append("+" if p.lower() == "plus" else _DIGITS.get(p.lower(), p))
+            out.append("+" if p.lower() == "plus" else _DIGITS.get(p.lower(), p) * (times if p.lower() in _DIGITS else 1))
+            times = 1
     return "".join(out)
 
 

@@ -505,3 +505,19 @@ def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
     got = toxicity.score(rows, model).collect()
     assert len(got) == 3 and len({r.score for r in got if r.doc_id == 1}) == 1
     assert toxicity.kept(rows, model).columns == rows.columns
+
+
+@pytest.mark.parametrize("shown,kind", [
+    ("jane@example[.]com", "email"), ("jane[@]example[.]com", "email"), ("jane{@}example{.}org", "email"), ("192[.]168[.]1[.]1", "ip"), ("1[.]2[.]3[.]4", "ip"), ("jane @ example . com", "email"),
+    ("a.b @ mail.example.com", "email"), ("jane_at_example_dot_com", "email"), ("jane-at-example-dot-com", "email"), ("plus four four two oh seven nine four six double five one two", "phone"),
+    ("four triple one triple one triple one triple one triple one", "card"),
+])
+def test_pii_signs_in_disguise(shown, kind):
+    text = f"Write to {shown} or not."
+    base, spans = pii.detect(text)
+    assert not base and [(pii.KINDS[k], text[a:b]) for a, k, b in spans] == [(kind, shown)]
+
+
+@pytest.mark.parametrize("prose", ["see [.] and x @ y", "ann @home . today", "look at the dot on top", "triple six is bad", "he bought one_at_a_time", "a double one and a triple two", "costs 5 @ 3 . 50 each"])
+def test_pii_prose_stays(prose):
+    assert pii.detect(prose) == ([], [])
