@@ -69,7 +69,8 @@ def sigmoid(c: Column) -> Column:
 
 
 def clamp(c: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Within low and high, numbers or columns; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def over_threshold(logit: Column, limit: float = 0.5) -> Column:

@@ -8,11 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def in_range(c: Column, low, high) -> Column:
-    """A setting within its range."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
-
-
 def one_of(c: Column, options: list) -> Column:
     """A setting that is one of the options, or else the first of them."""
     return F.when(c.isin(options), c).otherwise(F.lit(options[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import places
+from .history import places, running
 
 
 def latest(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
@@ -27,14 +27,20 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def unique_names(df: DataFrame, base: str, seq: str) -> DataFrame:
     """Names without clashes: the first keeps its own, the next ones get _1, _2 and so on, past names that are given.
 
-    Numbers that make a name which is given as a base somewhere are passed over, in order.
+    Numbers that make a name which is given as a base somewhere are passed over, in order. The k-th number so given for a
+    base (from 1), say g, has g - k free ones below it, so the n-th free number is n and the count of given ones with
+    g - k < n: a running count over rows and given numbers together, though a base holds any share of either.
     """
-    numbered = places(df, base, seq)
-    taken = df.select(F.regexp_extract(base, r"^(.*)_([0-9]+)$", 1).alias("_base"), F.regexp_extract(base, r"^(.*)_([1-9][0-9]*)$", 2).try_cast("long").alias("_k")).where("_k is not null").distinct()
-    gaps = taken.groupBy("_base").agg(F.array_sort(F.collect_list("_k")).alias("_gaps"))
-    met = numbered.join(gaps, F.col(base) == F.col("_base"), "left")
-    n = F.reduce(F.coalesce("_gaps", F.array().cast("array<bigint>")), F.col("_n").cast("bigint"), lambda at, gap: F.when(gap <= at, at + 1).otherwise(at))
-    return met.withColumn("name", F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat(base, F.lit("_"), n.cast("string")))).drop("_n", "_base", "_gaps")
+    rows = places(df, base, seq)
+    number = F.regexp_extract(base, r"^(.*)_([1-9][0-9]*)$", 2)
+    given = df.where(number != "").select(F.regexp_extract(base, r"^(.*)_([0-9]+)$", 1).alias(base), number.try_cast("long").alias("_g")).where("_g is not null").distinct()
+    given = given.join(df.select(base).distinct(), base, "left_semi")
+    below = places(given, base, "_g").select(base, (F.col("_g") - F.col("_n") - 1).alias("_free"))
+    both = rows.withColumn("_free", F.col("_n") - 1).unionByName(below, allowMissingColumns=True)
+    is_given = F.col("_n").isNull()
+    counted = running(both.withColumn("_row", (~is_given).cast("int")), base, ["_free", "_row"], is_given.cast("int"), "_passed")
+    name = F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat(base, F.lit("_"), (F.col("_n") + F.col("_passed")).cast("string")))
+    return counted.where(~is_given).withColumn("name", name).drop("_n", "_free", "_row", "_passed")
 
 
 def progress(df: DataFrame, key: str, seq: str) -> DataFrame:

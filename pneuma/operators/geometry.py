@@ -56,7 +56,8 @@ def override_rect(df: DataFrame, general: DataFrame | None, own: DataFrame | Non
 
 
 def crop_band(df: DataFrame, w: str = "w", h: str = "h") -> DataFrame:
-    """band (x, y, width, height in pixels, truncated) of each rectangle, or null and an error where nothing is left."""
+    """band (x, y, width, height in pixels, truncated) of each rectangle, or null and an error where nothing is left. The
+    words of the error are fixed values."""
     cut = lambda c: c.cast("int")
     x0, y0 = F.greatest(F.lit(0), cut(F.col(w) * F.col("rel_left"))), F.greatest(F.lit(0), cut(F.col(h) * F.col("rel_top")))
     x1 = F.least(F.col(w).cast("int"), cut(F.col(w) * F.col("rel_right")))
@@ -70,12 +71,7 @@ def body_top(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> DataF
     """pages with body_y0: 8 under the lowest header near the top, within 0.08 to 0.35 of the height; 0.16 without one."""
     met = tokens.join(pages.select(key, F.col("h").alias("_h")), key).where((F.col("cy") <= F.col("_h") * 0.30) & F.col("text").rlike("[A-Za-z%]") & normalize_key(F.col("text")).isin(list(HEADER_ALIASES)))
     low = met.groupBy(key).agg(F.max("y1").alias("_y"))
-    return pages.join(low, key, "left").withColumn("body_y0", F.coalesce(clamp_by(F.col("_y") + 8.0, F.col("h") * 0.08, F.col("h") * 0.35), F.col("h") * 0.16)).drop("_y")
-
-
-def clamp_by(c: Column, low: Column, high: Column) -> Column:
-    """Within low and high; null stays null."""
-    return F.when(c.isNotNull(), F.greatest(low, F.least(high, c)))
+    return pages.join(low, key, "left").withColumn("body_y0", F.coalesce(clamp(F.col("_y") + 8.0, F.col("h") * 0.08, F.col("h") * 0.35), F.col("h") * 0.16)).drop("_y")
 
 
 def headings(tokens: DataFrame, key: str = "case_no") -> DataFrame:
@@ -112,7 +108,7 @@ def data_left(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> Data
     low = _at(F.col("_x0"), F.bround((F.size("_x0") - 1) * F.lit(0.05), 0)) - 8.0
     right = _at(F.col("_x1"), F.floor((F.size("_x1") - 1) * F.lit(0.9))) + 10.0
     out = pages.join(edges, key, "left")
-    return out.withColumn("data_x0", F.coalesce(clamp_by(low, w * 0.12, w * 0.45), clamp_by(right, w * 0.10, w * 0.45), w * 0.22)).drop("_x0", "_x1")
+    return out.withColumn("data_x0", F.coalesce(clamp(low, w * 0.12, w * 0.45), clamp(right, w * 0.10, w * 0.45), w * 0.22)).drop("_x0", "_x1")
 
 
 def split_x(pages: DataFrame, heads: DataFrame, key: str = "case_no") -> DataFrame:

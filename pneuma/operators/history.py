@@ -17,19 +17,24 @@ def _beside(numbered: DataFrame, told: DataFrame, key: str) -> DataFrame:
     return numbered.join(told, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_tpart"))).drop("_key", "_tpart")
 
 
-def places(df: DataFrame, key: str, seq: str | list[str]) -> DataFrame:
-    """df with _n, the place of each row in its key from 0.
+def running(df: DataFrame, key: str, seq: list[str], value: F.Column, name: str) -> DataFrame:
+    """df with the sum of value over the rows of its key before each row.
 
-    Rows are numbered within a stretch; how many rows of the key lie in earlier stretches comes from a table of one row
-    for each stretch.
+    Summed within a stretch; what the earlier stretches of the key sum up to comes from a table of one row for each
+    stretch.
     """
-    seq = [seq] if isinstance(seq, str) else seq
     ranged = _stretches(df, key, seq)
-    counts = ranged.groupBy("_part", F.col(key).alias("_key")).agg(F.count("*").alias("_c"))
+    sums = ranged.groupBy("_part", F.col(key).alias("_key")).agg(F.sum(value).alias("_s"))
     ahead = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_part", "_key", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
-    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part", key).orderBy(*seq)) - 1)
-    return _beside(numbered, before, key).withColumn("_n", F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+    before = sums.select("_part", "_key", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_ahead"))
+    own = Window.partitionBy("_part", key).orderBy(*seq).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return _beside(summed, before, key).withColumn(name, F.col("_own") + F.col("_ahead")).drop("_own", "_ahead", "_part")
+
+
+def places(df: DataFrame, key: str, seq: str | list[str]) -> DataFrame:
+    """df with _n, the place of each row in its key from 0."""
+    return running(df, key, [seq] if isinstance(seq, str) else seq, F.lit(1), "_n")
 
 
 def with_previous(df: DataFrame, key: str, seq: str, value: str, name: str = "_before") -> DataFrame:

@@ -18,6 +18,9 @@ def match_labels(df: DataFrame, names: list[str], aliases: dict[str, str] | None
     """
     pairs = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]) if aliases else None
     keyed = df.withColumn("_key", normalize_key(F.col(f"`{column}`")))
+    blank = F.col("_key") == ""  # it may be the key of most rows, and it is like no name
+    none = keyed.where(blank).withColumns({"name": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    keyed = keyed.where(~blank)
     listed = keyed.select("_key").distinct().withColumn("_alias", F.element_at(pairs, F.col("_key")) if pairs is not None else F.lit(None).cast("string"))
     plain = [re.sub("[^a-z0-9%/]+", "", n.lower()) for n in names]
 
@@ -36,4 +39,4 @@ def match_labels(df: DataFrame, names: list[str], aliases: dict[str, str] | None
 
     closest_of = listed.where("_alias is null").select("_key", closest("_key").alias("m")).select("_key", "m.name", "m.score")
     of_alias = listed.where("_alias is not null").select("_key", F.col("_alias").alias("name"), F.lit(1.0).alias("score"))
-    return keyed.join(closest_of.unionByName(of_alias), "_key", "left").drop("_key")
+    return keyed.join(closest_of.unionByName(of_alias), "_key", "left").unionByName(none).drop("_key")

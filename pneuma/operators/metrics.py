@@ -72,14 +72,14 @@ def exact_split(df: DataFrame, key: str, seed: int = 42, test: float = 0.1, val:
 
     Rows stand in the order of the sha256 of "<seed>:<key>", then of the key; the first are test, the next val. Their
     places come from sizes of ranges, not from one sorted task. A null key is an empty one; rows with the same key stand
-    beside each other, in any order. The driver sees the number of rows.
+    beside each other, in any order, and may be in several ranges. The driver sees the number of rows.
     """
     n = df.count()
     tests = math.ceil(test * n)
     vals = math.ceil(val * (n - tests))
     told = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"), 256)
-    placed = places(df.withColumns({"_all": F.lit(0), "_hash": told}), "_all", ["_hash", key])
-    return placed.withColumn("split", F.when(F.col("_n") < tests, "test").when(F.col("_n") < tests + vals, "val").otherwise("train")).drop("_all", "_hash", "_n")
+    placed = places(df.withColumns({"_all": F.lit(0), "_hash": told, "_row": F.monotonically_increasing_id()}), "_all", ["_hash", key, "_row"])
+    return placed.withColumn("split", F.when(F.col("_n") < tests, "test").when(F.col("_n") < tests + vals, "val").otherwise("train")).drop("_all", "_hash", "_row", "_n")
 
 
 def of_mode(df: DataFrame, mode: str) -> DataFrame:

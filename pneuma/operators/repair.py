@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import BESTS, COLUMNS, GRADES, HEADINGS, RESTRICTED, ROWS, blank, cell_spec, let, normalise, num, shown
@@ -78,9 +78,9 @@ def _free() -> Column:
 
 def blank_restricted(df: DataFrame) -> DataFrame:
     """Restricted rows keep only the BEST columns; MVV keeps none."""
-    gone = lambda c: (F.col("metric") == "MVV") | (F.lit(c not in BESTS) & F.col("metric").isin(RESTRICTED))
-    none = F.lit(None).cast("double")
-    return df.withColumns({c: F.when(gone(c), "").otherwise(F.col(c)) for c in COLUMNS} | {f"_n_{c}": F.when(gone(c), none).otherwise(_n(c)) for c in COLUMNS})
+    names = ", ".join(f"'{m}'" for m in RESTRICTED)
+    gone = lambda c: "metric = 'MVV'" if c in BESTS else f"metric in ('MVV', {names})"
+    return df.withColumns({c: F.expr(f"if({gone(c)}, '', {c})") for c in COLUMNS} | {f"_n_{c}": F.expr(f"if({gone(c)}, null, _n_{c})") for c in COLUMNS})
 
 
 # Rows that others are mended by (fixed values), and the names of their cells beside each row.
@@ -90,8 +90,8 @@ _BESIDE = tuple(f"_{side}_{k}" for side in BESTS for k in _OTHERS)
 
 def _beside(df: DataFrame, key: str) -> DataFrame:
     """df with the BEST cells of the rows of _OTHERS beside each row of their case; one window for all."""
-    own = Window.partitionBy(key)
-    return df.withColumns({f"_{side}_{k}": F.coalesce(F.max(F.when(F.col("metric") == m, F.col(side))).over(own), F.lit("")) for side in BESTS for k, m in _OTHERS.items()})
+    over = f"over (partition by `{key}`)"
+    return df.withColumns({f"_{side}_{k}": F.expr(f"coalesce(max(if(metric = '{m}', {side}, null)) {over}, '')") for side in BESTS for k, m in _OTHERS.items()})
 
 
 def _split(df: DataFrame) -> DataFrame:

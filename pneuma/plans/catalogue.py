@@ -133,7 +133,14 @@ def box_filter(spark, sf_dir):
     return boxes.plausible(_boxes(spark, sf_dir), 1e6, 0.005, 0.05, left=30, top=5).select("case_no", "pos")
 
 
-@query()
+_OVER = "greatest(0, least(k.x + k.w, e.b.x + e.b.w) - greatest(k.x, e.b.x)) * greatest(0, least(k.y + k.h, e.b.y + e.b.h) - greatest(k.y, e.b.y))"
+
+
+@query(f"""with b as (select case_no, -w * h as a, {{'pos': pos, 'x': x::double, 'y': y::double, 'w': w::double, 'h': h::double}} as b from ({_BOXES})),
+    g as (select case_no, list({{'kept': [b], 'b': b}} order by a, b.pos) as l from b group by case_no),
+    f as (select case_no, list_reduce(l, lambda s, e: case when len(s.kept) >= 4 or len(list_filter(s.kept, lambda k: {_OVER} >= 0.15::double * (k.w * k.h + e.b.w * e.b.h - {_OVER}))) > 0 then s
+        else {{'kept': list_append(s.kept, e.b), 'b': e.b}} end).kept as kept from g)
+    select case_no, r::int as rank, kept[r].pos as pos from f, unnest(range(1, len(kept) + 1)) as u(r)""")
 def box_suppression(spark, sf_dir):
     return boxes.suppress(_boxes(spark, sf_dir))
 
@@ -182,7 +189,9 @@ def best_epoch(spark, sf_dir):
     return metrics.best_epoch(_losses(spark, sf_dir))
 
 
-@query()
+@query(f"""with c as (select run, list({{'epoch': epoch, 'loss': loss, 'bad': 0, 'stop': null::bigint}} order by epoch) as course from ({_LOSSES}) group by run)
+    select run, list_reduce(course, lambda s, e: case when s.stop is not null then s when e.loss < s.loss then {{'epoch': e.epoch, 'loss': e.loss, 'bad': 0, 'stop': null::bigint}}
+        when e.loss > s.loss then {{'epoch': e.epoch, 'loss': s.loss, 'bad': s.bad + 1, 'stop': case when s.bad + 1 >= 3 then e.epoch end}} else s end).stop as stop_epoch from c""")
 def early_stop(spark, sf_dir):
     return metrics.early_stop(_losses(spark, sf_dir), patience=3, delta=0.0)
 
@@ -251,9 +260,14 @@ def cell_parsing(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.parse_float(F.col("text")).alias("number"), text.parse_grade(F.col("text")).alias("grade"))
 
 
-@query()
+# crc32 of a number's digits, bit by bit: each byte goes in with the first of eight shifts.
+_CRC = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(regexp_extract_all(o_orderkey::varchar, '.'), lambda x: [ord(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384::bigint * (xor(c, b) & 1))), 4294967295::bigint)"""
+
+
+@query(f"with a as (select o_orderkey, {_CRC} % 100000 / 100000.0::double as share from orders) select o_orderkey, case when share < 0.1::double then 'test' when share < 0.1::double + (1 - 0.1::double) * 0.11::double then 'val' else 'train' end as split from a")
 def training_splits(spark, sf_dir):
-    """By crc32 of the key, which DuckDB lacks; tests hold it against zlib."""
+    """By crc32 of the key."""
     return _table(spark, sf_dir, "orders").select("o_orderkey", metrics.split_of(F.col("o_orderkey")).alias("split"))
 
 
@@ -302,7 +316,13 @@ def merged_headers(spark, sf_dir):
     return layout.merge_neighbours(heads, ["case_no"])
 
 
-@query()
+@query("""with c as (select l_orderkey as case_no, list((l_partkey % 200)::double order by l_partkey % 200) as cs from lineitem group by 1),
+    n as (select case_no, cs, [{'head': null::double, 'j': 1::bigint, 'o': []::double[]}, {'head': null::double, 'j': 0::bigint, 'o': []::double[]}, {'head': case when case_no % 90 % 3 <> 0 then (case_no % 90)::double end, 'j': 0::bigint, 'o': []::double[]},
+        {'head': null::double, 'j': 0::bigint, 'o': []::double[]}, {'head': case when case_no % 170 % 3 <> 0 then (case_no % 170)::double end, 'j': 0::bigint, 'o': []::double[]}] as names from c),
+    r as (select case_no, list_reduce(names, lambda s, e: {'head': null::double, 'j': case when e.head is not null then greatest(s.j, len(list_filter(cs, lambda x: x <= e.head)) + 1) else s.j + 1 end,
+        'o': list_append(s.o, coalesce(e.head, cs[s.j], s.o[-1] + 8))}).o as raw from n),
+    q as (select case_no, list_reduce(list_transform(raw, lambda x: [x]), lambda o, x: list_append(o, case when x[1] <= o[-1] then o[-1] + 1 else x[1] end)) as o from r)
+    select case_no, (i - 1)::int as idx, o[i] as x from q, unnest(range(1, len(o) + 1)) as u(i)""")
 def anchored_columns(spark, sf_dir):
     """Positions of four columns of each order, two of whose headers may be known."""
     rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no")).agg(F.collect_list((F.col("l_partkey") % 200).cast("double")).alias("centres"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import small
+from ..functions import clinical, small
 from ..operators import geometry
 
 QUERIES: dict = {}
@@ -166,7 +166,7 @@ def widget_values(spark, sf_dir):
     part = _table(spark, sf_dir, "part")
     size = F.col("p_size")
     return part.select(
-        "p_partkey", small.in_range(size, 10, 40).alias("clamped"), small.one_of(F.col("p_brand"), ["Brand#12", "Brand#23"]).alias("chosen"),
+        "p_partkey", clinical.clamp(size, 10, 40).alias("clamped"), small.one_of(F.col("p_brand"), ["Brand#12", "Brand#23"]).alias("chosen"),
         small.slider_place(size, 5, 50, 300).alias("place"), small.progress_text("p%p% of %v/%m", size, 0, 50).alias("told"),
         F.when(small.same_bag(F.array(size % 2, F.lit(0)), F.array(F.lit(0), F.lit(0))), size).alias("even"), small.distinct_joined(F.array("p_brand", "p_type", "p_brand"), ";").alias("joined"))
 
