@@ -284,7 +284,7 @@ def _ranked_sql() -> str:
         z = name == "pre_z"
         sign = "case when abs(b - y) >= greatest(0.02::double, 0.01::double * greatest(1.0::double, abs(y))) then case when b < y then -1 else 1 end else 0 end"
         target = """coalesce(case when y > l and l > 0 and y - l >= 0.05::double and l / y between 0.15::double and 1.1::double and b / y between 0.05::double and 2.5::double
-            then greatest(-10, least(10, case when b >= l then (b - y) / (y - l) * 1.64::double else -1.64::double - (l - b) / (y - l) * 1.64::double end)) end, case when sg <> 0 then greatest(-6, least(6, (pc - 100) / 15)) end)"""
+            then greatest(-10, least(10, case when b >= l then (b - y) / (y - l) * 1.64::double else -1.64::double - (l - b) / (y - l) * 1.64::double end)) end, case when sg <> 0 and pc is not null then greatest(-6, least(6, (pc - 100) / 15)) end)"""
         score = f"""0.6::double * ({dec} is not null)::int + {'5 * coalesce(v <= l + 0.01::double, false)::int' if name == 'pred' else '0'}"""
         if z:
             score += """ + 6 * coalesce(sg * v < 0, false)::int + 2.5::double * coalesce(sg <> 0 and abs(v) < 0.15::double and abs(b - y) >= greatest(0.06::double, 0.03::double * greatest(1.0::double, abs(y))), false)::int
@@ -397,7 +397,7 @@ def pivot_cases(spark, sf_dir):
 _TARGETS = """select case_no, metric, round(coalesce(
         case when y > l and l > 0 and y - l >= 0.05::double and l / y between 0.15::double and 1.1::double and b / y between 0.05::double and 2.5::double
         then greatest(-10, least(10, case when b >= l then (b - y) / (y - l) * 1.64::double else -1.64::double - (l - b) / (y - l) * 1.64::double end)) end,
-        case when abs(b - y) >= greatest(0.02::double, 0.01::double * greatest(1.0::double, abs(y))) then greatest(-6, least(6, (pc - 100) / 15)) end), 6) as z"""
+        case when pc is not null and abs(b - y) >= greatest(0.02::double, 0.01::double * greatest(1.0::double, abs(y))) then greatest(-6, least(6, (pc - 100) / 15)) end), 6) as z"""
 
 
 @query(f"{_TARGETS} from (select case_no, metric, {_num('pre_best')} as b, {_num('pred')} as y, {_num('lln')} as l, {_num('pre_pct')} as pc from ({_SQL_GRID}))")

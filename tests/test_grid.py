@@ -153,6 +153,13 @@ def test_candidates(spark):
     assert got == {(1, "FVC", "Pre_Z-Score"): ("-3.28", True), (1, "MVV", "Pred"): ("x", True), (1, "FVC", "Pred"): ("?", False), (9, "FVC", "LLN"): ("3.00", True)}
 
 
+def test_z_target_needs_a_percentage_to_fall_back_on(spark):
+    rows = [(2.0, 4.0, 3.0, 50.0), (2.0, 4.0, None, 40.0), (2.0, 4.0, None, None), (4.0, 4.0, None, 90.0), (5.0, 4.0, None, 400.0)]
+    df = spark.createDataFrame(rows, "b double, y double, l double, p double")
+    got = [r.z for r in df.select(clinical.z_target(F.col("b"), F.col("y"), F.col("l"), F.col("p")).alias("z")).collect()]
+    assert got == [pytest.approx(-3.28), -4.0, None, None, 6.0]
+
+
 def test_k_medians(spark):
     rows = [(1, 0.0), (1, 10.0), (2, 5.0), (3, None), (4, 1.0), (4, 1.0005), (4, 1.0), (4, 9.0), (4, 9.0)]
     df = spark.createDataFrame(rows, "case_no long, x double")
