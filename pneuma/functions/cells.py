@@ -45,26 +45,21 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _spec(values: tuple) -> Column:
+def _spec(values: tuple) -> str:
     kind, low, high, decimals = values
-    return F.struct(F.lit(kind).alias("kind"), F.lit(low).alias("lo"), F.lit(high).alias("hi"), F.lit(decimals).cast("int").alias("decimals"))
+    return f"named_struct('kind', '{kind}', 'lo', {low}D, 'hi', {high}D, 'decimals', cast({'null' if decimals is None else decimals} as int))"
 
 
-def cell_spec(metric: Column, column: str) -> Column:
-    """Kind, lo, hi and decimals of a cell, by its row; null where a cell holds nothing that can be checked."""
-    nothing = F.lit(None).cast("struct<kind:string,lo:double,hi:double,decimals:int>")
-    rules = [(metric == "MVV", nothing)]
+def cell_spec(metric: str, column: str) -> Column:
+    """Kind, lo, hi and decimals of a cell, by its row, which the column metric names; null where a cell holds nothing that
+    can be checked. Said in SQL, as a long expression takes many calls to put together otherwise."""
+    rules = [f"when {metric} = 'MVV' then null"]
     if column in BESTS:
-        rules += [(metric.isin(GRADES), _spec(GRADE))]
-    if column in ("pre_pct", "post_pct", "pct_chg"):
-        rules += [(F.lit(True), _spec(PERCENT))]
-    if column in ("pre_z", "post_z"):
-        rules += [(F.lit(True), _spec(ZSCORE))]
-    rules += [(metric == m, _spec(v)) for m, v in (MEASURES | (BEST_MEASURES if column in BESTS else {})).items()]
-    out = F.when(*rules[0])
-    for test, value in rules[1:]:
-        out = out.when(test, value)
-    return out.otherwise(_spec(ANY_MEASURE))
+        rules += [f"when {metric} = '{m}' then {_spec(v)}" for m, v in (dict.fromkeys(GRADES, GRADE) | BEST_MEASURES).items()]
+    rest = PERCENT if column in ("pre_pct", "post_pct", "pct_chg") else ZSCORE if column in ("pre_z", "post_z") else ANY_MEASURE
+    if rest is ANY_MEASURE:
+        rules += [f"when {metric} = '{m}' then {_spec(v)}" for m, v in MEASURES.items()]
+    return F.expr(f"case {' '.join(rules)} else {_spec(rest)} end")
 
 
 def _noisy(c: Column) -> Column:

@@ -26,7 +26,7 @@ def rank_candidates(readings: DataFrame, grid: DataFrame, key: str = "case_no")
     """
     col, metric = F.col("col"), F.col("metric")
     row = grid.select(key, "metric", *[num(F.col(c)).alias(f"_{c}") for c in ("pre_best", "post_best", "pred", "lln", "pre_pct", "post_pct")])
-    spec = F.coalesce(*[F.when(col == HEADINGS[c], cell_spec(metric, c)) for c in COLUMNS])
+    spec = F.coalesce(*[F.when(col == HEADINGS[c], cell_spec("metric", c)) for c in COLUMNS])
     met = readings.repartition(key, "metric", "col").join(row, [key, "metric"], "left").withColumn("_spec", spec).withColumn("_norm", normalise(F.col("text"), F.col("_spec"))).withColumn("_v", num(F.col("_norm")))
     before = col.isin(_BEFORE)
     best, pct = F.when(before, F.col("_pre_best")).otherwise(F.col("_post_best")), F.when(col.startswith("Pre_"), F.col("_pre_pct")).otherwise(F.col("_post_pct"))

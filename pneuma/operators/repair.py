@@ -153,7 +153,7 @@ def _scale_lln(df: DataFrame) -> DataFrame:
     lln, pred = _n("lln"), _n("pred")
     down = F.try_element_at(F.filter(F.array(lln / 10, lln / 100, lln / 1000), lambda x: x <= pred * 1.10), F.lit(1))
     df = df.withColumn("_to", F.when((pred > 0) & (lln > pred * 1.10), down))
-    put = F.when(F.col("_to").isNotNull(), shown(F.col("_to"), cell_spec(F.col("metric"), "lln")))
+    put = F.when(F.col("_to").isNotNull(), shown(F.col("_to"), cell_spec("metric", "lln")))
     return _changed(df, SCALE, {"lln": put}, lambda c, put: _words("Constraint fix: ", F.col("metric"), " LLN scaled from ", lln.cast("string"), " to ", F.col("_to").cast("string")), drop=("_to",))
 
 
@@ -161,7 +161,7 @@ def _post_from_change(df: DataFrame) -> DataFrame:
     """POST-BEST from PRE-BEST and %CHG where missing, or under 0.30 or over 2 times PRE-BEST."""
     pre, post, chg = F.nullif(_n("pre_best"), F.lit(0.0)), _n("post_best"), _n("pct_chg")
     off = (post.isNull() | (post / pre < 0.30) | (post / pre > 2.0)) & pre.isNotNull() & chg.isNotNull()
-    put = F.when(off, shown(pre * (1.0 + chg / 100.0), cell_spec(F.col("metric"), "post_best")))
+    put = F.when(off, shown(pre * (1.0 + chg / 100.0), cell_spec("metric", "post_best")))
     return _changed(df, POST, {"post_best": put}, lambda c, put: _words("POST-BEST fix: ", F.col("metric"), " replaced ", fixed(post, 2), "->", fixed(put.try_cast("double"), 2), " using %CHG"), lambda c: _n(c).isNotNull())
 
 
@@ -277,7 +277,7 @@ def suspicious(rows: DataFrame, mode: str = "auto", post: str | None = None) ->
         return rows.withColumns({f"re_{c}": seen[c] & F.lit(mode == "force") for c in COLUMNS})
     none = F.lit(False)
     row = rows.withColumns({f"_{c}": num(F.col(c)) for c in (*BESTS, "pred", "lln")})
-    read = {name: F.struct(normalise(F.col(name), cell_spec(F.col("metric"), name)).alias("text"), cell_spec(F.col("metric"), name)["kind"].alias("kind")) for name in COLUMNS}
+    read = {name: F.struct(normalise(F.col(name), cell_spec("metric", name)).alias("text"), cell_spec("metric", name)["kind"].alias("kind")) for name in COLUMNS}
     row = row.withColumns({f"_r_{name}": r for name, r in read.items()})
 
     def contradicts(name, x):

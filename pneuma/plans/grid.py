@@ -139,7 +139,7 @@ _NOISY = f"""select case_no, metric, pos, pre_best, {_LOST['lln']} as lln, pred,
 def normalised_cells(spark, sf_dir):
     """Each cell of a noisy grid in its normal form: points lost in two columns, a label glued to a third."""
     g = grid(spark, sf_dir).withColumns({"lln": F.replace("lln", F.lit("."), F.lit("")), "post_best": F.replace(F.replace("post_best", F.lit("."), F.lit("")), F.lit(" "), F.lit("")), "post_pct": F.concat("metric", "post_pct")})
-    each = F.array(*[F.struct(F.lit(HEADINGS[c]).alias("col"), cells.normalise(F.col(c), cells.cell_spec(F.col("metric"), c)).alias("text")) for c in COLUMNS])
+    each = F.array(*[F.struct(F.lit(HEADINGS[c]).alias("col"), cells.normalise(F.col(c), cells.cell_spec("metric", c)).alias("text")) for c in COLUMNS])
     return g.select("case_no", "pos", "metric", F.explode(each).alias("cell")).select("case_no", "pos", "metric", "cell.col", "cell.text")
 
 

@@ -33,7 +33,7 @@ def _repaired(spark, rows, strict=False):
 ])
 def test_cells_in_normal_form(spark, raw, metric, column, want):
     df = spark.createDataFrame([(raw, metric)], "raw string, metric string")
-    got = df.select(cells.normalise(F.col("raw"), cells.cell_spec(F.col("metric"), column))).first()[0]
+    got = df.select(cells.normalise(F.col("raw"), cells.cell_spec("metric", column))).first()[0]
     assert got == want
 
 
