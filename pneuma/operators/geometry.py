@@ -149,7 +149,7 @@ def cell_boxes(rows: DataFrame, columns: DataFrame, pages: DataFrame, key: str =
     rows: key, idx, lo, hi; columns: key, col (a heading), lo, hi. Cells are padded by 0.08 of their width (2 at least)
     and 0.15 of their height (2 at least), z-scores by 0.14 and percentages by 0.10 to the left.
     """
-    met = rows.select(key, "idx", F.col("lo").alias("y0"), F.col("hi").alias("y1")).join(columns.select(key, "col", F.col("lo").alias("x0"), F.col("hi").alias("x1")), key).join(pages.select(key, "w", "h"), key)
+    met = rows.select(key, "idx", F.col("lo").alias("y0"), F.col("hi").alias("y1")).join(columns.select(key, "col", F.col("lo").alias("x0"), F.col("hi").alias("x1")).hint("merge"), key).join(pages.select(key, "w", "h").hint("merge"), key)
     wide, high = F.greatest(F.lit(1.0), F.col("x1") - F.col("x0")), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
     side, over = F.greatest(F.lit(2.0), 0.08 * wide), F.greatest(F.lit(2.0), 0.15 * high)
     zscore, percent = F.col("col").isin(HEADINGS["pre_z"], HEADINGS["post_z"]), F.col("col").isin(HEADINGS["pre_pct"], HEADINGS["post_pct"], HEADINGS["pct_chg"])

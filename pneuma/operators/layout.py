@@ -1,4 +1,8 @@
-"""Positioned tokens to rows, columns and cells; always within a case, which is the key of each shuffle."""
+"""Positioned tokens to rows, columns and cells; always within a case, which is the key of each shuffle.
+
+Pages, rows and columns grow with the cases. Their size is guessed from the files under them, before rows are exploded, so
+joins with them name the merge join: a broadcast would gather them on the driver.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ def windows_from_centres(centres: DataFrame, low: float, high: float, key: str =
 
 def assign(tokens: DataFrame, windows: DataFrame, key: str = "case_no", at: str = "cy", tie: str = "pos", idx: str = "idx") -> DataFrame:
     """Range join within a case, both ends closed; on a shared edge the lowest index wins; tokens outside are dropped."""
-    met = tokens.join(windows.select(key, F.col(idx).alias("_idx"), "lo", "hi"), key).where(F.col(at).between(F.col("lo"), F.col("hi")))
+    met = tokens.join(windows.select(key, F.col(idx).alias("_idx"), "lo", "hi").hint("merge"), key).where(F.col(at).between(F.col("lo"), F.col("hi")))
     names = [c for c in tokens.columns if c not in (key, tie)]
     least = met.groupBy(key, tie).agg(F.min(F.struct("_idx", *names)).alias("_row"))
     return least.select(key, tie, F.col("_row._idx").alias(idx), *[F.col(f"_row.`{c}`").alias(c) for c in names])
@@ -33,7 +37,7 @@ def assign(tokens: DataFrame, windows: DataFrame, key: str = "case_no", at: str
 def token_parts(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> DataFrame:
     """Tokens with what part of their page they are: header (down to body_y0) or body, label (body within 0.28 of the
     width), number (has a digit), and their zone, pre left of split_x, else post. pages: key, w, body_y0, split_x."""
-    met = tokens.join(pages.select(key, F.col("w").alias("_w"), "body_y0", "split_x"), key)
+    met = tokens.join(pages.select(key, F.col("w").alias("_w"), "body_y0", "split_x").hint("merge"), key)
     body = F.col("cy") > F.col("body_y0")
     zone = F.when(F.col("cx") < F.col("split_x"), "pre").otherwise("post")
     return met.withColumns({"header": ~body, "body": body, "label": body & (F.col("cx") <= 0.28 * F.col("_w")), "number": has_digit(F.col("text")), "zone": zone}).drop("_w", "body_y0", "split_x")
@@ -41,7 +45,7 @@ def token_parts(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> Da
 
 def in_body(tokens: DataFrame, pages: DataFrame, key: str = "case_no") -> DataFrame:
     """Tokens under the header, each with its zone."""
-    met = tokens.join(pages.select(key, "body_y0", "data_x0", "split_x"), key).where(F.col("cy") > F.col("body_y0"))
+    met = tokens.join(pages.select(key, "body_y0", "data_x0", "split_x").hint("merge"), key).where(F.col("cy") > F.col("body_y0"))
     return met.withColumn("zone", F.when(F.col("cx") < F.col("split_x"), "pre").otherwise("post"))
 
 
@@ -56,20 +60,20 @@ def zone_cells(tokens: DataFrame, pages: DataFrame, rows: DataFrame, columns: Da
     """
     body = in_body(tokens, pages, key)
     shown = body.where((F.col("zone") == "post") & has_digit(F.col("text"))).select(key).distinct()
-    posts = columns.where("zone = 'post'").join(shown, key, "left_semi")  # EXISTS such a token in the case
+    posts = columns.where("zone = 'post'").join(shown.hint("merge"), key, "left_semi")  # EXISTS such a token in the case
     enabled = columns.where("zone = 'pre'").unionByName(posts).select(key, "zone", F.col("idx").alias("_col"), F.col("lo").alias("_x0"), F.col("hi").alias("_x1"))
     inside = body.where(F.col("cx") >= F.col("data_x0")).select(key, tie, "zone", "cx", "cy", "text")
-    by_row = inside.join(rows.select(key, F.col("idx").alias("_row"), F.col("lo").alias("_y0"), F.col("hi").alias("_y1")), key).where(F.col("cy").between(F.col("_y0"), F.col("_y1")))
+    by_row = inside.join(rows.select(key, F.col("idx").alias("_row"), F.col("lo").alias("_y0"), F.col("hi").alias("_y1")).hint("merge"), key).where(F.col("cy").between(F.col("_y0"), F.col("_y1")))
     in_row = by_row.groupBy(key, tie).agg(F.min(F.struct("_row", "zone", "cx", "text")).alias("_t")).select(key, tie, "_t.*")
-    by_column = in_row.join(enabled, [key, "zone"]).where(F.col("cx").between(F.col("_x0"), F.col("_x1")))
+    by_column = in_row.join(enabled.hint("merge"), [key, "zone"]).where(F.col("cx").between(F.col("_x0"), F.col("_x1")))
     return by_column.groupBy(key, tie).agg(F.min(F.struct("_col", "_row", "zone", "text")).alias("_t")).select(key, tie, F.col("_t._row").alias("row_idx"), "_t.zone", F.col("_t._col").alias("col_idx"), "_t.text")
 
 
 def post_warning(tokens: DataFrame, pages: DataFrame, heads: DataFrame, key: str = "case_no") -> DataFrame:
     """key and warning of cases that have a POST-BEST header and no number in their post zone. Its words are fixed values."""
     shown = in_body(tokens, pages, key).where((F.col("zone") == "post") & has_digit(F.col("text"))).select(key).distinct()
-    headed = heads.where("col = 'POST-BEST'").select(key).distinct().join(pages.select(key), key, "left_semi")
-    return headed.join(shown, key, "left_anti").withColumn("warning", F.lit("POST section appears missing; POST columns left blank."))
+    headed = heads.where("col = 'POST-BEST'").select(key).distinct().join(pages.select(key).hint("merge"), key, "left_semi")
+    return headed.join(shown.hint("merge"), key, "left_anti").withColumn("warning", F.lit("POST section appears missing; POST columns left blank."))
 
 
 def assemble(tokens: DataFrame, keys: list[str], text: str = "text", tie: str = "pos", clean: bool = False) -> DataFrame:
