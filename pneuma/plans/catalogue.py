@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import clinical, colour, text
 from ..operators import batch, boxes, labels, layout, metrics, reports
 from ..sources import files
+from ..sources.tables import dealt
+from ..sources.tables import table as _table
 from . import further, grid, pages, told
 
 QUERIES: dict = grid.QUERIES | pages.QUERIES | told.QUERIES | further.QUERIES
 ORACLES: dict[str, str] = grid.ORACLES | pages.ORACLES | told.ORACLES | further.ORACLES
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def query(sql: str | None = None):
     def add(fn):
@@ -75,7 +74,8 @@ _ANCHORS = "select l_orderkey as case_no, l_linenumber as idx, min(l_extendedpri
 
 
 def _anchors(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("idx")).agg(F.min("l_extendedprice").alias("y"))
+    """Anchors dealt by case: what follows within a case moves no rows."""
+    return dealt(_table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("case_no"), F.col("l_linenumber").alias("idx")).agg(F.min("l_extendedprice").alias("y"))
 
 
 @query(f"select case_no, round(regr_slope(y, idx), 4) as slope, round(regr_intercept(y, idx), 4) as intercept, count(*) as n from ({_ANCHORS}) group by case_no having count(*) >= 6")
