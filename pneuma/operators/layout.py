@@ -113,36 +113,57 @@ def k_medians(df: DataFrame, k: int, value: str = "x", key: str = "case_no", rou
     """Centres of one-dimensional k-medians of each case: quantile start, nearest centre, upper median.
 
     Fewer values than k are spread evenly from the least to the largest. Equal centres are 1e-3 apart. Nulls are passed
-    over; a case without values has no centres. The values of a case meet in one task, so they are those of one table.
+    over; a case without values has no centres. The values of a case meet in one task, so they are those of one table;
+    numpy takes the cases of a batch together.
     """
     import numpy as np
 
     def centres(xs):
-        if len(xs) < k:
-            return xs[0] + (xs[-1] - xs[0]) / max(k - 1, 1) * np.arange(k)
-        c = xs[[int(round(i / max(k - 1, 1) * (len(xs) - 1))) for i in range(k)]]
+        """Of each row of a table of sorted values, all of one width."""
+        n, width = xs.shape
+        if width < k:
+            return xs[:, :1] + (xs[:, -1:] - xs[:, :1]) / max(k - 1, 1) * np.arange(k)
+        c = xs[:, [int(round(i / max(k - 1, 1) * (width - 1))) for i in range(k)]]
+        due = np.arange(n)  # rows whose centres still move
         for _ in range(rounds):
-            near = np.abs(xs[:, None] - c[None, :]).argmin(1)
-            new = np.array([xs[near == j][(near == j).sum() // 2] if (near == j).any() else c[j] for j in range(k)])
-            moved, c = np.abs(new - c).max(), new
-            if moved < 1e-3:
+            x, old = xs[due], c[due]
+            new, near, least = old.copy(), np.zeros(x.shape, int), np.abs(x - old[:, :1])
+            for j in range(1, k):
+                far = np.abs(x - old[:, j : j + 1])
+                closer = (far < least) | (np.isnan(far) & ~np.isnan(least))  # as argmin has it
+                near[closer], least = j, np.where(closer, far, least)
+            for j in range(k):
+                own = near == j
+                held = own.sum(1)
+                at = (own & (np.cumsum(own, 1) == (held // 2 + 1)[:, None])).argmax(1)  # the upper median of its own, which are sorted
+                new[:, j] = np.where(held > 0, x[np.arange(len(x)), at], old[:, j])
+            c[due] = new
+            due = due[~(np.abs(new - old).max(1) < 1e-3)]
+            if not len(due):
                 break
-        c = np.sort(c)
+        c = np.sort(c, 1)
         for j in range(1, k):
-            if c[j] <= c[j - 1]:
-                c[j] = c[j - 1] + 1e-3
+            c[:, j] = np.where(c[:, j] <= c[:, j - 1], c[:, j - 1] + 1e-3, c[:, j])
         return c
 
     kind = df.schema[key].dataType
 
-    def run(keys, table):
+    def run(batches):
         import pyarrow as pa
 
-        xs = np.sort(table[value].drop_null().to_numpy().astype(float))
-        found = centres(xs) if len(xs) else np.zeros(0)
-        return pa.table({key: pa.array([keys[0].as_py()] * len(found), keys[0].type), "idx": pa.array(range(len(found)), pa.int32()), "centre": pa.array(found, pa.float64())})
-
-    return df.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInArrow(run, f"`{key}` {kind.simpleString()}, idx int, centre double")
+        for batch in batches:
+            sizes, values = np.diff(batch.column("xs").offsets.to_numpy()), batch.column("xs").flatten().to_numpy(zero_copy_only=False)
+            first, out = np.cumsum(sizes) - sizes, np.empty((len(sizes), k))
+            for width in np.unique(sizes):  # cases of as many values at once
+                rows = np.flatnonzero(sizes == width)
+                step = max(1, 2**20 // int(width))
+                for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    out[part] = centres(values[first[part, None] + np.arange(width)])
+            keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(sizes)), k)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(k, dtype=np.int32), len(sizes))), pa.array(out.ravel())], [key, "idx", "centre"])
+
+    held = df.select(key, F.col(value).cast("double").alias("x")).where("x is not null").groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return held.select(key, "xs").mapInArrow(run, f"`{key}` {kind.simpleString()}, idx int, centre double")
 
 
 def merge_neighbours(tokens: DataFrame, keys: list[str], max_gap: float = 18, tie: str = "pos") -> DataFrame:

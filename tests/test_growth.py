@@ -22,3 +22,27 @@ def test_tables_that_grow_with_the_cases_are_not_broadcast(spark):
     heads = cases.selectExpr("case_no", "'POST-BEST' as col")
     for df in (layout.zone_cells(tokens, pages, rows, columns), layout.assign(tokens, rows), layout.token_parts(tokens, pages), layout.post_warning(tokens, pages, heads), geometry.cell_boxes(rows, columns, pages)):
         assert "Broadcast" not in _plan(df)
+
+
+def test_cases_meet_numpy_by_batches(spark):
+    df = spark.range(3000).selectExpr("id % 1000 as case_no", "double(id * 37 % 101) as x")
+    plan = _plan(layout.k_medians(df, 2))
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    rows = [(1, 1.0), (1, 2.0), (1, 9.0), (1, 10.0), (1, 11.0), (2, 4.0), (3, None), (4, 7.0), (4, 7.0), (4, 7.0)]
+    found = layout.k_medians(spark.createDataFrame(rows, "case_no int, x double"), 2).orderBy("case_no", "idx").collect()
+    assert [(r.case_no, r.idx, r.centre) for r in found] == [(1, 0, 2.0), (1, 1, 10.0), (2, 0, 4.0), (2, 1, 4.0), (4, 0, 7.0), (4, 1, 7.001)]
+
+
+def test_tasks_grow_with_the_table_and_rows_move_once(spark, tmp_path):
+    from pneuma.operators import classify
+    from pneuma.plans import catalogue, grid
+    from pneuma.sources.tables import dealt, table
+
+    small = "/root/testdata/sf0.001"
+    one = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert dealt(one, "l_orderkey").rdd.getNumPartitions() == 24
+    one.repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    splits = table(spark, str(tmp_path), "lineitem").rdd.getNumPartitions()
+    assert dealt(table(spark, str(tmp_path), "lineitem"), "l_orderkey").rdd.getNumPartitions() == 24 * splits
+    for df in (catalogue.QUERIES["fitted_rows"](spark, small), catalogue.QUERIES["column_centres"](spark, small), classify.pivot_cases(grid.grid(spark, small))):
+        assert _plan(df).count("Exchange ") == 1
