@@ -46,3 +46,20 @@ def test_tasks_grow_with_the_table_and_rows_move_once(spark, tmp_path):
     assert dealt(table(spark, str(tmp_path), "lineitem"), "l_orderkey").rdd.getNumPartitions() == 24 * splits
     for df in (catalogue.QUERIES["fitted_rows"](spark, small), catalogue.QUERIES["column_centres"](spark, small), classify.pivot_cases(grid.grid(spark, small))):
         assert _plan(df).count("Exchange ") == 1
+
+
+def test_readings_beside_their_row_are_ranked_where_they_lie(spark):
+    from pneuma.functions.cells import COLUMNS
+    from pneuma.operators import candidates
+    from pneuma.plans import grid
+
+    assert _plan(grid.QUERIES["ranked_candidates"](spark, "/root/testdata/sf0.001")).count("Exchange ") == 1
+    held = {"pre_best": "3.00", "pred": "4.00", "lln": "3.20", "pre_pct": "75.0"}
+    rows = spark.createDataFrame([(1, "FVC", *[held.get(c, "") for c in COLUMNS]), (2, "MVV", *[""] * len(COLUMNS))], "case_no int, metric string, " + ", ".join(f"{c} string" for c in COLUMNS))
+    texts = {"Pre_Z-Score": ["1.90", "-1.90", "-1.90", None], "LLN": ["x", "", None, "y"], "Pred": ["4.00", "400", "40", "4"]}
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.array(*[F.struct(F.lit(k).alias("cand_pos"), F.lit(t).cast("string").alias("text")) for k, t in enumerate(ts)]).alias("readings")) for c, ts in texts.items()])
+    long = rows.select("case_no", "metric", F.inline(cells).alias("col", "readings")).select("case_no", "metric", "col", F.inline("readings").alias("cand_pos", "text"))
+    told = lambda df: {(r.case_no, r.col): (r.text, r.ok) for r in df.collect()}
+    found = told(candidates.rank_beside(rows, cells))
+    assert found == told(candidates.rank_candidates(long, rows))
+    assert found == {(1, "Pre_Z-Score"): ("-1.90", True), (1, "LLN"): ("x", False), (1, "Pred"): ("4.00", True), (2, "Pre_Z-Score"): ("1.90", True), (2, "LLN"): ("x", True), (2, "Pred"): ("4.00", True)}
