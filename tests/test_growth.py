@@ -63,3 +63,23 @@ def test_readings_beside_their_row_are_ranked_where_they_lie(spark):
     found = told(candidates.rank_beside(rows, cells))
     assert found == told(candidates.rank_candidates(long, rows))
     assert found == {(1, "Pre_Z-Score"): ("-1.90", True), (1, "LLN"): ("x", False), (1, "Pred"): ("4.00", True), (2, "Pre_Z-Score"): ("1.90", True), (2, "LLN"): ("x", True), (2, "Pred"): ("4.00", True)}
+
+
+def test_repair_of_whole_cases_needs_no_window_and_gives_what_the_rules_by_rows_give(spark):
+    from pneuma.functions.cells import COLUMNS
+    from pneuma.operators import repair, repair_cases
+    from pneuma.plans import grid
+
+    small = "/root/testdata/sf0.001"
+    for name in ("repair_rows_strict", "quality_of_cases"):
+        plan = _plan(grid.QUERIES[name](spark, small))
+        assert "Window" not in plan and plan.count("Exchange ") == 1, name
+    rows = grid.grid(spark, small).where("case_no % 40 < 3").selectExpr("case_no", "if(pos = 9 and case_no % 2 = 0, 'FVC', metric) as metric", *[f"if(case_no % 3 = 0 and hash(case_no, pos, '{c}') % 4 = 0, null, {c}) as {c}" for c in COLUMNS])
+    odd = spark.createDataFrame([
+        (-1, "FEV1/FVC", "3.08 2.10", "4 5 6"), (-1, "Grade FVC N", "A 10.53", "C9"), (-1, "Grade FEV1 N", "b 7", "x 8 A"), (-1, "MVV", "3", "4"), (-2, "VC", "4.5", "+5"), (-2, "FEV1", "3", "-3"), (-3, "no row", "1", "2"), (-4, None, "1", "2"),
+    ], "case_no long, metric string, pre_best string, post_best string").select("case_no", "metric", *[F.col(c) if c in ("pre_best", "post_best") else F.lit(None).cast("string").alias(c) for c in COLUMNS])
+    rows = rows.unionByName(odd).coalesce(1).repartition(1, "case_no").cache()
+    told = lambda df: sorted(map(str, df.withColumn("warnings", F.col("warnings.message")).collect()))
+    by_rows = repair.repair(repair.complete(rows), strict=True).cache()
+    assert told(repair_cases.rows(rows, strict=True)) == told(by_rows) and by_rows.where("size(warnings) > 1").count() > 20
+    assert sorted(map(str, repair_cases.quality(rows, strict=True).collect())) == sorted(map(str, repair.quality(by_rows).collect()))
