@@ -73,6 +73,27 @@ def test_cases_are_pivoted_without_a_sort_and_dealt_without_holding_a_split(spar
         assert all(v is (True if k.endswith("missing") else None) for n in (2, 3) for k, v in got[n].items() if k != "case_no")
 
 
+def test_orders_meet_customers_without_a_broadcast_in_tasks_that_grow_with_the_orders(spark, tmp_path):
+    from pneuma.plans import grid
+
+    small = "/root/testdata/sf0.001"
+    for t in ("lineitem", "customer"):
+        spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    # One order of a customer without a balance above 0, one of no customer, and one twice: each stays a row of its case.
+    (spared,) = spark.read.parquet(f"{small}/customer.parquet").where("c_acctbal <= 0").select("c_custkey").first()
+    odd = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") == 0, spared).when(F.col("o_orderkey") != 1, F.col("o_custkey")))
+    odd.union(odd.where("o_orderkey = 2")).repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    dealt, df = 24 * spark.read.parquet(f"{tmp_path}/orders.parquet").rdd.getNumPartitions(), grid.QUERIES["classify_cases"](spark, str(tmp_path))
+    plan = _plan(df)
+    assert "SortMergeJoin [o_custkey" in plan and dealt > 24 and f", {dealt}), REPARTITION_BY_NUM" in plan
+    told = lambda df: {(r.case_no, r.bmi_used) for r in df.select("case_no", "bmi_used").collect()}
+    cases = spark.read.parquet(f"{small}/lineitem.parquet").select(F.col("l_orderkey").alias("case_no")).distinct()
+    funds = spark.read.parquet(f"{small}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 250).alias("bmi_used"))
+    asked = cases.join(spark.read.parquet(f"{tmp_path}/orders.parquet").join(funds, "o_custkey").select(F.col("o_orderkey").alias("case_no"), "bmi_used"), "case_no", "left")
+    assert told(df) == told(asked) and df.count() == asked.count()
+
+
 def test_readings_beside_their_row_are_ranked_where_they_lie(spark):
     from pneuma.functions.cells import COLUMNS
     from pneuma.operators import candidates
