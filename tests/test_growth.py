@@ -129,3 +129,27 @@ def test_repair_of_whole_cases_needs_no_window_and_gives_what_the_rules_by_rows_
     by_rows = repair.repair(repair.complete(rows), strict=True).cache()
     assert told(repair_cases.rows(rows, strict=True)) == told(by_rows) and by_rows.where("size(warnings) > 1").count() > 20
     assert sorted(map(str, repair_cases.quality(rows, strict=True).collect())) == sorted(map(str, repair.quality(by_rows).collect()))
+
+
+def test_readings_in_columns_are_ranked_by_the_batch_as_readings_in_rows_are(spark):
+    import random
+
+    from pneuma.functions.cells import COLUMNS, HEADINGS, ROWS
+    from pneuma.operators import candidates
+    from pneuma.plans import grid
+
+    plan = _plan(grid.QUERIES["ranked_candidates"](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in plan and plan.count("Exchange ") == 1 and "array_min" not in plan
+    texts = [
+        None, "", " ", "1.90", "-1.90", "+1.9", "190", "-060", "1 60", "-0 49", "x 1,5 y 2.25", "1.2.3", "--5", "1e5", "12.", ".20", "-0.00", "0.00", "000", "0", "-0", "9999.994", "9999.996", "0.005", "1.005", "2.675", "00.10",
+        " 3.4 ", " ? ", "n/a", "5 7 9", "150.4", "19.5", "20.5", "21,5", "80 7 140", "9" * 400, "A 10.5", "b", "x 8 A", "É A", "3.08 2.10", "+", "٣.٤", "1\n", "\x1c?", "4.00", "3.20", "-3.28", "328", "0.34", "1e-1",
+    ]
+    pick, least = random.Random(4), ["4.00", "3.20", "3.00", "75.0"]
+    rows = [(k, m, *[pick.choice(least if k % 3 else texts) for _ in COLUMNS], *[pick.choice(texts) for _ in range(3)]) for k in range(150) for m in [*ROWS, "no row"]]
+    df = spark.createDataFrame(rows, "case_no int, metric string, " + ", ".join(f"{c} string" for c in [*COLUMNS, "x", "y", "z"])).repartition(3).cache()
+    readings = {HEADINGS[c]: [*pick.sample(["x", "y", "z", c], 3), c] for c in COLUMNS} | {"Pred": ["pred"]}
+    each = F.array(*[F.struct(F.lit(h).alias("col"), F.lit(k).alias("cand_pos"), F.col(c).alias("text")) for h, cs in readings.items() for k, c in enumerate(cs)])
+    told = lambda df: {(r.case_no, r.metric, r.col): (r.text, r.ok) for r in df.collect()}
+    found = told(candidates.rank_columns(df, readings))
+    assert found == told(candidates.rank_candidates(df.select("case_no", "metric", F.inline(each)), df)) and len(found) == len(rows) * len(readings)
+    assert {ok for _, ok in found.values()} == {True, False} and len({t for t, _ in found.values()}) > 60
